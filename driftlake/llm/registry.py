@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from driftlake.llm import quality
+from driftlake.llm import quality, simhash
 
 _OPS = {
+    "op2_simhash": (simhash.op2_simhash, None),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
 }
 
