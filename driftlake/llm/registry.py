@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from driftlake.llm import quality, simhash
+from driftlake.llm import chat, quality, simhash, warc
 
 _OPS = {
     "op2_simhash": (simhash.op2_simhash, None),
+    "op5_chat_format": (chat.op5_chat_format, chat.SQL),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
+    "op10_warc": (warc.op10_warc, None),
 }
 
 
