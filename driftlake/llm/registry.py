@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from driftlake.llm import bpe, chat, quality, simhash, token_store, warc
+from driftlake.llm import bpe, chat, langid, lm, quality, simhash, token_store, warc
 
 _OPS = {
     "op2_simhash": (simhash.op2_simhash, None),
     "op3_token_store": (token_store.op3_token_store, None),
+    "op4_language_id": (langid.op4_language_id, None),
     "op5_chat_format": (chat.op5_chat_format, chat.SQL),
+    "op7_lm_score": (lm.op7_lm_score, None),
     "op8_bpe": (bpe.op8_bpe, None),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
     "op10_warc": (warc.op10_warc, None),
