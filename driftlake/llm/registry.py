@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from driftlake.llm import bpe, chat, langid, lm, quality, simhash, token_store, warc
+from driftlake.llm import bpe, chat, langid, lm, quality, simhash, suffix_dedup, token_store, warc
 
 _OPS = {
+    "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, None),
     "op2_simhash": (simhash.op2_simhash, None),
     "op3_token_store": (token_store.op3_token_store, None),
     "op4_language_id": (langid.op4_language_id, None),
