@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftlake.llm import bpe, chat, langid, lm, quality, simhash, suffix_dedup, token_store, warc
+from driftlake.llm import bpe, chat, decontaminate, langid, lm, quality, simhash, suffix_dedup, token_store, warc
 
 _OPS = {
     "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, None),
@@ -10,6 +10,7 @@ _OPS = {
     "op3_token_store": (token_store.op3_token_store, None),
     "op4_language_id": (langid.op4_language_id, None),
     "op5_chat_format": (chat.op5_chat_format, chat.SQL),
+    "op6_decontaminate": (decontaminate.op6_decontaminate, None),
     "op7_lm_score": (lm.op7_lm_score, None),
     "op8_bpe": (bpe.op8_bpe, None),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),

@@ -2,8 +2,8 @@
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else. A sparse set of suffixes is
 enough to find all of these strings: the string that starts at p is looked up by its *anchor*, the place of the least
-hash among the k-mers of its first `SPAN` bytes. Equal strings have their anchors at equal offsets, so they meet in
-one group of anchor suffixes that share at least `length - SPAN + K` bytes. About one place in a hundred is an anchor.
+hash among the k-mers of its first half (`SPAN` bytes at most). Equal strings have their anchors at equal offsets, so they meet in
+one group of anchor suffixes that share at least half of `length`. About one place in a hundred is an anchor.
 
 1. Anchors whose guaranteed context occurs once in the corpus, by its hash, can't be in a repeat and go no further:
    no string is lost, since equal strings have equal contexts.
@@ -41,9 +41,15 @@ from pyspark.sql import functions as F
 from driftlake.llm.common import drop_path, materialise, new_path, shuffle_partitions, table
 
 LENGTH = 400
-#: Bytes that decide an anchor, and bytes of a k-mer.
+#: Bytes that decide an anchor at most, and bytes of a k-mer.
 SPAN, K = 200, 16
-WIDE = SPAN - K + 1
+
+
+def wide(length: int) -> int:
+    """K-mers that decide an anchor: those of the first SPAN bytes of a string, or of its first half."""
+    return min(SPAN, length // 2) - K + 1
+
+
 #: Different suffixes of one context that a merge task takes.
 HOT = 4096
 #: Bytes of text looked at in one go, and bytes of suffixes in a run.
@@ -85,7 +91,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int):
 
     data: the bytes of some texts; ends: where each text ends. A window is a string of `length` bytes of one text.
     """
-    n = len(data)
+    n, many = len(data), wide(length)
     if n < length:
         return None
     x = data.astype(np.uint64)
@@ -96,11 +102,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int):
     h = (h ^ (h >> np.uint64(29))) * _ODD[2]
     h = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     size = 1
-    while 2 * size <= WIDE:
+    while 2 * size <= many:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
-    if size < WIDE:
-        h = np.minimum(h[: len(h) - (WIDE - size)], h[WIDE - size :])
+    if size < many:
+        h = np.minimum(h[: len(h) - (many - size)], h[many - size :])
     at = (h[: n - length + 1] & _PLACE).astype(np.int64)
     own_end = np.repeat(ends, np.diff(ends, prepend=0))[: n - length + 1]
     p = np.flatnonzero(np.arange(n - length + 1) + length <= own_end)
@@ -110,7 +116,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int):
     new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1))))
     first, count = p[new], np.diff(np.append(new, len(p)))
     anchor = m[new]
-    ctx = _Rolling(data, 0).of(anchor, anchor + (length - WIDE + 1))
+    ctx = _Rolling(data, 0).of(anchor, anchor + (length - many + 1))
     full = _Rolling(data, 1).of(first, first + count - 1 + length)
     full ^= _mixed(((anchor - first) * 256 + count).astype(np.uint64))
     return first, count, anchor, ctx, full
@@ -279,7 +285,7 @@ def group_spans(rights: list[bytes], lefts: list[bytes], numbers: list[int], lcp
     n = len(rights)
     own = [(max(0, length - len(r)), len(le)) for r, le in zip(rights, lefts, strict=True)]
     out: list[list[tuple[int, int]]] = [[o] if c > 1 else [] for o, c in zip(own, numbers, strict=True)]
-    stack = [(0, n, length - WIDE)]
+    stack = [(0, n, length - wide(length))]
     while stack:
         lo, hi, above = stack.pop()
         if hi - lo < 2:
@@ -363,7 +369,7 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
                             yield *key, merged(spans)
 
             for h, (_, right, left, number, ctx, full) in LoserTree([unpack_run(x) for x in blobs]):
-                if keys and h <= length - WIDE:
+                if keys and h <= length - wide(length):
                     yield from group()
                     for x in (rights, lefts, numbers, keys, lcp):
                         x.clear()
@@ -437,10 +443,10 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, `keep` columns, n_bytes, spans, kept): the removed runs of bytes, and the bytes that stay.
 
-    `length` is SPAN + K or more, so that a context is left to tell suffixes apart.
+    `length` is 4 * K or more.
     """
-    if length < SPAN + K:
-        raise ValueError(f"length must be {SPAN + K} or more")
+    if length < 4 * K:
+        raise ValueError(f"length must be {4 * K} or more")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("text"))
     rows = rows.withColumn("k", F.xxhash64("id", "text")).withColumn("nb", F.length("text").cast("long"))
@@ -493,6 +499,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     return both.mapInArrow(run, StructType([*fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(span)), StructField("kept", BinaryType())]))
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """`docs` with the repeated passages cut out of `text`, and `n_chars` (if it is there) counted anew.
+
+    Characters of which a cut leaves only a part go with it; a null text stays null; no row goes.
+    """
+    others = [c for c in docs.columns if c != text]
+    src = docs.select(F.lit(None).alias("_id") if not others else F.struct(*others).alias("_all"), F.col(text).isNull().alias("_null"), text)
+    out = repeats(src, src.columns[0], text, length, keep=("_null",))
+
+    def run(batches):
+        for b in batches:
+            kept = [t.as_py().decode("utf-8", "ignore") for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([None if z else t for z, t in zip(b.column(2).to_pylist(), kept, strict=True)], pa.string())], names=["id", "t"])
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    back = out.select("id", "kept", "_null").mapInArrow(run, StructType([out.schema["id"], StructField("t", StringType())]))
+    cols = {c: F.col(f"id.`{c}`") for c in others} | {text: F.col("t")}
+    if n_chars in cols:
+        kind = docs.schema[n_chars].dataType
+        cols[n_chars] = F.when(F.col("t").isNull(), cols[n_chars]).otherwise(F.length("t")).cast(kind)
+    return back.select(*[cols[c].alias(c) for c in docs.columns])
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats(table(spark, sf_dir, "documents"))
     return out.select(

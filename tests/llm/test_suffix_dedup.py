@@ -43,11 +43,11 @@ def texts(rng):
     return out
 
 
-def check(spark, ts, **more):
+def check(spark, ts, length=400, **more):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string")
-    got = {r.id: ([(s.start, s.end) for s in r.spans], bytes(r.kept), r.n_bytes) for r in sd.repeats(df.repartition(5), **more).collect()}
+    got = {r.id: ([(s.start, s.end) for s in r.spans], bytes(r.kept), r.n_bytes) for r in sd.repeats(df.repartition(5), length=length, **more).collect()}
     data = [(t or "").encode() for t in ts]
-    for i, cut in enumerate(sd.brute_removed(data)):
+    for i, cut in enumerate(sd.brute_removed(data, length)):
         assert got[i][0] == cut, (i, got[i][0], cut)
         left, at = b"", 0
         for a, b in cut:
@@ -60,6 +60,21 @@ def test_removes_what_the_definition_removes(spark, seed, hot):
     check(spark, texts(random.Random(seed)), hot=hot)
 
 
+def test_other_length_and_long_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(1, 9)))
+    far = " ".join(word() for _ in range(600_000))  # longer than two segments
+    check(spark, [*texts(rng)[:40], far, "x" + far[1_048_000:1_049_500] + "y", far[5:5000]], length=200)
+
+
+def test_cut_texts_keep_their_columns(spark):
+    rows = [(1, "é" * 300, None, 300), (2, "a" + "é" * 250, "de", 251), (2, None, "fr", None), (3, "clean", "en", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").select("doc_id", "text", "lang", "n_chars")
+    out = sd.without_repeats(df, 200)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "", None, 0), (2, "a", "de", 1), (2, None, "fr", None), (3, "clean", "en", 5)], key=str)
+
+
 def test_odd_rows(spark, monkeypatch):
     long = "abc def " * 100
     rows = [(1, long), (1, long), (None, long + "x"), (4, None), (5, ""), (6, "z" * 399)]
