@@ -14,16 +14,18 @@ Defined results: a null text is empty (the end id alone); null ids come first; r
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.bpe import ODD, default_vocabulary
+from driftlake.llm.bpe import Cache, byte_chars, default_vocabulary
 from driftlake.llm.common import materialise, new_path, shuffle_partitions, table
 from driftlake.llm.files import Out, open_in
 
@@ -173,43 +175,64 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of units of text that no token crosses.
+    """The tokenizers library behind bounded caches of parts of text that no token crosses.
 
-    A text without white space at its ends or two in a row is cut before each of its spaces; the library encodes the
-    units not seen before, all of a batch in one call. Other texts go to it whole.
+    A text is cut before each space that stands between two characters that are not white space; texts with other
+    white space beside a space go to the library whole. A part not seen before is cut further where letters begin or
+    end, which no token crosses but for contractions: a run of letters is one word for the library's model, and
+    everything else goes to the library as it is.
     """
 
+    _RUNS = regex.compile(r" ?\p{L}+|\P{L}+")
+    _TWO = re.compile(r"\s\s")
+
     def __init__(self, path: str, size: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
+        self.model = self.lib.model
         self.most = self.lib.get_vocab_size()
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.chars = {b: c for c, b in byte_chars().items()}
         self.size, self.seen, self.old = size, {}, {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > self.size:
-            self.old, self.seen = self.seen, {}
-        cut = [None if ODD.search(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            if parts:
-                new |= set(parts[1:]).difference(self.seen)
-        known = new & self.old.keys()
-        self.seen.update((p, self.old[p]) for p in known)
-        ask = list(new - known)
-        for at in range(0, len(ask), 4096):
-            some = ask[at : at + 4096]
-            self.seen.update(zip(some, self._library([" " + p for p in some]), strict=True))
-        whole = iter(self._library([t if parts is None else parts[0] for t, parts in zip(texts, cut, strict=True)]))
-        out = []
-        for parts in cut:
-            first = next(whole)
-            out.append(first if parts is None else first + b"".join(map(self.seen.__getitem__, parts[1:])))
+        self.runs = Cache(self._run, size)
+
+    def _library(self, text: str) -> bytes:
+        ids = self.lib.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, run: str) -> bytes:
+        if not run[-1].isalpha():
+            return self._library(run)
+        ids = [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.chars))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return self.runs[part]
+        if part[-1:] in (".", ",") and part[1:-1].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return self.runs[part[:-1]] + self.runs[part[-1]]
+        if "'" in part or self._TWO.search(part) or any(s in part for s in self.special):
+            return self._library(part)
+        return b"".join(map(self.runs.__getitem__, self._RUNS.findall(part)))
+
+    def encode(self, text: str) -> bytes:
+        seen = self.seen
+        first, *parts = text.split(" ")
+        new = set(parts).difference(seen)
+        if not first or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+            return self._library(text)
+        if len(seen) + len(new) > self.size:
+            self.old, seen = seen, {p: seen[p] for p in parts if p in seen}
+            self.seen = seen
+        long = [p for p in new if len(p) >= 256]
+        for p in new:
+            seen[p] = self.old.get(p) or self._part(" " + p)
+        out = self._part(first) + b"".join(map(seen.__getitem__, parts))
+        for p in long:
+            del seen[p]
         return out
 
 
@@ -242,14 +265,12 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         encoder, made, w = ts.library_encoder(path), [], None
         width = 2 if max(encoder.most, end_id) < 1 << 16 else 4
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    w = w or ts.ShardWriter(folder, width)
-                    w.add(doc_id, ids, end_id)
-                    if w.n_ids >= ts.SHARD:
-                        made.append(w.close())
-                        w = None
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = w or ts.ShardWriter(folder, width)
+                w.add(doc_id, encoder.encode(t.as_py()), end_id)
+                if w.n_ids >= ts.SHARD:
+                    made.append(w.close())
+                    w = None
         if w:
             made.append(w.close())
         if made:

@@ -54,3 +54,16 @@ def test_odd_rows(spark, monkeypatch):
     assert [r[:4] for r in got] == want
     assert [len(r[4]) for r in got] == [w[2] for w in want]
     assert ts.read(ts.write(df.where("false"), new_path(spark, "t"), default_vocabulary(), 2)).count() == 0
+
+
+PARTS = ["the", " the", "  ", "\n", " \n ", "'s", "don't ", "é", " été", "½3", "x½", "a1b2", "日本", " ", "!!", "<|endoftext|>", ".\n\nY", "\t", " (foo)", "ÃÂ" * 5, "😀", "éx", "_", "ª", "ǅ"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PARTS), st.text(max_size=4)), max_size=20))
+def test_cached_encoder_is_the_library(parts):
+    text = "".join(parts)
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
+ENCODER = ts.LibraryEncoder(default_vocabulary(), 50)
