@@ -22,7 +22,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,8 +40,6 @@ _GOES_ON = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*"
 _SPACE = regex.compile(r"\s*")
 #: A place where no match crosses: before a space between two characters that are not white space.
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
-#: White space at an end, or two in a row: a text without it is cut at every space.
-ODD = re.compile(r"^\s|\s\s|\s$")
 #: Characters held before a match without an end is streamed, and units kept in a cache.
 HOLD, CACHE = 1 << 12, 1 << 18
 
@@ -75,6 +73,10 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        self.rank = {pair: r for pair, (r, _) in self.merges.items()}
+        self.made = [0] * len(spec["model"]["merges"])
+        for r, w in self.merges.values():
+            self.made[r] = w
         self.lookahead = self._sufficient_lookahead()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -89,20 +91,22 @@ class Vocabulary:
 
     def merge(self, data: bytes) -> list[int]:
         """Tokens of a whole piece: the pair of least rank first, from the left."""
-        merges = self.merges
         ids = [self.single[b] for b in data]
         if len(ids) > 48:
             return self._merge_heap(ids)
-        none = (1 << 60, 0)
-        while len(ids) > 1:
-            best, at = none, -1
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and m < best:
-                    best, at = m, i
-            if at < 0:
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == none:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = ranks.index(r)
+            ids[i : i + 2] = [made[r]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
         return ids
 
     def _merge_heap(self, ids: list[int]) -> list[int]:
@@ -127,6 +131,10 @@ class Vocabulary:
         return [x for x, dead in zip(ids, gone, strict=True) if not dead]
 
 
+class _Odd(Exception):
+    """White space beside a space: the text can't be cut at every space."""
+
+
 class _Core:
     """Tokens of one match whose bytes come in pieces."""
 
@@ -177,18 +185,28 @@ class Encoder:
         self.vocab = vocab
         self._matches = Cache(self._match)
         self._units = Cache(self._unit)
-        self._spaced = Cache(lambda part: self._unit(" " + part))
+        self._spaced = Cache(self._spaced_unit)
         self._reset()
 
     def _reset(self) -> None:
         self.text, self.core, self.goes_on = "", None, None
 
     def _match(self, m: str) -> bytes:
-        return np.array(self.vocab.merge(m.encode()), "<u4").tobytes()
+        ids = self.vocab.merge(m.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _unit(self, unit: str) -> bytes:
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and len(unit) <= 64:
+            return self._matches[unit]
+        if unit[-1:] in (".", ",") and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()) and len(unit) <= 64:
+            return self._matches[unit[:-1]] + self._matches[unit[-1]]
         return b"".join(self._plain(unit))
 
+    def _spaced_unit(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Odd
+        return self._unit(" " + part)
+
     def _plain(self, text: str) -> Iterator[bytes]:
         """Tokens of text that no match crosses the ends of."""
         if self.vocab.split_special and any(s in text for s in self.vocab.special):
@@ -289,10 +307,13 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text that is in memory; the same ids as feed() and finish() over any cut of it."""
-        if ODD.search(text):
-            return b"".join(self.units(text))
         first, *rest = text.split(" ")
-        return self._units[first] + b"".join(map(self._spaced.__getitem__, rest))
+        try:
+            if not first or first[-1].isspace():
+                raise _Odd
+            return self._units[first] + b"".join(map(self._spaced.__getitem__, rest))
+        except _Odd:
+            return b"".join(self.units(text))
 
 
 class Decoder:
