@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from driftlake.llm import bpe, chat, decontaminate, langid, lm, quality, simhash, suffix_dedup, token_store, warc
 
 _OPS = {
@@ -19,8 +20,9 @@ _OPS = {
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _OPS.items()}
+    return {name: f for name, (f, _) in _OPS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _OPS.items() if sql}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {name: sql for name, (_, sql) in _OPS.items() if sql} | pipeline

@@ -186,7 +186,7 @@ def _arranged(v: Column, order: list[tuple[int, int]], width: int) -> Column:
 def _spread(df: DataFrame, width: int, budget: int, layout: Column) -> tuple[DataFrame, int]:
     """Each value once for each layout of its low bits: (layout, key, at: the arranged value, fp)."""
     ways = _layouts(width, budget, BITS)
-    low = width - ways[0][0]
+    low = width - min(top for top, _ in ways)
     rows = F.array(*[F.struct((layout * 16 + i).alias("layout"), _arranged(F.col("at"), order, width).alias("at")) for i, (_, order) in enumerate(ways)])
     out = df.select("fp", F.explode(rows).alias("r")).select("r.layout", F.shiftrightunsigned("r.at", low).alias("key"), "r.at", "fp")
     return out, low
