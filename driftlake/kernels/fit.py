@@ -1,0 +1,261 @@
+"""Pair estimators: log-ratio fit, area correlation and phase correlation."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+import numpy as np
+
+from driftlake.kernels.planes import Plane, auto_levels, grid, log_plane, moved, pyramid, robust_scale, sample, upper_median
+
+NORMS = {"LEAST_SQUARES": np.inf, "HUBER": 1.345, "TUKEY": 4.685}
+
+
+@dataclass(frozen=True)
+class Options:
+    estimator: str = "LOG_RATIO_FIT"
+    norm: str = "HUBER"
+    support: str = "ALL"
+    gradient_fraction: float = 0.5
+    epsilon: float = 1.0
+    floor: float | None = None
+    ceiling: float | None = None
+    max_shift: float = 30.0
+    rotation: bool = False
+    max_rotation: float = np.radians(10)
+    iterations: int = 25
+    max_samples: int = 200_000
+    least_valid: float = 0.10
+    converged: float = 1e-3
+
+    def __post_init__(self) -> None:
+        if self.norm not in NORMS:
+            raise ValueError(f"unknown norm {self.norm}")
+        if self.estimator not in ("LOG_RATIO_FIT", "AREA_CORRELATION", "PHASE_CORRELATION"):
+            raise ValueError(f"unknown estimator {self.estimator}")
+        if self.max_shift <= 0 or self.iterations < 1 or self.max_samples < 1 or not 0 < self.least_valid <= 1 or self.epsilon <= 0:
+            raise ValueError("a bound is out of range")
+        for q in (self.floor, self.ceiling):
+            if q is not None and not 0 < q < 100:
+                raise ValueError("percentiles lie between 0 and 100")
+        if self.floor is not None and self.ceiling is not None and self.floor >= self.ceiling:
+            raise ValueError("the floor is not below the ceiling")
+
+
+@dataclass
+class Fit:
+    dx: float = 0.0
+    dy: float = 0.0
+    theta: float = 0.0
+    status: str = "REFUSED_LOW_OVERLAP"
+    log_gain: float = np.nan
+    residual_before: float = np.nan
+    residual_after: float = np.nan
+    valid_fraction: float = 0.0
+    iterations: int = 0
+
+    @property
+    def usable(self) -> bool:
+        return self.status != "REFUSED_LOW_OVERLAP"
+
+
+def weights(r: np.ndarray, norm: str) -> np.ndarray:
+    c = NORMS[norm]
+    if norm == "TUKEY":
+        return np.where(np.abs(r) < c, (1 - (r / c) ** 2) ** 2, 0.0)
+    return np.ones_like(r) if np.isinf(c) else np.minimum(1.0, c / np.maximum(np.abs(r), 1e-12))
+
+
+def rho(r: np.ndarray, norm: str) -> np.ndarray:
+    c = NORMS[norm]
+    if norm == "TUKEY":
+        return c**2 / 6 * (1 - np.where(np.abs(r) < c, (1 - (r / c) ** 2) ** 3, 0.0))
+    return 0.5 * r**2 if np.isinf(c) else np.where(np.abs(r) <= c, 0.5 * r**2, c * (np.abs(r) - 0.5 * c))
+
+
+def _points(a: Plane, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    h, w = a.value.shape
+    y, x = grid(h, w, int(np.ceil(np.sqrt(h * w / o.max_samples))) if h * w > o.max_samples else 1)
+    keep = a.valid[y, x]
+    if o.support != "ALL":
+        m = a.magnitude
+        keep &= m[y, x] >= o.gradient_fraction * upper_median(m[a.valid]) if a.valid.any() else False
+    return y[keep], x[keep]
+
+
+def _residual(a: Plane, b: Plane, y: np.ndarray, x: np.ndarray, pose, least: float, grads: bool = False):
+    h, w = a.value.shape
+    px, py = moved(x, y, pose, h, w)
+    fields, ok = sample([b.value, b.gx, b.gy] if grads else [b.value], b.valid, px, py)
+    if ok.sum() < max(8, least * len(x)):
+        return None
+    d = fields[0][ok] - a.value[y[ok], x[ok]]
+    gain = upper_median(d)
+    return d - gain, gain, ok, [f[ok] for f in fields[1:]]
+
+
+def _clamp(pose: np.ndarray, radius: float, o: Options) -> np.ndarray:
+    n = np.hypot(pose[0], pose[1])
+    if n > radius:
+        pose = pose * np.array([radius / n, radius / n, 1.0])
+    return np.array([pose[0], pose[1], np.clip(pose[2], -o.max_rotation, o.max_rotation) if o.rotation else 0.0])
+
+
+def _search(a: Plane, b: Plane, radius: float, o: Options) -> np.ndarray | None:
+    """Best whole-pixel move at the coarsest level, over angles if rotation is fitted."""
+    h, w = a.value.shape
+    y, x = _points(a, o)
+    angles = [0.0]
+    if o.rotation:
+        step = 2 / np.hypot(h, w)
+        n = int(np.ceil(o.max_rotation / step))
+        angles += [s * k * o.max_rotation / n for k in range(1, n + 1) for s in (1, -1)]
+    r = int(np.floor(radius))
+    best, pose = np.inf, None
+    tries = [(0, 0)] + [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if np.hypot(dx, dy) <= radius]
+    for theta in angles:
+        for dx, dy in tries:
+            got = _residual(a, b, y, x, (dx, dy, theta), o.least_valid)
+            if got is not None and (c := np.mean(np.abs(got[0]))) < best:
+                best, pose = c, np.array([dx, dy, theta], float)
+    return pose
+
+
+def _refine(a: Plane, b: Plane, pose: np.ndarray, radius: float, o: Options) -> tuple[np.ndarray, str, int]:
+    """Robust Gauss-Newton with step halving."""
+    h, w = a.value.shape
+    y, x = _points(a, o)
+    reach = max(h, w) / 2
+    for i in range(o.iterations):
+        got = _residual(a, b, y, x, pose, o.least_valid, True)
+        if got is None:
+            return pose, "REFUSED_LOW_OVERLAP", i
+        r, _, ok, (gx, gy) = got
+        s = robust_scale(r)
+        wt = weights(r / s, o.norm)
+        cols = [gx, gy]
+        if o.rotation:
+            u, v, c, sn = x[ok] - (w - 1) / 2, y[ok] - (h - 1) / 2, np.cos(pose[2]), np.sin(pose[2])
+            cols.append(gx * (-u * sn - v * c) + gy * (u * c - v * sn))
+        j = np.stack(cols, axis=1)
+        n = (j * wt[:, None]).T @ j
+        n += np.eye(len(n)) * max(1e-9 * np.trace(n) / len(n), 1e-12)
+        step = np.zeros(3)
+        step[: len(n)] = -np.linalg.solve(n, (j * wt[:, None]).T @ r)
+        cost = np.mean(rho(r / s, o.norm))
+        for _ in range(7):
+            new = _clamp(pose + step, radius, o)
+            after = _residual(a, b, y, x, new, o.least_valid)
+            if after is not None and np.mean(rho(after[0] / s, o.norm)) < cost:
+                break
+            step = step / 2
+        else:
+            return pose, "OK", i
+        change = np.hypot(new[0] - pose[0], new[1] - pose[1]) + abs(new[2] - pose[2]) * reach
+        pose = new
+        if change < o.converged:
+            return pose, "OK", i + 1
+    return pose, "NOT_CONVERGED", o.iterations
+
+
+def _report(a: Plane, b: Plane, pose: np.ndarray, status: str, n: int, o: Options) -> Fit:
+    y, x = np.nonzero(a.valid)
+    out = Fit(*map(float, pose), status=status, iterations=n)
+    before, after = _residual(a, b, y, x, (0, 0, 0), 0.0), _residual(a, b, y, x, pose, o.least_valid)
+    if before is not None:
+        out.residual_before = float(np.mean(np.abs(before[0])))
+    if after is None:
+        return replace(out, status="REFUSED_LOW_OVERLAP")
+    out.residual_after, out.log_gain, out.valid_fraction = float(np.mean(np.abs(after[0]))), after[1], float(after[2].sum() / a.value.size)
+    at_shift, at_turn = np.hypot(*pose[:2]) >= o.max_shift - 1e-6, o.rotation and abs(pose[2]) >= o.max_rotation - 1e-9
+    if out.status == "OK" and (at_shift or at_turn):
+        out.status = "AT_SHIFT_AND_ROTATION_BOUND" if at_shift and at_turn else "AT_SHIFT_BOUND" if at_shift else "AT_ROTATION_BOUND"
+    return out
+
+
+def log_ratio(pa: list[Plane], pb: list[Plane], o: Options, start: np.ndarray | None = None) -> Fit:
+    """Coarse search and refinement from level to level, or refinement alone from a start."""
+    top = len(pa) - 1
+    if start is None:
+        pose = _search(pa[top], pb[top], o.max_shift / 2**top, o)
+        if pose is None:
+            return Fit()
+    else:
+        pose, top = np.asarray(start, float), 0
+    status, n = "OK", 0
+    for level in range(top, -1, -1):
+        radius = o.max_shift / 2**level
+        pose, status, k = _refine(pa[level], pb[level], _clamp(pose, radius, o), radius, o)
+        n += k
+        if status == "REFUSED_LOW_OVERLAP":
+            return Fit(status=status, iterations=n)
+        if level:
+            pose = pose * np.array([2.0, 2.0, 1.0])
+    return _report(pa[0], pb[0], pose, status, n, o)
+
+
+def _ncc(a: Plane, b: Plane, pose) -> float:
+    h, w = a.value.shape
+    y, x = np.nonzero(a.valid)
+    px, py = moved(x, y, pose, h, w)
+    (v,), ok = sample([np.exp2(b.value)], b.valid, px, py)
+    if ok.sum() < max(8, 0.1 * len(x)):
+        return np.nan
+    p, q = np.exp2(a.value[y[ok], x[ok]]), v[ok]
+    p, q = p - p.mean(), q - q.mean()
+    return float(p @ q / max(np.sqrt((p @ p) * (q @ q)), 1e-12))
+
+
+def area(pa: list[Plane], pb: list[Plane], o: Options) -> Fit:
+    """Normalised correlation: whole-pixel search, then a 3 x 3 grid that shrinks."""
+    top = len(pa) - 1
+    r, pose, best = o.max_shift / 2**top, None, -np.inf
+    for dy in range(-int(r), int(r) + 1):
+        for dx in range(-int(r), int(r) + 1):
+            if np.hypot(dx, dy) <= r and (c := _ncc(pa[top], pb[top], (dx, dy, 0.0))) > best:
+                best, pose = c, np.array([dx, dy, 0.0])
+    if pose is None:
+        return Fit()
+    for level in range(top, -1, -1):
+        if level < top:
+            pose = np.rint(pose * 2)
+            tries = [(_ncc(pa[level], pb[level], (pose[0] + i, pose[1] + j, 0.0)), i, j) for j in range(-2, 3) for i in range(-2, 3)]
+            c, i, j = max((t for t in tries if t[0] == t[0]), default=(0, 0, 0))
+            pose = pose + np.array([i, j, 0.0])
+    step = 0.5
+    for _ in range(9):
+        tries = [(_ncc(pa[0], pb[0], (pose[0] + i * step, pose[1] + j * step, 0.0)), i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)]
+        _, i, j = max(t for t in tries if t[0] == t[0])
+        pose = pose + np.array([i * step, j * step, 0.0])
+        if not (i or j):
+            step *= 0.4
+    return _report(pa[0], pb[0], _clamp(pose, o.max_shift, o), "OK", 9, o)
+
+
+def phase(pa: list[Plane], pb: list[Plane], o: Options) -> Fit:
+    """Normalised cross power spectrum with a parabolic peak."""
+    a, b = pa[0], pb[0]
+    h, w = a.value.shape
+    taper = lambda n: np.clip(0.5 - 0.5 * np.cos(np.pi * np.minimum(np.arange(n) + 0.5, n - np.arange(n) - 0.5) / (0.25 * n)), 0, 1) * (np.minimum(np.arange(n), n - 1 - np.arange(n)) < 0.25 * n) + (np.minimum(np.arange(n), n - 1 - np.arange(n)) >= 0.25 * n)
+    win = taper(h)[:, None] * taper(w)
+    size = [1 << (k - 1).bit_length() for k in (h, w)]
+    f = [np.fft.fft2(np.where(p.valid, p.value - p.value[p.valid].mean(), 0) * win, size) for p in (a, b)]
+    cross = f[1] * np.conj(f[0])
+    peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-6 * np.abs(cross).max() + 1e-30)).real
+    j, i = np.unravel_index(np.argmax(peak), peak.shape)
+
+    def sub(before: float, at: float, after: float) -> float:
+        d = before - 2 * at + after
+        return 0.0 if d >= 0 else float(np.clip(0.5 * (before - after) / d, -0.5, 0.5))
+
+    dx = i + sub(peak[j, i - 1], peak[j, i], peak[j, (i + 1) % size[1]])
+    dy = j + sub(peak[j - 1, i], peak[j, i], peak[(j + 1) % size[0], i])
+    pose = np.array([dx - size[1] * (dx > size[1] / 2), dy - size[0] * (dy > size[0] / 2), 0.0])
+    return _report(a, b, _clamp(pose, o.max_shift, o), "OK", 1, o)
+
+
+ESTIMATORS = {"LOG_RATIO_FIT": log_ratio, "AREA_CORRELATION": area, "PHASE_CORRELATION": phase}
+
+
+def prepare(a: np.ndarray, o: Options) -> list[Plane]:
+    return pyramid(log_plane(a, o.epsilon, o.floor, o.ceiling), auto_levels(*a.shape, o.max_shift))

@@ -1,0 +1,158 @@
+"""Log planes, pyramids and sampling. A pose (dx, dy, theta) says where the content of a reference sits in a frame."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+
+def upper_median(x: np.ndarray) -> float:
+    return float(np.partition(x, len(x) // 2)[len(x) // 2])
+
+
+def robust_scale(r: np.ndarray) -> float:
+    a = np.abs(r)
+    s = 1.4826 * upper_median(a)
+    if s <= 0:
+        k = int(np.floor(0.9 * (len(a) - 1) + 0.5))
+        s = float(np.partition(a, k)[k])
+    return max(s, 1e-4)
+
+
+@dataclass
+class Plane:
+    """log2 intensities with their validity and gradients."""
+
+    value: np.ndarray
+    valid: np.ndarray
+
+    def __post_init__(self) -> None:
+        v = np.where(self.valid, self.value, np.nan)
+        self.gx, self.gy = _gradient(v, 1), _gradient(v, 0)
+
+    @property
+    def magnitude(self) -> np.ndarray:
+        return np.hypot(self.gx, self.gy)
+
+
+def _gradient(v: np.ndarray, axis: int) -> np.ndarray:
+    n = v.shape[axis]
+    pad = [(1, 1) if i == axis else (0, 0) for i in (0, 1)]
+    p = np.pad(v, pad, constant_values=np.nan)
+    after, before = (np.take(p, range(k, k + n), axis=axis) for k in (2, 0))
+    out = np.where(np.isnan(after), v - before, np.where(np.isnan(before), after - v, (after - before) / 2))
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def log_plane(a: np.ndarray, epsilon: float = 1.0, floor: float | None = None, ceiling: float | None = None) -> Plane:
+    """floor and ceiling are percentiles of the plane by nearest rank; a disabled one is None."""
+    ok = np.isfinite(a) & (a + epsilon > 0)
+    s = np.sort(a[np.isfinite(a)])
+    rank = lambda q: s[int(np.floor(q / 100 * (len(s) - 1) + 0.5))]
+    if floor is not None and len(s):
+        ok &= a >= rank(floor)
+    if ceiling is not None and len(s):
+        ok &= a < rank(ceiling)
+    return Plane(np.log2(np.where(ok, a + epsilon, 1.0)).astype(np.float64), ok)
+
+
+def halve(p: Plane) -> Plane:
+    v, w = np.where(p.valid, p.value, 0.0), p.valid.astype(float)
+    taps = (1, 4, 6, 4, 1)
+    for axis in (0, 1):
+        n, pad = v.shape[axis], [(2, 2) if i == axis else (0, 0) for i in (0, 1)]
+        pv, pw = np.pad(v, pad, "edge"), np.pad(w, pad, "edge")
+        v = sum(t * np.take(pv, range(k, k + n), axis=axis) for k, t in enumerate(taps)) / 16
+        w = sum(t * np.take(pw, range(k, k + n), axis=axis) for k, t in enumerate(taps)) / 16
+    ok = w >= 0.5
+    return Plane(np.where(ok, v / np.maximum(w, 1e-12), 0.0)[::2, ::2], ok[::2, ::2])
+
+
+def pyramid(p: Plane, levels: int) -> list[Plane]:
+    out = [p]
+    while len(out) < levels:
+        out.append(halve(out[-1]))
+    return out
+
+
+def auto_levels(h: int, w: int, max_shift: float, least: int = 48, most: int = 4, radius: float = 8.0) -> int:
+    n = 1
+    while n < most and min(h, w) >> n >= least:
+        n += 1
+    while max_shift / 2 ** (n - 1) > radius and min(h, w) >> n >= 16:
+        n += 1
+    return n
+
+
+def grid(h: int, w: int, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    y, x = np.mgrid[0:h:stride, 0:w:stride]
+    return y.ravel(), x.ravel()
+
+
+def moved(x: np.ndarray, y: np.ndarray, pose, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    dx, dy, theta = pose
+    if not theta:
+        return x + dx, y + dy
+    cx, cy, c, s = (w - 1) / 2, (h - 1) / 2, np.cos(theta), np.sin(theta)
+    u, v = x - cx, y - cy
+    return c * u - s * v + cx + dx, s * u + c * v + cy + dy
+
+
+def sample(fields: list[np.ndarray], valid: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bilinear values where all four corners are valid."""
+    h, w = valid.shape
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = x - x0, y - y0
+    x1, y1 = x0 + (fx > 0), y0 + (fy > 0)
+    inside = (x0 >= 0) & (y0 >= 0) & (x1 < w) & (y1 < h)
+    x0, x1, y0, y1 = (np.clip(i, 0, n - 1) for i, n in ((x0, w), (x1, w), (y0, h), (y1, h)))
+    ok = inside & valid[y0, x0] & valid[y0, x1] & valid[y1, x0] & valid[y1, x1]
+    out = [(f[y0, x0] * (1 - fx) + f[y0, x1] * fx) * (1 - fy) + (f[y1, x0] * (1 - fx) + f[y1, x1] * fx) * fy for f in fields]
+    return out, ok
+
+
+def warp(a: np.ndarray, pose, how: str = "BILINEAR", fill: float = 0.0) -> np.ndarray:
+    """Output pixel x reads the frame at the pose of x; whole-pixel moves copy exactly; integers are rounded half up."""
+    h, w = a.shape
+    y, x = grid(h, w)
+    px, py = moved(x, y, pose, h, w)
+    if how == "NONE":
+        px, py = np.floor(px + 0.5), np.floor(py + 0.5)
+    if how in ("NONE", "BILINEAR"):
+        (v,), ok = sample([np.nan_to_num(a.astype(np.float64))], np.ones(a.shape, bool), px, py)
+    elif how == "BICUBIC":
+        v, ok = _bicubic(a.astype(np.float64), px, py)
+    elif how == "FOURIER" and not pose[2]:
+        n = [1 << (2 * k - 1).bit_length() for k in a.shape]
+        p = np.pad(a.astype(np.float64), ((0, n[0] - h), (0, n[1] - w)), "edge")
+        f = np.fft.fft2(p) * np.exp(2j * np.pi * (np.fft.fftfreq(n[0])[:, None] * pose[1] + np.fft.fftfreq(n[1]) * pose[0]))
+        v = np.fft.ifft2(f).real[:h, :w].ravel()
+        ok = (px >= 0) & (py >= 0) & (px <= w - 1) & (py <= h - 1)
+    else:
+        raise ValueError(f"{how} is not known, or not for a rotation")
+    out = np.where(ok, v, fill).reshape(h, w)
+    if np.issubdtype(a.dtype, np.integer):
+        out = np.clip(np.floor(out + 0.5), np.iinfo(a.dtype).min, np.iinfo(a.dtype).max)
+    return out.astype(a.dtype)
+
+
+def _bicubic(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, w = a.shape
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+
+    def taps(t: np.ndarray) -> list[np.ndarray]:
+        return [-0.5 * t**3 + t**2 - 0.5 * t, 1.5 * t**3 - 2.5 * t**2 + 1, -1.5 * t**3 + 2 * t**2 + 0.5 * t, 0.5 * t**3 - 0.5 * t**2]
+
+    wx, wy = taps(x - x0), taps(y - y0)
+    at = lambda i, j: a[np.clip(y0 + j - 1, 0, h - 1), np.clip(x0 + i - 1, 0, w - 1)]
+    v = sum(wy[j] * sum(wx[i] * at(i, j) for i in range(4)) for j in range(4))
+    return v, (x >= 0) & (y >= 0) & (x <= w - 1) & (y <= h - 1)
+
+
+def margin(poses: np.ndarray, h: int, w: int, reach: int = 0) -> int:
+    """Pixels to cut on each side so that every warped frame is whole."""
+    half = np.hypot(h - 1, w - 1) / 2
+    pad = reach + np.ceil(np.abs(poses[:, 2]) * half)
+    m = int(np.max(np.ceil(np.max(np.abs(poses[:, :2]), axis=1)) + pad)) if len(poses) else 0
+    return min(m, min(h, w) // 2 - 1)

@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from driftlake.functions.stats import upper_median
 
-BY = Window.partitionBy("recording_id").orderBy("frame")
-ALL = Window.partitionBy("recording_id")
-SO_FAR = BY.rowsBetween(Window.unboundedPreceding, 0)
-AHEAD = BY.rowsBetween(0, Window.unboundedFollowing)
+
+def by_frame():
+    return Window.partitionBy("recording_id").orderBy("frame")
+
+
+def so_far():
+    return by_frame().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def ahead():
+    return by_frame().rowsBetween(0, Window.unboundedFollowing)
 
 
 def chain(steps: DataFrame) -> DataFrame:
     """Positions from steps (dx, dy) of each frame: translations add up. A missing step counts as zero with no support."""
     dx, dy = F.coalesce("dx", F.lit(0.0)), F.coalesce("dy", F.lit(0.0))
-    return steps.select("recording_id", "frame", F.sum(dx).over(SO_FAR).alias("x"), F.sum(dy).over(SO_FAR).alias("y"), F.when(F.col("dx").isNull(), 0).otherwise(1).alias("support"))
+    return steps.select("recording_id", "frame", F.sum(dx).over(so_far()).alias("x"), F.sum(dy).over(so_far()).alias("y"), F.when(F.col("dx").isNull(), 0).otherwise(1).alias("support"))
 
 
 def steps(poses: DataFrame, width: int = 1, height: int = 1) -> DataFrame:
     """Rigid-aware step magnitude of each frame from the one before; theta is zero where there is none."""
     r2 = (width**2 + height**2 - 2) / 12
     theta = F.col("theta") if "theta" in poses.columns else F.lit(0.0)
-    d = lambda c: c - F.lag(c).over(BY)
+    d = lambda c: c - F.lag(c).over(by_frame())
     m = F.sqrt(d(F.col("x")) ** 2 + d(F.col("y")) ** 2 + 2 * r2 * (1 - F.cos(d(theta))))
     return poses.withColumn("step", m)
 
@@ -43,7 +50,7 @@ def fill(poses: DataFrame, trusted: str = "trusted") -> DataFrame:
     seen = lambda c: F.when(F.col(trusted), F.col(c))
     out = poses
     for c in ("frame", "x", "y"):
-        out = out.withColumn(f"_b{c}", F.last(seen(c), ignorenulls=True).over(SO_FAR)).withColumn(f"_a{c}", F.first(seen(c), ignorenulls=True).over(AHEAD))
+        out = out.withColumn(f"_b{c}", F.last(seen(c), ignorenulls=True).over(so_far())).withColumn(f"_a{c}", F.first(seen(c), ignorenulls=True).over(ahead()))
     f = (F.col("frame") - F.col("_bframe")) / (F.col("_aframe") - F.col("_bframe"))
     for c in ("x", "y"):
         between = F.col(f"_b{c}") + (F.col(f"_a{c}") - F.col(f"_b{c}")) * f
@@ -60,9 +67,9 @@ def crop_margin(poses: DataFrame, reach: int = 0) -> DataFrame:
 def motion_features(poses: DataFrame) -> DataFrame:
     """Step quantiles, jump ratio, path efficiency, accelerations and reach of each recording."""
     s = steps(poses)
-    s = s.withColumn("vx", F.col("x") - F.lag("x").over(BY)).withColumn("vy", F.col("y") - F.lag("y").over(BY))
-    s = s.withColumn("acc", F.hypot(F.col("vx") - F.lag("vx").over(BY), F.col("vy") - F.lag("vy").over(BY)))
-    s = s.withColumn("x0", F.first("x").over(BY)).withColumn("y0", F.first("y").over(BY)).withColumn("x1", F.last("x").over(AHEAD)).withColumn("y1", F.last("y").over(AHEAD))
+    s = s.withColumn("vx", F.col("x") - F.lag("x").over(by_frame())).withColumn("vy", F.col("y") - F.lag("y").over(by_frame()))
+    s = s.withColumn("acc", F.hypot(F.col("vx") - F.lag("vx").over(by_frame()), F.col("vy") - F.lag("vy").over(by_frame())))
+    s = s.withColumn("x0", F.first("x").over(by_frame())).withColumn("y0", F.first("y").over(by_frame())).withColumn("x1", F.last("x").over(ahead())).withColumn("y1", F.last("y").over(ahead()))
     s = s.withColumn("reach", F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")))
     q = lambda c, p: F.percentile(c, F.lit(p))
     path = F.sum("step")
@@ -76,7 +83,7 @@ def motion_features(poses: DataFrame) -> DataFrame:
 
 def best_window(poses: DataFrame, k: int) -> DataFrame:
     """The k consecutive frames of each recording with the largest span of x; the earliest on ties."""
-    w = BY.rowsBetween(0, k - 1)
+    w = by_frame().rowsBetween(0, k - 1)
     s = poses.select("recording_id", "frame", (F.max("x").over(w) - F.min("x").over(w)).alias("span"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") == k)
-    best = F.row_number().over(ALL.orderBy(F.desc("span"), "frame"))
+    best = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("span"), "frame"))
     return s.withColumn("r", best).where("r = 1").select("recording_id", F.col("frame").alias("start"), "span")

@@ -372,3 +372,29 @@ def trajectory_string_parse(spark, sf):
 @query(r"SELECT p_partkey, trim(regexp_replace(upper(trim(p_name)), '[^A-Z0-9]+', '_', 'g'), '_') AS name, regexp_extract(p_brand, '^([^#]*)#', 1) AS prefix, sha256(p_name) AS digest FROM part")
 def enum_normalise(spark, sf):
     return read(spark, sf, "part").select("p_partkey", stats.enum_name(F.col("p_name")).alias("name"), F.substring_index("p_brand", "#", 1).alias("prefix"), F.sha2("p_name", 256).alias("digest"))
+
+
+# --- registration: numeric kernels, held against fixtures in the tests --------------------------------------------
+
+
+@query()
+def registration_report(spark, sf):
+    """Register every recording and report how well it went."""
+    from driftlake import engine
+    from driftlake.kernels.fit import Options
+
+    p = planes(spark, sf).select("recording_id", F.col("frame").cast("int").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("plane").alias("pixels"))
+    trajectory, pairs = engine.estimate(p, Options(max_shift=2.0))
+    rep = engine.report(trajectory, pairs)
+    return rep.select("recording_id", "frames", "repaired", "pairs", "refused", "not_converged", "at_bound", *[F.round(c, 5).alias(c) for c in ("largest_move", "residual_before", "residual_after")])
+
+
+@query()
+def robust_trajectory(spark, sf):
+    """Poses by the robust graph solution, repaired."""
+    from driftlake import engine
+    from driftlake.kernels.fit import Options
+
+    p = planes(spark, sf).select("recording_id", F.col("frame").cast("int").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("plane").alias("pixels"))
+    t, _ = engine.estimate(p, Options(max_shift=2.0), weighting="ROBUST")
+    return t.select("recording_id", "frame", *[F.round(c, 5).alias(c) for c in ("dx", "dy", "theta")], "support", "repair")
