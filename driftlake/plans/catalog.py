@@ -398,3 +398,100 @@ def robust_trajectory(spark, sf):
     p = planes(spark, sf).select("recording_id", F.col("frame").cast("int").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("plane").alias("pixels"))
     t, _ = engine.estimate(p, Options(max_shift=2.0), weighting="ROBUST")
     return t.select("recording_id", "frame", *[F.round(c, 5).alias(c) for c in ("dx", "dy", "theta")], "support", "repair")
+
+
+# --- recipes, evidence and further windows ------------------------------------------------------------------------
+
+
+@query("""SELECT image, motion, norm, rotation_gain FROM (VALUES
+ ('PHASE_CONTRAST','CURVED_OSCILLATING_DRIFT','LEAST_SQUARES',0.01::DOUBLE),('PHASE_CONTRAST','STEADY_DIRECTIONAL_DRIFT','TUKEY',0.01),('PHASE_CONTRAST','SUBPIXEL_RANDOM_WALK','HUBER',0.01),('PHASE_CONTRAST','INTERMITTENT_JUMPS','HUBER',0.01),
+ ('BRIGHTFIELD_DIC','CURVED_OSCILLATING_DRIFT','HUBER',0.001),('BRIGHTFIELD_DIC','STEADY_DIRECTIONAL_DRIFT','LEAST_SQUARES',0.001),('BRIGHTFIELD_DIC','SUBPIXEL_RANDOM_WALK','HUBER',0.001),('BRIGHTFIELD_DIC','INTERMITTENT_JUMPS','LEAST_SQUARES',0.001),
+ ('DENSE_FLUORESCENCE','CURVED_OSCILLATING_DRIFT','TUKEY',0.002),('DENSE_FLUORESCENCE','STEADY_DIRECTIONAL_DRIFT','HUBER',0.002),('DENSE_FLUORESCENCE','SUBPIXEL_RANDOM_WALK','TUKEY',0.002),('DENSE_FLUORESCENCE','INTERMITTENT_JUMPS','TUKEY',0.002),
+ ('SPARSE_LOW_LIGHT_FLUORESCENCE','CURVED_OSCILLATING_DRIFT','TUKEY',0.01),('SPARSE_LOW_LIGHT_FLUORESCENCE','STEADY_DIRECTIONAL_DRIFT','TUKEY',0.01),('SPARSE_LOW_LIGHT_FLUORESCENCE','SUBPIXEL_RANDOM_WALK','TUKEY',0.01),('SPARSE_LOW_LIGHT_FLUORESCENCE','INTERMITTENT_JUMPS','TUKEY',0.01),
+ ('FIDUCIAL_STATIC','CURVED_OSCILLATING_DRIFT','LEAST_SQUARES',0.005),('FIDUCIAL_STATIC','STEADY_DIRECTIONAL_DRIFT','TUKEY',0.005),('FIDUCIAL_STATIC','SUBPIXEL_RANDOM_WALK','HUBER',0.005),('FIDUCIAL_STATIC','INTERMITTENT_JUMPS','LEAST_SQUARES',0.005)) t(image, motion, norm, rotation_gain)""")
+def recommendation_matrix(spark, sf):
+    from driftlake.operators.recipes import matrix
+
+    return matrix(spark).select("image", "motion", "norm", "rotation_gain")
+
+
+@query(f"SELECT recording_id, count(*) AS pairs, round(list_sort(list(residual_after))[floor(count(*) / 2)::INT + 1], 6) AS median_after, round(quantile_cont(residual_after, 0.9), 6) AS p90_after, round(avg(CASE WHEN residual_after < residual_before - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS improved, round(max(abs(log_gain)), 6) AS largest_gain FROM (SELECT recording_id, log_gain, list_avg(list_transform(d, lambda x: abs(x))) AS residual_before, list_avg(list_transform(r, lambda x: abs(x))) AS residual_after FROM ({RESID})) GROUP BY 1")
+def reconciliation_evidence(spark, sf):
+    p = _pairs(spark, sf).select("recording_id", "log_gain", F.round("residual_before", 12).alias("residual_before"), F.round("residual_after", 12).alias("residual_after"))
+    return p.groupBy("recording_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.round(stats.upper_median(F.collect_list("residual_after")), 6).alias("median_after"), F.round(F.percentile("residual_after", F.lit(0.9)), 6).alias("p90_after"),
+        F.round(F.avg(F.when(F.col("residual_after") < F.col("residual_before") - 1e-9, 1.0).otherwise(0.0)), 6).alias("improved"), F.round(F.max(F.abs("log_gain")), 6).alias("largest_gain"),
+    )
+
+
+@query(f"WITH g AS (SELECT recording_id, to_frame AS frame, log_gain FROM ({GAINED}) WHERE lag = 1), f AS (SELECT recording_id, frame FROM @planes) SELECT f.recording_id, f.frame, round(sum(coalesce(log_gain, 0)) OVER (PARTITION BY f.recording_id ORDER BY f.frame), 5) AS log2_gain FROM f LEFT JOIN g USING (recording_id, frame)")
+def running_gain(spark, sf):
+    p = planes(spark, sf)
+    own = pixels.pair_residuals(planning.multilag(p, (1,)), p).select("recording_id", F.col("to_frame").alias("frame"), "log_gain")
+    w = Window.partitionBy("recording_id").orderBy("frame")
+    return p.select("recording_id", "frame").join(own, ["recording_id", "frame"], "left").select("recording_id", "frame", F.round(F.sum(F.coalesce("log_gain", F.lit(0.0))).over(w), 5).alias("log2_gain"))
+
+
+@query("SELECT recording_id, frame, round(abs(list_sort(list(x) OVER b)[len(list(x) OVER b) // 2 + 1] - list_sort(list(x) OVER a)[len(list(x) OVER a) // 2 + 1]), 6) AS jump FROM @poses WINDOW b AS (PARTITION BY recording_id ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY recording_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)")
+def rolling_median_sides(spark, sf):
+    w = Window.partitionBy("recording_id").orderBy("frame")
+    side = lambda lo, hi: stats.upper_median(F.collect_list("x").over(w.rowsBetween(lo, hi)))
+    return poses(spark, sf).select("recording_id", "frame", F.round(F.abs(side(-6, -1) - side(0, 5)), 6).alias("jump"))
+
+
+@query("SELECT recording_id, frame, round(sum(CASE WHEN event_type = 'error' THEN 0.01 * y ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY frame), 6) AS angle FROM @poses")
+def piecewise_angle_cumsum(spark, sf):
+    w = Window.partitionBy("recording_id").orderBy("frame")
+    return poses(spark, sf).select("recording_id", "frame", F.round(F.sum(F.when(F.col("event_type") == "error", 0.01 * F.col("y")).otherwise(0.0)).over(w), 6).alias("angle"))
+
+
+@query("SELECT recording_id, round(atan2(sum(w * sin(x / 100)), sum(w * cos(x / 100))), 6) AS mean_angle, round(sqrt(pow(sum(w * sin(x / 100)), 2) + pow(sum(w * cos(x / 100)), 2)) / sum(w), 6) AS concentration FROM (SELECT *, 1 / (1 + y) AS w FROM @poses) GROUP BY 1")
+def circular_weighted_mean(spark, sf):
+    p = poses(spark, sf).withColumn("w", 1 / (1 + F.col("y")))
+    s, c = F.sum(F.col("w") * F.sin(F.col("x") / 100)), F.sum(F.col("w") * F.cos(F.col("x") / 100))
+    return p.groupBy("recording_id").agg(F.round(F.atan2(s, c), 6).alias("mean_angle"), F.round(F.sqrt(s * s + c * c) / F.sum("w"), 6).alias("concentration"))
+
+
+@query("SELECT recording_id, frame, round(m, 6) AS consensus, n FROM (SELECT recording_id, frame // 4 AS frame, quantile_cont(x, 0.5) AS m, count(*) AS n FROM @poses GROUP BY 1, 2)")
+def channel_consensus(spark, sf):
+    p = poses(spark, sf).groupBy("recording_id", F.floor(F.col("frame") / 4).alias("frame"))
+    return p.agg(F.round(F.percentile("x", F.lit(0.5)), 6).alias("consensus"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, done, total, round(mean_seconds * (total - done), 6) AS eta FROM (SELECT user_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total, avg(value) OVER w AS mean_seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def eta_remaining(spark, sf):
+    w, a = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id")
+    e = read(spark, sf, "events").select("user_id", F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(a).alias("total"), F.avg("value").over(w).alias("m"))
+    return e.select("user_id", "done", "total", F.round(F.col("m") * (F.col("total") - F.col("done")), 6).alias("eta"))
+
+
+@query(r"SELECT event_id, regexp_extract(props, '\"([a-z]+)\"', 1) AS option, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, regexp_matches(props, '(?i)\b(nan|inf|infinity)\b') AS nonfinite FROM events")
+def options_string_parse(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select("event_id", F.regexp_extract("props", '"([a-z]+)"', 1).alias("option"), F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.col("props").rlike(r"(?i)\b(nan|inf|infinity)\b").alias("nonfinite"))
+
+
+@query("SELECT condition, method, count(*) AS n FROM (SELECT condition, method FROM @results UNION ALL SELECT 'ALL', method FROM @results) GROUP BY 1, 2")
+def union_views(spark, sf):
+    r = results(spark, sf).select("condition", "method")
+    return r.unionByName(r.withColumn("condition", F.lit("ALL"))).groupBy("condition", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT kind, round(max(0.02, 0.25 * avg(m)), 6) AS margin FROM (SELECT kind, cluster, avg(metric) AS m FROM @results GROUP BY 1, 2) GROUP BY 1".replace("max(0.02,", "greatest(0.02,"))
+def noninferiority_margin(spark, sf):
+    m = results(spark, sf).groupBy("kind", "cluster").agg(F.avg("metric").alias("m"))
+    return m.groupBy("kind").agg(F.round(F.greatest(F.lit(0.02), 0.25 * F.avg("m")), 6).alias("margin"))
+
+
+@query("SELECT family, round(least(1.0, 3 * p), 9) AS p_conjunction FROM (SELECT p_type AS family, round(p_retailprice / 100000, 9) AS p, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS r FROM part) WHERE r = 3")
+def partial_conjunction(spark, sf):
+    w = Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")
+    p = read(spark, sf, "part").withColumn("r", F.row_number().over(w)).where("r = 3")
+    return p.select(F.col("p_type").alias("family"), F.round(F.least(F.lit(1.0), 3 * F.round(F.col("p_retailprice") / 100000, 9)), 9).alias("p_conjunction"))
+
+
+@query("SELECT o_orderkey, count(*) AS pairs, round(quantile_cont(l_discount, 0.5), 6) AS median, round(quantile_cont(l_discount, 0.9), 6) AS p90, max(l_discount) AS worst, sum(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END)::BIGINT AS refused FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def pair_to_recording(spark, sf):
+    li = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_discount")
+    j = li.join(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return j.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.percentile("l_discount", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("l_discount", F.lit(0.9)), 6).alias("p90"), F.max("l_discount").alias("worst"), F.count_if(F.col("l_discount") > 0.08).alias("refused"))
