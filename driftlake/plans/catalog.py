@@ -458,11 +458,13 @@ def channel_consensus(spark, sf):
     return p.agg(F.round(F.percentile("x", F.lit(0.5)), 6).alias("consensus"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, done, total, round(mean_seconds * (total - done), 6) AS eta FROM (SELECT user_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total, avg(value) OVER w AS mean_seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+@query("SELECT user_id, done, total, (hundredths * (total - done)) // done AS eta_hundredths FROM (SELECT user_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total, sum(round(value * 100)::BIGINT) OVER w AS hundredths FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))".replace("sum(round(value * 100)::BIGINT) OVER w", "(sum(round(value * 100)::BIGINT) OVER w)::BIGINT"))
 def eta_remaining(spark, sf):
+    """Mean of what is done by what is left, in whole hundredths of a second."""
     w, a = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id")
-    e = read(spark, sf, "events").select("user_id", F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(a).alias("total"), F.avg("value").over(w).alias("m"))
-    return e.select("user_id", "done", "total", F.round(F.col("m") * (F.col("total") - F.col("done")), 6).alias("eta"))
+    spent = F.sum(F.round(F.col("value") * 100).cast("long")).over(w)
+    e = read(spark, sf, "events").select("user_id", F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(a).alias("total"), spent.alias("spent"))
+    return e.select("user_id", "done", "total", F.expr("(spent * (total - done)) div done").alias("eta_hundredths"))
 
 
 @query(r"SELECT event_id, regexp_extract(props, '\"([a-z]+)\"', 1) AS option, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, regexp_matches(props, '(?i)\b(nan|inf|infinity)\b') AS nonfinite FROM events")
