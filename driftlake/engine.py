@@ -92,6 +92,34 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
     return p.groupBy("recording_id", "block").applyInPandas(run, PAIR.replace("{id}", kind))
 
 
+def rolling(planes: DataFrame, options: fit.Options = fit.Options(), window: int = 5, filter_: str = "NONE") -> DataFrame:
+    """(recording_id, frame, x, y, theta, support) against a template that follows: the mean of the last `window` frames,
+    moved back and freed of their gain. A recording is streamed in order; a task holds `window` planes."""
+    kind = planes.schema["recording_id"].dataType.simpleString()
+    src = planes.select("recording_id", "frame", "height", "width", "pixels").repartition("recording_id").sortWithinPartitions("recording_id", "frame")
+
+    def run(batches):
+        now, recent = object(), []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if r.recording_id != now:
+                    now, recent, pose = r.recording_id, [], np.zeros(3)
+                a = _array(r, filter_)
+                support, gain = 1, 0.0
+                if recent:
+                    f = fit.log_ratio(fit.prepare(np.exp2(np.nanmean(recent, axis=0)) - options.epsilon, options), fit.prepare(a, options), options)
+                    support, gain = int(f.usable), f.log_gain if f.usable else 0.0
+                    pose = np.array([f.dx, f.dy, f.theta]) if f.usable else pose
+                out.append((r.recording_id, r.frame, *map(float, pose), support))
+                if support:
+                    level = np.log2(np.maximum(a + options.epsilon, 1e-6)) - gain
+                    recent = [*recent, kp.warp(level.astype(np.float64), pose, "BILINEAR", np.nan)][-window:]
+            yield pd.DataFrame(out, columns=["recording_id", "frame", "x", "y", "theta", "support"])
+
+    return src.mapInPandas(run, f"recording_id {kind}, frame int, x double, y double, theta double, support int")
+
+
 def reconcile(pairs: DataFrame, frames: DataFrame, reference: str = "MULTILAG", weighting: str = "EQUAL") -> DataFrame:
     """(recording_id, frame, x, y, theta, support): one pose a frame, relative to frame 0."""
     if weighting not in ("EQUAL", "ROBUST"):

@@ -31,7 +31,7 @@ class Options:
     def __post_init__(self) -> None:
         if self.norm not in NORMS:
             raise ValueError(f"unknown norm {self.norm}")
-        if self.estimator not in ("LOG_RATIO_FIT", "AREA_CORRELATION", "PHASE_CORRELATION"):
+        if self.estimator not in ESTIMATORS:
             raise ValueError(f"unknown estimator {self.estimator}")
         if self.max_shift <= 0 or self.iterations < 1 or self.max_samples < 1 or not 0 < self.least_valid <= 1 or self.epsilon <= 0:
             raise ValueError("a bound is out of range")
@@ -254,7 +254,79 @@ def phase(pa: list[Plane], pb: list[Plane], o: Options) -> Fit:
     return _report(a, b, _clamp(pose, o.max_shift, o), "OK", 1, o)
 
 
-ESTIMATORS = {"LOG_RATIO_FIT": log_ratio, "AREA_CORRELATION": area, "PHASE_CORRELATION": phase}
+def _whole(pa: list[Plane], pb: list[Plane], o: Options) -> np.ndarray | None:
+    """The best whole-pixel move at full size, by the same search as area()."""
+    f = area(pa, pb, replace(o, iterations=1))
+    return np.rint([f.dx, f.dy, 0.0]) if f.usable else None
+
+
+def _climb(a: Plane, b: Plane, pose: np.ndarray, o: Options, step_of) -> Fit:
+    """Up to eight steps of a pixel at most, halved up to four times; a step counts only if the correlation is not lower."""
+    best = _ncc(a, b, pose)
+    for i in range(8):
+        step = step_of(pose)
+        if step is None:
+            break
+        step = step * min(1.0, 1.0 / max(np.hypot(*step), 1e-12))
+        for _ in range(5):
+            new = _clamp(pose + np.array([*step, 0.0]), o.max_shift, o)
+            c = _ncc(a, b, new)
+            if c >= best:
+                break
+            step = step / 2
+        else:
+            break
+        done = np.hypot(*(new - pose)[:2]) < o.converged
+        pose, best = new, c
+        if done:
+            break
+    return _report(a, b, pose, "OK", i + 1, o)
+
+
+def newton(pa: list[Plane], pb: list[Plane], o: Options) -> Fit:
+    """Newton's method on the correlation, with differences of a quarter pixel."""
+    a, b, h = pa[0], pb[0], 0.25
+    pose = _whole(pa, pb, o)
+    if pose is None:
+        return Fit()
+
+    def step(p: np.ndarray) -> np.ndarray | None:
+        f = {(i, j): _ncc(a, b, p + np.array([i * h, j * h, 0.0])) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+        g = np.array([f[1, 0] - f[-1, 0], f[0, 1] - f[0, -1]]) / (2 * h)
+        xx, yy = (f[1, 0] - 2 * f[0, 0] + f[-1, 0]) / h**2, (f[0, 1] - 2 * f[0, 0] + f[0, -1]) / h**2
+        xy = (f[1, 1] - f[1, -1] - f[-1, 1] + f[-1, -1]) / (4 * h**2)
+        m = np.array([[xx, xy], [xy, yy]])
+        if not np.isfinite(m).all() or xx >= 0 or np.linalg.det(m) <= 0:
+            return None
+        return -np.linalg.solve(m, g)
+
+    return _climb(a, b, pose, o, step)
+
+
+def ecc(pa: list[Plane], pb: list[Plane], o: Options) -> Fit:
+    """Forward steps of the enhanced correlation: the reference as a scaled, offset and moved frame, by least squares."""
+    a, b = pa[0], pb[0]
+    pose = _whole(pa, pb, o)
+    if pose is None:
+        return Fit()
+    h, w = a.value.shape
+    y, x = np.nonzero(a.valid)
+    value = np.exp2(b.value)
+    gy, gx = np.gradient(np.where(b.valid, value, np.nan))
+
+    def step(p: np.ndarray) -> np.ndarray | None:
+        px, py = moved(x, y, p, h, w)
+        (v, dx, dy), ok = sample([value, np.nan_to_num(gx), np.nan_to_num(gy)], b.valid, px, py)
+        if ok.sum() < 16:
+            return None
+        m = np.stack([dx[ok], dy[ok], v[ok], np.ones(ok.sum())], axis=1)
+        s = np.linalg.lstsq(m, np.exp2(a.value[y[ok], x[ok]]), rcond=None)[0]
+        return s[:2] / s[2] if abs(s[2]) > 1e-12 else None
+
+    return _climb(a, b, pose, o, step)
+
+
+ESTIMATORS = {"LOG_RATIO_FIT": log_ratio, "AREA_CORRELATION": area, "AREA_CORRELATION_NEWTON": newton, "AREA_CORRELATION_ECC": ecc, "PHASE_CORRELATION": phase}
 
 
 def prepare(a: np.ndarray, o: Options) -> list[Plane]:

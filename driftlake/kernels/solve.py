@@ -95,3 +95,23 @@ def fixed(n: int, edges, reference: int = 0) -> tuple[np.ndarray, np.ndarray]:
         if a == reference:
             poses[b], support[b] = o, 1
     return poses, support
+
+
+def event_angle(angles, weights, max_rotation: float, rounds: int = 20) -> tuple[float, str]:
+    """The turn at a known event from fits across it: a weighted circular median, then a Huber circular mean."""
+    a, w = np.asarray(angles, float), np.maximum(np.asarray(weights, float), 1e-6)
+    if len(a) < 3:
+        return 0.0, "INSUFFICIENT_SUPPORT"
+    wrap = lambda x: np.arctan2(np.sin(x), np.cos(x))
+    mid = min(a, key=lambda c: float(np.sum(w * np.abs(wrap(a - c)))))
+    for _ in range(rounds):
+        r = wrap(a - mid)
+        s = max(1.4826 * np.sort(np.abs(r))[len(r) // 2], 1e-6)
+        k = w * np.minimum(1.0, 1.345 * s / np.maximum(np.abs(r), 1e-12))
+        new = np.arctan2(np.sum(k * np.sin(a)), np.sum(k * np.cos(a)))
+        done = abs(wrap(new - mid)) < 1e-9
+        mid = new
+        if done:
+            break
+    spread = np.sort(np.abs(wrap(a - mid)))[len(a) // 2]
+    return float(mid), "HIGH_DISAGREEMENT" if spread > 0.25 * max_rotation else "OK"

@@ -15,7 +15,7 @@ def analytic(dx=0.0, dy=0.0, theta=0.0, gain=1.0, w=96):
     return (gain * (2000 + 600 * f)).astype(np.float32)
 
 
-@pytest.mark.parametrize(("name", "tol"), [("LOG_RATIO_FIT", 0.05), ("AREA_CORRELATION", 0.05), ("PHASE_CORRELATION", 0.35)])
+@pytest.mark.parametrize(("name", "tol"), [("LOG_RATIO_FIT", 0.05), ("AREA_CORRELATION", 0.05), ("AREA_CORRELATION_NEWTON", 0.05), ("AREA_CORRELATION_ECC", 0.05), ("PHASE_CORRELATION", 0.35)])
 @pytest.mark.parametrize("move", [(0.0, 0.0), (2.3, -1.6), (-5.25, 3.75)])
 def test_estimators_recover_moves(name, tol, move):
     o = fit.Options(estimator=name, max_shift=8)
@@ -134,3 +134,23 @@ def test_streaming_chain(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.recording_id, r.frame): (r.x, r.y) for r in spark.table("chained").collect()}
     assert len(got) == 12 and got[2, 5] == (12.0, 3.0)
+
+
+def test_event_angle_and_recipes():
+    from driftlake.operators.recipes import recommend
+
+    a, status = solve.event_angle([0.05, 0.052, 0.049, 1.2], [1, 1, 1, 1], 0.2)
+    assert abs(a - 0.05) < 0.01 and status == "OK"
+    assert solve.event_angle([0.1], [1], 0.2)[1] == "INSUFFICIENT_SUPPORT"
+    assert solve.event_angle([-0.2, 0.0, 0.2, 0.1, -0.1], [1] * 5, 0.2)[1] == "HIGH_DISAGREEMENT"
+    got = recommend("sparse low-light fluorescence", "Intermittent jumps")
+    assert got["options"].norm == "TUKEY" and got["outlier_mads"] == 0.0
+    with pytest.raises(ValueError):
+        recommend("x-ray", "jumps")
+
+
+def test_rolling_template(spark):
+    moves = [(0.5 * t, -0.3 * t) for t in range(6)]
+    got = engine.rolling(_planes(spark, moves), fit.Options(max_shift=6), window=2).collect()
+    assert len(got) == 6 and all(r.support for r in got)
+    assert max(np.hypot(r.x - moves[r.frame][0], r.y - moves[r.frame][1]) for r in got) < 0.2
