@@ -318,10 +318,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Front-coded runs (bucket, run) of the wanted suffixes."""
-    lists = wanted.groupBy("k", "nb").agg(F.collect_set(F.struct("pos", "ctx", "full")).alias("wanted"))
-    both = docs.join(lists, ["k", "nb"]).select("text", "wanted")
+def _window_hashes(text: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, other hash, first byte) of each string of some suffixes; only their own bytes are looked at."""
+    p, h1, h2 = [], [], []
+    for x in pos.tolist():
+        first, count = x >> 16, x & 255
+        part, i = text[first : first + count - 1 + length], np.arange(count)
+        p.append(first + i)
+        h1.append(_Rolling(part, 0).of(i, i + length))
+        h2.append(_Rolling(part, 1).of(i, i + length))
+    return tuple(np.concatenate(x).astype(np.uint64).view(np.int64) for x in (h1, h2, p))
+
+
+_CUT = "bucket int, run binary, h1 long, h2 long, k long, nb long, p long"
+
+
+def _cut(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Front-coded runs (bucket, run) of the wanted suffixes, and a row for each string of those with a hot context."""
+    lists = wanted.groupBy("k", "nb").agg(F.collect_set(F.struct("pos", "ctx", "full", "hot")).alias("wanted"))
+    both = docs.join(lists, ["k", "nb"]).select("text", "wanted", "k", "nb")
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["bucket", "run", "h1", "h2", "k", "nb", "p"]
 
     def run(batches):
         seen: dict[tuple[int, int], list] = {}
@@ -333,12 +350,21 @@ def _runs(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> Data
                 by_bucket.setdefault(ctx % buckets, []).append((right, left, number, ctx, full))
             for bucket, entries in by_bucket.items():
                 entries.sort()
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([pack_run(entries)], pa.binary())], names=["bucket", "run"])
+                cols = [[bucket], [pack_run(entries)], *[[None]] * 5]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for b in batches:
-            for t, w in zip(b.column(0), b.column(1), strict=True):
+            for t, w, k, nb in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 text, w = t.as_py(), w.values
-                for pos, ctx, full in zip(*(w.field(i).to_pylist() for i in range(3)), strict=True):
+                places, hot = w.field(0).to_numpy(), w.field(3).to_numpy(zero_copy_only=False)
+                for at in range(0, int(hot.sum()), 512):
+                    h1, h2, p = _window_hashes(np.frombuffer(text, np.uint8), places[hot][at : at + 512], length)
+                    n = len(p)
+                    cols = (pa.nulls(n, kinds[0]), pa.nulls(n, kinds[1]), pa.array(h1), pa.array(h2), pa.array(np.full(n, k)), pa.array(np.full(n, nb)), pa.array(p))
+                    yield pa.record_batch(list(cols), names=names)
+                for pos, ctx, full, is_hot in zip(places.tolist(), w.field(1).to_pylist(), w.field(2).to_pylist(), hot.tolist(), strict=True):
+                    if is_hot:
+                        continue
                     if (e := seen.get((ctx, full))) is not None:
                         e[2] += 1
                         continue
@@ -352,7 +378,7 @@ def _runs(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> Data
                     size = 0
         yield from flush()
 
-    return both.mapInArrow(run, "bucket int, run binary")
+    return both.mapInArrow(run, _CUT)
 
 
 def _merge(runs: DataFrame, length: int) -> DataFrame:
@@ -411,31 +437,8 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "ctx long, full long, spans array<struct<a:int,b:int>>")
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(k, nb, a, b) of the strings of suffixes with a hot context that occur twice or more, counted by two hashes."""
-    lists = wanted.groupBy("k", "nb").agg(F.collect_set("pos").alias("wanted"))
-    both = docs.join(lists, ["k", "nb"]).select("k", "nb", "text", "wanted")
-
-    def run(batches):
-        for b in batches:
-            for k, nb, t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                text = np.frombuffer(t.as_py(), np.uint8)
-                pos = w.values.to_numpy()
-                for at in range(0, len(pos), 512):
-                    some = pos[at : at + 512]
-                    p = np.concatenate([np.arange(x >> 16, (x >> 16) + (x & 255)) for x in some])
-                    h = []
-                    for which in (0, 1):
-                        # hash each suffix's own bytes, so that no more than these is held
-                        parts = []
-                        for x in some:
-                            first, count = int(x >> 16), int(x & 255)
-                            i = np.arange(count)
-                            parts.append(_Rolling(text[first : first + count - 1 + length], which).of(i, i + length))
-                        h.append(np.concatenate(parts).view(np.int64))
-                    yield pa.record_batch([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(p), k)), pa.array(np.full(len(p), nb)), pa.array(p.astype(np.int64))], names=["h1", "h2", "k", "nb", "p"])
-
-    rows = materialise(both.mapInArrow(run, "h1 long, h2 long, k long, nb long, p long"), "suffix-windows")
+def _counted(rows: DataFrame, length: int) -> DataFrame:
+    """(k, nb, a, b) of the strings of hot contexts that occur twice or more."""
     again = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     return rows.join(again, ["h1", "h2"]).select("k", "nb", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
 
@@ -459,15 +462,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     drop_path(spark, path)
     crowded = wanted.select("ctx", "full").distinct().groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("ctx")
     crowded = materialise(crowded, "suffix-hot")
-    plain, many = wanted, not crowded.isEmpty()
+    many = not crowded.isEmpty()
     if many:
-        plain = wanted.join(crowded, "ctx", "left_anti")
-    answers = _merge(_runs(long, plain, length, 4 * shuffle_partitions(spark)), length)
+        wanted = wanted.join(crowded.withColumn("hot", F.lit(True)), "ctx", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    else:
+        wanted = wanted.withColumn("hot", F.lit(False))
+    cut = materialise(_cut(long, wanted, length, 4 * shuffle_partitions(spark)), "suffix-runs")
+    plain = wanted.where(~F.col("hot"))
+    answers = _merge(cut.where(F.col("run").isNotNull()).select("bucket", "run"), length)
     by_place = plain.join(answers, ["ctx", "full"]).select("k", "nb", "pos", F.explode("spans").alias("s"))
     anchor = F.shiftright("pos", 16) + F.shiftright("pos", 8).bitwiseAND(F.lit(255))
     spans = by_place.select("k", "nb", (anchor - F.col("s.b")).alias("a"), (anchor - F.col("s.a") + length).alias("b"))
     if many:
-        spans = spans.unionByName(_windows(long, wanted.join(crowded, "ctx", "left_semi"), length))
+        spans = spans.unionByName(_counted(cut.where(F.col("run").isNull()).select("h1", "h2", "k", "nb", "p"), length))
     lists = spans.groupBy("k", "nb").agg(F.collect_set(F.struct("a", "b")).alias("found"))
     both = rows.join(lists, ["k", "nb"], "left").select("id", *keep, "text", "found")
     names = ["id", *keep]
