@@ -60,7 +60,7 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     hash with a neighbour are then compared by their words, so n_repeat_words is exact.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.expr(f"trim(BOTH '{WS_CHARS.encode('unicode_escape').decode()}' FROM coalesce(`{text}`, ''))")
+    trimmed = F.btrim(t, F.lit(WS_CHARS))
     measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs"]
     df = docs.drop(*[c for c in measured if c in docs.columns])
     df = df.withColumn("_t", t).withColumn("_trim", trimmed)
