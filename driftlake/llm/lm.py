@@ -221,8 +221,9 @@ def word_table(chunked: DataFrame) -> DataFrame:
                     now, seen = chunk, Counter()
                 words = _words(t.as_py())
                 if held:
-                    for w in {*words, b"\n"}.difference(seen):
-                        seen[w] = 0
+                    for w in (*words, b"\n"):
+                        if w not in seen:
+                            seen[w] = 0
                 else:
                     seen.update(words)
                     seen[b"\n"] += 1
