@@ -41,7 +41,7 @@ _SPACE = regex.compile(r"\s*")
 #: A place where no match crosses: before a space between two characters that are not white space.
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: Characters held before a match without an end is streamed, and units kept in a cache.
-HOLD, CACHE = 1 << 12, 1 << 18
+HOLD, CACHE = 1 << 12, 1 << 16
 
 
 def byte_chars() -> dict[str, int]:
