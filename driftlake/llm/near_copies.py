@@ -1,15 +1,17 @@
-"""Near copies: texts whose sets of five-word shingles are 0.8 similar or more, found by SimHash tries.
+"""Near copies: texts whose sets of five-word shingles are 0.8 similar or more, by SimHash tries and shared shingles.
 
-One fingerprint would have to be searched to a Hamming distance at which a trie prunes little. Instead each text has
-`TABLES` fingerprints of its set of words (an edit changes that set less than the shingles), each searched within three
-bits by the trie self-join of simhash.py; texts of 0.8 similarity or more meet in at least one table with a probability
-of about 0.95 at 0.8, 0.99 at 0.85 and 1 from 0.875 on (measured on texts of 60 to 400 words with random edits). Pairs that meet are compared by a sketch of
-their shingle sets while the tries are walked, links that span the pieces are kept, and these links are then verified
-by the exact Jaccard similarity of the shingle sets.
+1. Tries: each text has `TABLES` fingerprints of its set of words, each searched within three bits by the trie
+   self-join of simhash.py, with a sketch of the shingle sets to tell pairs apart. This finds most links, not all: it
+   goes by leaders in large groups, and a passage that is added changes a set of words as much as the shingles.
+2. Shared shingles: in one order of all shingles (frequent ones last, by a sample; the order bears on speed only) two
+   sets of 0.8 similarity or more have a shingle of their prefixes, about a fifth of each set, in common. For each
+   shingle the text that shares most with others is linked to all texts that have it.
+3. All these links are verified by the exact Jaccard similarity, and components are made of those that hold.
+4. All pairs that share a shingle of their prefixes and are not in one component by then are verified too. So the
+   groups are those of all pairs, whatever the steps before have left out.
 
-Texts that are equal are one vertex throughout, and a walk never compares two texts that links already connect. Groups
-of equal table fingerprints with more than `ALL_PAIRS` members compare with the leaders of the group only; groups of
-more than `GROUP` fingerprints are cut as in simhash.py.
+Texts that are equal are one vertex throughout. Where more than `TILE` texts share a shingle, their pairs are dealt out
+in tiles; texts that are in the component of the one with most shared shingles are not paired with one another.
 
 Defined results: null and empty texts are equal to each other; texts of fewer than five words have their words as the
 one shingle; of a group the row with the least id stays (null ids last, then by a hash of the row), of rows that are
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.llm.common import materialise
@@ -35,6 +37,10 @@ SKETCH = 256
 #: What a sketch may be short of the similarity for a pair to be verified.
 SLACK = 0.05
 ALL_PAIRS = 512
+#: One text in SAMPLE is counted to find frequent shingles; at most HOT of them go to the end of the order.
+SAMPLE, HOT = 16, 50_000
+#: Texts of a tile, where many texts share a shingle.
+TILE = 1024
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -160,24 +166,88 @@ def _value_pairs(values: np.ndarray, top: int):
             stack.append((depth + 1, *(x[keep] for x in (ul, uh, vl, vh, cost))))
 
 
-_FEATURES = "k1 long, k2 long, t1 long, t2 long, f array<long>, s binary"
+_FEATURES = "k1 long, k2 long, t1 long, t2 long, f array<long>, s binary, p array<long>, n int"
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Fingerprints and sketch of each row of (k1, k2, t1, t2, text)."""
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of texts, in order, and their counts. They set an order and decide nothing else."""
 
     def run(batches):
         for b in batches:
-            f, s = [], []
+            for t in b.column(0).cast(pa.binary()):
+                yield pa.record_batch([pa.array(hashes(t.as_py())[1].view(np.int64))], names=["h"])
+
+    some = rows.where(F.pmod("t1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(HOT).toArrow()
+    h, n = found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(shingles: np.ndarray, hot: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The first shingles in the order of all texts, rare ones first: two sets that are similar share one of these."""
+    n, count = len(shingles), np.zeros(len(shingles), np.int64)
+    if len(hot[0]):
+        i = np.minimum(np.searchsorted(hot[0], shingles), len(hot[0]) - 1)
+        count = np.where(hot[0][i] == shingles, hot[1][i], 0)
+    return shingles[np.lexsort((_mixed(shingles), count))[: n - int(np.ceil(similar * n - 1e-9)) + 1]]
+
+
+def features(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Fingerprints, sketch, prefix and number of shingles of each row of (k1, k2, t1, t2, text)."""
+    sent = rows.sparkSession.sparkContext.broadcast(frequent(rows))
+
+    def run(batches):
+        for b in batches:
+            f, s, p, n = [], [], [], []
             for t in b.column(4).cast(pa.binary()):
                 words, shingles = hashes(t.as_py())
                 f.append(fingerprints(words))
                 s.append(sketch(shingles))
-            yield pa.record_batch([*b.columns[:4], pa.array(f, pa.list_(pa.int64())), pa.array(s, pa.binary())], names=["k1", "k2", "t1", "t2", "f", "s"])
+                p.append(prefix(shingles, sent.value, similar).view(np.int64))
+                n.append(len(shingles))
+            made = [pa.array(f, pa.list_(pa.int64())), pa.array(s, pa.binary()), pa.array(p, pa.list_(pa.int64())), pa.array(n, pa.int32())]
+            yield pa.record_batch([*b.columns[:4], *made], names=["k1", "k2", "t1", "t2", "f", "s", "p", "n"])
 
     return rows.mapInArrow(run, _FEATURES)
 
 
+def _may(a: str, b: str, similar: float):
+    """Whether two texts whose first common shingle is this one can be similar, by their sizes and its places."""
+    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
+    return F.least(n - i, m - j) >= F.ceil(F.lit(similar / (1 + similar)) * (n + m) - F.lit(1e-9))
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """(sh, r: (score, t1, n, at), m): the texts whose prefixes share a shingle, and how many share it."""
+    rows = reps.select("t1", "n", F.posexplode("p").alias("at", "sh"))
+    rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sh"))).where("m > 1")
+    rows = materialise(rows, "near-shared")
+    score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).alias("score"))
+    return rows.join(score, "t1").select("sh", F.struct("score", "t1", "n", "at").alias("r"), "m")
+
+
+def _stars(shared: DataFrame, similar: float) -> DataFrame:
+    """Links of each text to the one that shares most with others, for each shingle."""
+    tops = shared.groupBy("sh").agg(F.max("r").alias("top"))
+    far = shared.join(tops, "sh").where(F.col("r.t1") != F.col("top.t1")).where(_may("r", "top", similar))
+    return far.select(F.col("top.t1").alias("u"), F.col("r.t1").alias("v"))
+
+
+def _others(shared: DataFrame, root: DataFrame, similar: float) -> DataFrame:
+    """All pairs that share a shingle of their prefixes and that verified links do not connect yet."""
+    named = shared.withColumn("t1", F.col("r.t1")).join(root.select(F.col("u").alias("t1"), "v"), "t1", "left")
+    named = named.select("sh", "r", "m", F.coalesce("v", "t1").alias("label"))
+    tops = named.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("r", "label")).getField("label").alias("main")).where("lo < hi")
+    rows = named.join(tops.select("sh", "main"), "sh").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("r.t1"), F.col("tiles")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    a = rows.where("label <> main").select("sh", F.col("own").alias("i"), F.col("each").alias("j"), F.col("r").alias("a"), F.col("label").alias("la"))
+    b = rows.select("sh", F.col("each").alias("i"), F.col("own").alias("j"), F.col("r").alias("b"), F.col("label").alias("lb"), "main")
+    once = (F.col("lb") == F.col("main")) | (F.col("a.t1") < F.col("b.t1"))
+    both = a.join(b, ["sh", "i", "j"]).where((F.col("la") != F.col("lb")) & once & _may("a", "b", similar))
+    return both.select(F.col("a.t1").alias("u"), F.col("b.t1").alias("v"))
+
+
 def _candidates(reps: DataFrame, least: float) -> DataFrame:
     """Links (u, v) between vertices (t1) that are alike by their sketches and within BUDGET bits in a table."""
     low1 = low2 = 0
@@ -230,23 +300,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     keyed = docs.withColumns({"_k1": F.xxhash64(*cols), "_k2": F.xxhash64(F.lit(7), *cols)})
     rows = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(7), plain).alias("t2"), plain.alias("text"), F.col(id_col).alias("id"))
     ids = rows.select("id", "k1", "k2", "t1", "t2").groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2")).alias("head"))
-    feats = features(rows.select("k1", "k2", "t1", "t2", "text"))
-    reps = materialise(feats.groupBy("t1", "t2").agg(F.min(F.struct("f", "s")).alias("x")).join(ids, ["t1", "t2"]).select("t1", "t2", "head", "x.f", "x.s"), "near-features")
-    links = materialise(_candidates(reps, similar - SLACK).distinct(), "near-links")
-    ends = links.select(F.col("u").alias("t1")).unionByName(links.select(F.col("v").alias("t1"))).distinct()
-    wanted = reps.select("t1", F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")).join(ends, "t1").withColumnRenamed("t1", "vertex")
+    feats = features(rows.select("k1", "k2", "t1", "t2", "text"), similar)
+    reps = feats.groupBy("t1", "t2").agg(F.min(F.struct("f", "s", "p", "n")).alias("x")).join(ids, ["t1", "t2"])
+    reps = materialise(reps.select("t1", "t2", "head", "x.f", "x.s", "x.p", "x.n"), "near-features")
 
     def sets(batches):
         for b in batches:
             h = [hashes(t.as_py())[1].view(np.int64) for t in b.column(1).cast(pa.binary())]
             yield pa.record_batch([b.column(0), pa.array(h, pa.list_(pa.int64()))], names=["vertex", "h"])
 
-    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("vertex", "text")
-    shingles = materialise(texts.mapInArrow(sets, "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles")
-    left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
-    both = F.size(F.array_intersect("hu", "hv"))
-    exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both)).select("u", "v")
-    root = components(exact)
+    def verified(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("u").alias("t1")).unionByName(links.select(F.col("v").alias("t1"))).distinct()
+        wanted = reps.select("t1", F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")).join(ends, "t1").withColumnRenamed("t1", "vertex")
+        texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("vertex", "text")
+        shingles = materialise(texts.mapInArrow(sets, "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles")
+        left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
+        both = F.size(F.array_intersect("hu", "hv"))
+        exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both)).select("u", "v")
+        return materialise(exact, "near-exact")
+
+    def pairs(links: DataFrame) -> DataFrame:
+        return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    shared = _shared(reps)
+    tried = materialise(pairs(_candidates(reps, similar - SLACK).unionByName(_stars(shared, similar))), "near-links")
+    exact = verified(tried)
+    left = materialise(pairs(_others(shared, components(exact), similar)).join(tried, ["u", "v"], "left_anti"), "near-others")
+    root = components(exact.unionByName(verified(left)))
     named = reps.select("t1", "head").join(root, reps.t1 == root.u, "left").select("head", F.coalesce("v", "t1").alias("root"))
     stay = named.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.k1").alias("_k1"), F.col("head.k2").alias("_k2"))
     return keyed.join(stay, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*cols)

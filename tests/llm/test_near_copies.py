@@ -83,3 +83,54 @@ def test_odd_rows(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, "b"), (5, "d"), (6, None), (7, "e")] or {r.doc_id for r in out.collect()} == {1, 5, 6, 7}
     assert nc.keep_one(df.where("false")).count() == 0
+
+
+def same_as_brute_force(spark, texts):
+    """Rows that stay, held against the components of all pairs; the number of rows that stay."""
+    def grams(t):
+        w = t.split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    sets, up = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if both * 9 >= 4 * (len(x) + len(y)):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in nc.keep_one(df).collect())
+    assert kept == [i for i in range(len(texts)) if find(i) == i]
+    return len(kept)
+
+
+def fresh(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def swapped(rng, words, n):
+    """`words` with n pairs of neighbours changed round: other shingles, the same set of words."""
+    w = list(words)
+    for i in rng.sample(range(0, len(w) - 1, 8), n):
+        w[i], w[i + 1] = w[i + 1], w[i]
+    return w
+
+
+def test_families_around_a_base(spark):
+    rng, texts = random.Random(11), []
+    for size in (20, 200, 1000):
+        base = fresh(rng, 300)
+        texts.append(" ".join(base))
+        for _ in range(size):
+            w = list(base)
+            for k in rng.sample(range(300), 4):
+                w[k] = fresh(rng, 1)[0]
+            texts.append(" ".join(w))
+    assert same_as_brute_force(spark, texts) < 20
