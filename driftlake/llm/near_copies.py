@@ -20,6 +20,9 @@ equal in all columns one stays; an empty table gives an empty result; all column
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,6 +47,13 @@ TILE = 1024
 _ODD = 0x9E3779B97F4A7C15
 
 
+def _trim() -> None:
+    """Give memory back that a Python worker holds while it is idle."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -176,6 +186,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for t in b.column(0).cast(pa.binary()):
                 yield pa.record_batch([pa.array(hashes(t.as_py())[1].view(np.int64))], names=["h"])
+        _trim()
 
     some = rows.where(F.pmod("t1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
     found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(HOT).toArrow()
@@ -208,6 +219,7 @@ def features(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 n.append(len(shingles))
             made = [pa.array(f, pa.list_(pa.int64())), pa.array(s, pa.binary()), pa.array(p, pa.list_(pa.int64())), pa.array(n, pa.int32())]
             yield pa.record_batch([*b.columns[:4], *made], names=["k1", "k2", "t1", "t2", "f", "s", "p", "n"])
+        _trim()
 
     return rows.mapInArrow(run, _FEATURES)
 
@@ -218,19 +230,22 @@ def _may(a: str, b: str, similar: float):
     return F.least(n - i, m - j) >= F.ceil(F.lit(similar / (1 + similar)) * (n + m) - F.lit(1e-9))
 
 
-def _shared(reps: DataFrame) -> DataFrame:
-    """(sh, r: (score, t1, n, at), m): the texts whose prefixes share a shingle, and how many share it."""
-    rows = reps.select("t1", "n", F.posexplode("p").alias("at", "sh"))
-    rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sh"))).where("m > 1")
-    rows = materialise(rows, "near-shared")
+def _shared(reps: DataFrame, root: DataFrame) -> DataFrame:
+    """(sh, m, label, r: (score, t1, n, at)): the texts whose prefixes have a shingle, where they are in several components."""
+    rows = reps.select("t1", "n", "p").join(root.select(F.col("u").alias("t1"), "v"), "t1", "left")
+    rows = rows.select("t1", "n", F.coalesce("v", "t1").alias("label"), F.posexplode("p").alias("at", "sh"))
+    same = Window.partitionBy("sh")
+    rows = rows.withColumns({"m": F.count(F.lit(1)).over(same), "lo": F.min("label").over(same), "hi": F.max("label").over(same)})
+    rows = materialise(rows.where("lo < hi").drop("lo", "hi"), "near-shared")
     score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).alias("score"))
-    return rows.join(score, "t1").select("sh", F.struct("score", "t1", "n", "at").alias("r"), "m")
+    return rows.join(score, "t1").select("sh", "m", "label", F.struct("score", "t1", "n", "at").alias("r"))
 
 
 def _stars(shared: DataFrame, similar: float) -> DataFrame:
     """Links of each text to the one that shares most with others, for each shingle."""
-    tops = shared.groupBy("sh").agg(F.max("r").alias("top"))
-    far = shared.join(tops, "sh").where(F.col("r.t1") != F.col("top.t1")).where(_may("r", "top", similar))
+    tops = shared.groupBy("sh").agg(F.max(F.struct("r", "label")).alias("most"))
+    far = shared.join(tops.select("sh", F.col("most.r").alias("top"), F.col("most.label").alias("main")), "sh")
+    far = far.where((F.col("label") != F.col("main")) & _may("r", "top", similar))
     return far.select(F.col("top.t1").alias("u"), F.col("r.t1").alias("v"))
 
 
@@ -289,6 +304,8 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
                 s += cols[2][lo:hi]
         if now:
             yield from flush(now[0], at, fp, s)
+        now, at, fp, s = None, [], [], []
+        _trim()
 
     return rows.select("layout", "key", "at", "fp", "s").mapInArrow(run, "u long, v long")
 
@@ -308,6 +325,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
         for b in batches:
             h = [hashes(t.as_py())[1].view(np.int64) for t in b.column(1).cast(pa.binary())]
             yield pa.record_batch([b.column(0), pa.array(h, pa.list_(pa.int64()))], names=["vertex", "h"])
+        _trim()
 
     def verified(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("u").alias("t1")).unionByName(links.select(F.col("v").alias("t1"))).distinct()
@@ -322,11 +340,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     def pairs(links: DataFrame) -> DataFrame:
         return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    shared = _shared(reps)
-    tried = materialise(pairs(_candidates(reps, similar - SLACK).unionByName(_stars(shared, similar))), "near-links")
-    exact = verified(tried)
-    left = materialise(pairs(_others(shared, components(exact), similar)).join(tried, ["u", "v"], "left_anti"), "near-others")
-    root = components(exact.unionByName(verified(left)))
+    exact = verified(materialise(pairs(_candidates(reps, similar - SLACK)), "near-links"))
+    shared = _shared(reps, components(exact))
+    stars = materialise(pairs(_stars(shared, similar)), "near-stars")
+    exact = exact.unionByName(verified(stars))
+    others = materialise(pairs(_others(shared, components(exact), similar)).join(stars, ["u", "v"], "left_anti"), "near-others")
+    root = components(exact.unionByName(verified(others)))
     named = reps.select("t1", "head").join(root, reps.t1 == root.u, "left").select("head", F.coalesce("v", "t1").alias("root"))
     stay = named.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.k1").alias("_k1"), F.col("head.k2").alias("_k2"))
     return keyed.join(stay, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*cols)

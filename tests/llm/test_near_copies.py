@@ -134,3 +134,38 @@ def test_families_around_a_base(spark):
                 w[k] = fresh(rng, 1)[0]
             texts.append(" ".join(w))
     assert same_as_brute_force(spark, texts) < 20
+
+
+def test_blocks_added_removed_and_replaced(spark):
+    rng, texts = random.Random(12), []
+    for i in range(200):
+        base, n = fresh(rng, 300), rng.randrange(25, 66)
+        texts += [" ".join(base), " ".join([base + fresh(rng, n), fresh(rng, n) + base, base[n:], base[: -(n // 2)] + fresh(rng, n // 2)][i % 4])]
+    assert 200 <= same_as_brute_force(spark, texts) < 230
+
+
+def test_texts_near_a_member_that_is_no_head(spark, monkeypatch):
+    monkeypatch.setattr(nc, "TILE", 4)
+    rng, texts = random.Random(13), []
+    for _ in range(40):
+        base = fresh(rng, 300)
+        texts += [" ".join(swapped(rng, base, 1)) for _ in range(8)]  # all have the words of `base`
+        at = rng.sample(range(0, 296, 8), 8)
+        member, far = list(base), None
+        for k, i in enumerate(at):
+            member[i], member[i + 1] = member[i + 1], member[i]
+            if k == 3:
+                texts.append(" ".join(member))
+        far = list(member)
+        far[at[0] + 4] = fresh(rng, 1)[0]
+        texts.append(" ".join(far))
+    same_as_brute_force(spark, texts)
+
+
+def test_twins_in_a_group_of_one_set_of_words(spark):
+    rng, texts = random.Random(14), []
+    base = fresh(rng, 300)
+    for _ in range(300):
+        one = swapped(rng, base, 4)
+        texts += [" ".join(one), " ".join(swapped(rng, one, 1))]
+    same_as_brute_force(spark, texts)
