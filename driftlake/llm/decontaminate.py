@@ -1,7 +1,7 @@
 """Benchmark decontamination by edit distance.
 
 A document is contaminated by an item if it holds a passage within `rate` of the item's length in edits of the whole
-item. Texts are compared lower-cased (A-Z) and with runs of white space as one space, as UTF-8 bytes.
+item. Texts are compared case-folded (Unicode) and with runs of white space as one space, as UTF-8 bytes.
 
 1. Windows: an item is cut in budget + 1 pieces of at least `SEED` bytes. Any passage within the budget holds one of
    them intact, so the places where a piece's first bytes occur, less the piece's offset, are all the places where an
@@ -43,6 +43,8 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def normalised(text: bytes) -> bytes:
+    if not text.isascii():
+        text = text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
     return b" ".join(text.lower().split())
 
 

@@ -98,3 +98,19 @@ def test_query_matches_brute_force(spark, sf):
         hits += bool(want)
     assert hits and len(got) == len(docs)
     assert np.isfinite(hits)
+
+
+def test_case_is_folded_over_all_scripts(spark):
+    rows = [
+        (1, "El señor Núñez comió piñón y jamón en Córdoba mañana según canción añeja y él volvió sin razón aquí"),
+        (2, "Съешь же ещё этих мягких французских булок да выпей чаю, сказал старый учитель"),
+        (3, "Ο γρήγορος σκύλος πηδά πάνω από τους τεμπέληδες φίλους στους δρόμους της πόλης"),
+        (4, "Die große Straße führt außen am weißen Schloß vorbei, heißt es bei den Fußgängern"),
+    ]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so: {t.upper()} -- end") for i, t in rows], "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in dc.matches(docs, items).collect()} == {i: [i] for i, _ in rows}
+    back = spark.createDataFrame([(i, t.upper()) for i, t in rows], "item_id long, text string")
+    lower = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in dc.matches(lower, back).collect()} == {i: [i] for i, _ in rows}
+    assert dc.normalised(b"A\xff\xc3 \xc3\x91") == b"a\xff\xc3 \xc3\xb1"
