@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import materialise
+from driftlake.llm.common import drop_path, materialise
 from driftlake.llm.components import components
 from driftlake.llm.simhash import BITS, GROUP, _Sets, _bit_counts, _spread, word_pieces
 
@@ -335,7 +335,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
         left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
         both = F.size(F.array_intersect("hu", "hv"))
         exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both)).select("u", "v")
-        return materialise(exact, "near-exact")
+        exact = materialise(exact, "near-exact")
+        for f in shingles.inputFiles()[:1]:  # the largest table of the stage
+            drop_path(shingles.sparkSession, f.rsplit("/", 1)[0])
+        return exact
 
     def pairs(links: DataFrame) -> DataFrame:
         return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
