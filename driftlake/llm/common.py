@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +63,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The narrow table `df` marked for a broadcast if it has `rows` rows at most; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before those that columns in `taken` have already."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def trimming(run):
+    """`run` for mapInArrow, giving back at its end the memory that an idle Python worker would hold."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

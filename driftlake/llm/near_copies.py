@@ -1,8 +1,8 @@
 """Near copies: texts whose sets of five-word shingles are 0.8 similar or more, by SimHash tries and shared shingles.
 
-1. Tries: each text has `TABLES` fingerprints of its set of words, each searched within three bits by the trie
-   self-join of simhash.py, with a sketch of the shingle sets to tell pairs apart. This finds most links, not all: it
-   goes by leaders in large groups, and a passage that is added changes a set of words as much as the shingles.
+1. Tries: each text has `TABLES` fingerprints of its set of words; those within `BUDGET` bits are linked by the trie
+   self-join of simhash.py. This finds most links, not all: it returns links that span pieces, and a passage that is
+   added changes a set of words as much as the shingles.
 2. Shared shingles: in one order of all shingles (frequent ones last, by a sample; the order bears on speed only) two
    sets of 0.8 similarity or more have a shingle of their prefixes, about a fifth of each set, in common. For each
    shingle the text that shares most with others is linked to all texts that have it.
@@ -10,48 +10,46 @@
 4. All pairs that share a shingle of their prefixes and are not in one component by then are verified too. So the
    groups are those of all pairs, whatever the steps before have left out.
 
+Before a pair is verified, it is held against a lower bound of what differs: each set has the parities of its
+`PARITY` buckets, and every parity in which two sets differ takes a shingle that only one of them has. A pair that may
+not differ as much is dropped; no pair of 0.8 similarity is.
+
 Texts that are equal are one vertex throughout. Where more than `TILE` texts share a shingle, their pairs are dealt out
 in tiles; texts that are in the component of the one with most shared shingles are not paired with one another.
 
 Defined results: null and empty texts are equal to each other; texts of fewer than five words have their words as the
 one shingle; of a group the row with the least id stays (null ids last, then by a hash of the row), of rows that are
-equal in all columns one stays; an empty table gives an empty result; all columns stay as they are.
+equal in all columns one stays; an empty table gives an empty result; all columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import drop_path, materialise
+from driftlake.llm.common import bounded, drop_path, materialise, trimming, unused
 from driftlake.llm.components import components
-from driftlake.llm.simhash import BITS, GROUP, _Sets, _bit_counts, _spread, word_pieces
+from driftlake.llm.simhash import hamming_links
 
 SHINGLE, SIMILAR = 5, 0.8
-TABLES, BUDGET = 6, 3
-#: Buckets of a sketch: one byte each.
-SKETCH = 256
-#: What a sketch may be short of the similarity for a pair to be verified.
-SLACK = 0.05
-ALL_PAIRS = 512
+TABLES, BUDGET = 2, 3
+#: Buckets of a set whose parities are kept.
+PARITY = 512
 #: One text in SAMPLE is counted to find frequent shingles; at most HOT of them go to the end of the order.
 SAMPLE, HOT = 16, 50_000
 #: Texts of a tile, where many texts share a shingle.
 TILE = 1024
-_ODD = 0x9E3779B97F4A7C15
-
-
-def _trim() -> None:
-    """Give memory back that a Python worker holds while it is idle."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+#: Bytes of texts hashed at once, and what a longer text is cut in.
+SEGMENT = 1 << 18
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_VALUES = np.random.default_rng(29).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,192 +58,183 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def hashes(text: bytes | None, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the set of words and of the set of shingles of a text, A-Z lower-cased."""
-    digest = xxhash.xxh64_intdigest
-    words_, shingles, tail, some = [], [], [], False
-    for words in word_pieces((text or b"").lower()):
-        words_.append(np.unique(np.fromiter(map(digest, words), np.uint64, len(words))))
-        words = tail + words
-        if len(words) < shingle:
-            tail = words
+_powers: list[np.ndarray] = []
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, A-Z lower-cased, and the text of each; ends: where each text ends in `data`."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not _powers or len(_powers[0]) < n + 1:
+        _powers[:] = [np.full(max(n + 1, SEGMENT + 1), x, np.uint64) for x in (int(_ODD[5]), pow(int(_ODD[5]), -1, 1 << 64))]
+        for p in _powers:
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+    up, down = _powers
+    solid = ~_SPACE[data]
+    new = np.zeros(n + 1, bool)  # places where a text begins
+    new[ends] = True
+    before = np.concatenate(([False], solid[:-1]))
+    after = np.concatenate((solid[1:], [False]))
+    start = np.flatnonzero(solid & (~before | new[:n]))
+    end = np.flatnonzero(solid & (~after | new[1:])) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[_LOWER[data]] * up[:n], out=sums[1:])
+    h = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD[0])
+    return h, np.searchsorted(ends, start, "right")
+
+
+def _joined(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of SHINGLE words; of all words, where they are fewer."""
+    k = min(SHINGLE, len(words))
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        out += words[i : len(words) - k + 1 + i] * _ODD[i]
+    return _mixed(out)
+
+
+def _pieces(text: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about SEGMENT bytes that end with a word."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + SEGMENT)
+        while end < len(text) and not _SPACE[text[end]]:
+            rest = _SPACE[text[end : end + SEGMENT]]
+            end += int(rest.argmax()) if rest.any() else len(rest)
+        yield text[at:end]
+        at = end
+
+
+def sets(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words, hashes of the shingles) of each text, sorted sets of uint64; null counts as empty."""
+    col = col.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(col):
+        if ends[i + 1] - ends[i] > SEGMENT:
+            words, shingles, tail = [], [], np.zeros(0, np.uint64)
+            for piece in _pieces(data[ends[i] : ends[i + 1]]):
+                h = word_hashes(piece, np.array([len(piece)]))[0]
+                words.append(np.unique(h))
+                tail = np.concatenate((tail, h))
+                if len(tail) >= SHINGLE:
+                    shingles.append(np.unique(_joined(tail)))
+                    tail = tail[len(tail) - SHINGLE + 1 :]
+            yield np.unique(np.concatenate(words)), np.unique(np.concatenate(shingles or [_joined(tail)]))
+            i += 1
             continue
-        joined, some = b" ".join(words), True
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-shingle] + 1)).tolist()
-        shingles.append(np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))))
-        tail = words[len(words) - shingle + 1 :]
-    if not some:
-        shingles.append(np.array([digest(b" ".join(tail))], np.uint64))
-    return np.unique(np.concatenate(words_)), np.unique(np.concatenate(shingles))
-
-
-def fingerprints(words: np.ndarray) -> list[int]:
-    """TABLES fingerprints of a set of words, as signed longs."""
-    if not len(words):
-        return [0] * TABLES
-    out = []
-    for t in range(TABLES):
-        h = _mixed(words + np.uint64((_ODD * (t + 1)) & (1 << 64) - 1))
-        out.append(int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view(np.int64)[0]))
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SEGMENT, "right")) - 1)
+        h, own = word_hashes(data[ends[i] : ends[j]], ends[i + 1 : j + 1] - ends[i])
+        cut = np.searchsorted(own, np.arange(j - i + 1)).tolist()
+        for a, b in zip(cut, cut[1:], strict=False):
+            yield np.unique(h[a:b]), np.unique(_joined(h[a:b]))
+        i = j
+
+
+def fingerprints(words: list[np.ndarray]) -> np.ndarray:
+    """TABLES fingerprints of each set of words: (sets, TABLES), signed; 0 for a set without words."""
+    out = np.zeros((len(words), TABLES), np.int64)
+    some = [i for i, w in enumerate(words) if len(w)]
+    if some:
+        h, n = np.concatenate([words[i] for i in some]), np.array([len(words[i]) for i in some])
+        for t in range(TABLES):
+            bits = np.unpackbits(_mixed(h + _ODD[t]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            most = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64) * 2 > n[:, None]
+            out[some, t] = np.packbits(most, axis=1, bitorder="little").view(np.int64)[:, 0]
     return out
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """For each of SKETCH ranges of hashes a byte of the least hash in it; 0 where it is empty."""
-    h = np.sort(_mixed(shingles))
-    bucket = (h >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    out = np.zeros(SKETCH, np.uint8)
-    out[bucket[first]] = 1 + h[first] % np.uint64(255)
-    return out.tobytes()
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of rows of sketches."""
-    either = ((a | b) != 0).sum(axis=1)
-    same = ((a == b) & (a != 0)).sum(axis=1)
-    return same / np.maximum(either, 1)
-
-
-def group_links(values: np.ndarray, sketches: np.ndarray, top: int, least: float) -> list[tuple[int, int]]:
-    """Links between rows of one group (sorted by value) that are within BUDGET bits and alike."""
-    sets, links = _Sets(len(values)), []
-
-    def offer(a: np.ndarray, b: np.ndarray) -> None:
-        for at in range(0, len(a), 1 << 15):
-            label = sets.labels()
-            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-            new = label[x] != label[y]
-            x, y = x[new], y[new]
-            near = alike(sketches[x], sketches[y]) >= least
-            links.extend((i, j) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True) if sets.join(i, j))
-
-    cut = np.append(np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))), len(values))
-    heads: list[np.ndarray] = []  # rows of each distinct value that go on
-    for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-        rest, own = np.arange(lo, hi), []
-        if hi - lo <= ALL_PAIRS:
-            i, j = np.triu_indices(hi - lo, 1)
-            offer(i + lo, j + lo)
-            label = sets.labels()[lo:hi]
-            heads.append(rest if hi - lo < 8 else lo + np.unique(label, return_index=True)[1])
-            continue
-        while len(rest):
-            own.append(rest[0])
-            rest = rest[1:]
-            near = alike(np.broadcast_to(sketches[own[-1]], (len(rest), SKETCH)), sketches[rest]) >= least
-            links.extend((int(own[-1]), i) for i in rest[near].tolist() if sets.join(int(own[-1]), i))
-            rest = rest[~near]
-        heads.append(np.array(own))
-    unique = values[cut[:-1]]
-    for a, b in _value_pairs(unique, top):
-        x = np.concatenate([np.repeat(heads[i], len(heads[j])) for i, j in zip(a, b, strict=True)])
-        y = np.concatenate([np.tile(heads[j], len(heads[i])) for i, j in zip(a, b, strict=True)])
-        offer(x, y)
-    return links
-
-
-def _value_pairs(values: np.ndarray, top: int):
-    """Pairs of places of distinct sorted values within BUDGET bits, in pieces: the walk over pairs of trie nodes."""
-    n = len(values)
-    one = lambda x: np.array([x], np.int64)
-    stack = [(top, one(0), one(n), one(0), one(n), one(0))]
-    while stack:
-        depth, ul, uh, vl, vh, cost = stack.pop()
-        if len(ul) > 1 << 14:
-            stack.append((depth, *(x[1 << 14 :] for x in (ul, uh, vl, vh, cost))))
-            ul, uh, vl, vh, cost = (x[: 1 << 14] for x in (ul, uh, vl, vh, cost))
-        single = (uh - ul == 1) & (vh - vl == 1)
-        if single.any():
-            a, b = ul[single], vl[single]
-            near = (a != b) & (np.bitwise_count(values[a] ^ values[b]) <= BUDGET)
-            if near.any():
-                yield a[near].tolist(), b[near].tolist()
-            ul, uh, vl, vh, cost = (x[~single] for x in (ul, uh, vl, vh, cost))
-        if not len(ul) or depth >= BITS:
-            continue
-        bit = (values >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
-        c = np.concatenate(([0], np.cumsum(bit.astype(np.int64))))
-        um, vm = uh - (c[uh] - c[ul]), vh - (c[vh] - c[vl])
-        other = ~((ul == vl) & (uh == vh))
-        parts = [(ul, um, vl, vm, cost), (um, uh, vm, vh, cost), (ul, um, vm, vh, cost + 1), tuple(x[other] for x in (um, uh, vl, vm, cost + 1))]
-        ul, uh, vl, vh, cost = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = (uh > ul) & (vh > vl) & (cost <= BUDGET) & ~((ul == vl) & (uh == vh) & (uh - ul == 1))
-        if keep.any():
-            stack.append((depth + 1, *(x[keep] for x in (ul, uh, vl, vh, cost))))
-
-
-_FEATURES = "k1 long, k2 long, t1 long, t2 long, f array<long>, s binary, p array<long>, n int"
+def parities(shingles: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY / 64) longs: whether each bucket has an odd number of shingles."""
+    own = np.repeat(np.arange(len(shingles)), [len(s) for s in shingles])
+    at = own * PARITY + (np.concatenate(shingles) >> np.uint64(40)).astype(np.int64) % PARITY
+    odd = np.bincount(at, minlength=len(shingles) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(shingles), PARITY // 64)
 
 
-def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample of texts, in order, and their counts. They set an order and decide nothing else."""
+def frequent(rows: DataFrame) -> np.ndarray:
+    """Frequent shingles of a sample of texts, rarest first. They set an order and decide nothing else."""
 
     def run(batches):
         for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                yield pa.record_batch([pa.array(hashes(t.as_py())[1].view(np.int64))], names=["h"])
-        _trim()
+            for at in range(0, b.num_rows, 256):
+                found = [s for _, s in sets(b.column(0).slice(at, 256))]
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
-    some = rows.where(F.pmod("t1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    some = rows.where(F.pmod("t1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(trimming(run), "h long")
     found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(HOT).toArrow()
-    h, n = found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    return found["h"].to_numpy().astype(np.int64).view(np.uint64)[::-1]
 
 
 def prefix(shingles: np.ndarray, hot: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
-    """The first shingles in the order of all texts, rare ones first: two sets that are similar share one of these."""
-    n, count = len(shingles), np.zeros(len(shingles), np.int64)
+    """The first shingles in the order of all texts, rare ones first: two sets that are similar share one of these.
+
+    hot: the frequent shingles, sorted, and the place of each in the order.
+    """
+    n, order = len(shingles), shingles >> np.uint64(1)
     if len(hot[0]):
         i = np.minimum(np.searchsorted(hot[0], shingles), len(hot[0]) - 1)
-        count = np.where(hot[0][i] == shingles, hot[1][i], 0)
-    return shingles[np.lexsort((_mixed(shingles), count))[: n - int(np.ceil(similar * n - 1e-9)) + 1]]
+        order = np.where(hot[0][i] == shingles, hot[1][i], order)
+    return shingles[np.argsort(order, kind="stable")[: n - int(np.ceil(similar * n - 1e-9)) + 1]]
 
 
 def features(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Fingerprints, sketch, prefix and number of shingles of each row of (k1, k2, t1, t2, text)."""
-    sent = rows.sparkSession.sparkContext.broadcast(frequent(rows))
+    """`rows` (with a column text, the last) with f, x, p and n in its place: fingerprints, parities, prefix and number of shingles."""
+    common = frequent(rows)
+    by_hash = np.argsort(common)
+    sent = rows.sparkSession.sparkContext.broadcast((common[by_hash], by_hash.astype(np.uint64) + np.uint64(1 << 63)))  # HOT at most
 
     def run(batches):
         for b in batches:
-            f, s, p, n = [], [], [], []
-            for t in b.column(4).cast(pa.binary()):
-                words, shingles = hashes(t.as_py())
-                f.append(fingerprints(words))
-                s.append(sketch(shingles))
-                p.append(prefix(shingles, sent.value, similar).view(np.int64))
-                n.append(len(shingles))
-            made = [pa.array(f, pa.list_(pa.int64())), pa.array(s, pa.binary()), pa.array(p, pa.list_(pa.int64())), pa.array(n, pa.int32())]
-            yield pa.record_batch([*b.columns[:4], *made], names=["k1", "k2", "t1", "t2", "f", "s", "p", "n"])
-        _trim()
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                words, shingles = zip(*sets(part.column(part.num_columns - 1)), strict=True)
+                first = [prefix(s, sent.value, similar).view(np.int64) for s in shingles]
+                lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], np.int32), m.ravel())
+                ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                made = [lists(fingerprints(words)), lists(parities(shingles)), pa.ListArray.from_arrays(ends, np.concatenate(first)), pa.array([len(s) for s in shingles], pa.int32())]
+                yield pa.record_batch([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "f", "x", "p", "n"])
+
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-    return rows.mapInArrow(run, _FEATURES)
+    longs = ArrayType(LongType())
+    own = [StructField("f", longs), StructField("x", longs), StructField("p", longs), StructField("n", IntegerType())]
+    return rows.mapInArrow(trimming(run), StructType([*rows.drop("text").schema.fields, *own]))
 
 
-def _may(a: str, b: str, similar: float):
+def _may(a: str, b: str, similar: float) -> Column:
     """Whether two texts whose first common shingle is this one can be similar, by their sizes and its places."""
     n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
     return F.least(n - i, m - j) >= F.ceil(F.lit(similar / (1 + similar)) * (n + m) - F.lit(1e-9))
 
 
-def _shared(reps: DataFrame, root: DataFrame) -> DataFrame:
-    """(sh, m, label, r: (score, t1, n, at)): the texts whose prefixes have a shingle, where they are in several components."""
-    rows = reps.select("t1", "n", "p").join(root.select(F.col("u").alias("t1"), "v"), "t1", "left")
-    rows = rows.select("t1", "n", F.coalesce("v", "t1").alias("label"), F.posexplode("p").alias("at", "sh"))
-    same = Window.partitionBy("sh")
-    rows = rows.withColumns({"m": F.count(F.lit(1)).over(same), "lo": F.min("label").over(same), "hi": F.max("label").over(same)})
-    rows = materialise(rows.where("lo < hi").drop("lo", "hi"), "near-shared")
+def _tries(reps: DataFrame) -> DataFrame:
+    """Links of texts with one fingerprint to the least of them, and of the fingerprints that the trie self-join links."""
+    made = reps.select("t1", F.posexplode("f").alias("table", "fp")).groupBy("table", "fp")
+    heads = materialise(made.agg(F.min("t1").alias("head")), "near-values")
+    links = reps.select("t1", F.posexplode("f").alias("table", "fp")).join(heads, ["table", "fp"]).where("t1 <> head").select(F.col("head").alias("u"), F.col("t1").alias("v"))
+    for t in range(TABLES):
+        own = heads.where(F.col("table") == t).select("fp", "head")
+        found = hamming_links(own.select("fp"), BUDGET).withColumnsRenamed({"u": "a", "v": "b"})
+        ends = found.join(own.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(own.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b")
+        links = links.unionByName(ends.select("u", "v"))
+    return links
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """(sh, m, r: (score, t1, n, at)): the texts whose prefixes have a shingle, where there are two or more."""
+    rows = reps.select("t1", "n", F.posexplode("p").alias("at", "sh")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sh")))
+    rows = materialise(rows.where("m > 1"), "near-shared")
     score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).alias("score"))
-    return rows.join(score, "t1").select("sh", "m", "label", F.struct("score", "t1", "n", "at").alias("r"))
+    return rows.join(score, "t1").select("sh", "m", F.struct("score", "t1", "n", "at").alias("r"))
 
 
 def _stars(shared: DataFrame, similar: float) -> DataFrame:
     """Links of each text to the one that shares most with others, for each shingle."""
-    tops = shared.groupBy("sh").agg(F.max(F.struct("r", "label")).alias("most"))
-    far = shared.join(tops.select("sh", F.col("most.r").alias("top"), F.col("most.label").alias("main")), "sh")
-    far = far.where((F.col("label") != F.col("main")) & _may("r", "top", similar))
+    tops = shared.groupBy("sh").agg(F.max("r").alias("top"))
+    far = shared.join(tops, "sh").where((F.col("r.t1") != F.col("top.t1")) & _may("r", "top", similar))
     return far.select(F.col("top.t1").alias("u"), F.col("r.t1").alias("v"))
 
 
@@ -263,92 +252,63 @@ def _others(shared: DataFrame, root: DataFrame, similar: float) -> DataFrame:
     return both.select(F.col("a.t1").alias("u"), F.col("b.t1").alias("v"))
 
 
-def _candidates(reps: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) between vertices (t1) that are alike by their sketches and within BUDGET bits in a table."""
-    low1 = low2 = 0
-    first, tables = None, reps.select("t1", F.posexplode("f").alias("t", "at"))
-    src = tables.select(F.struct("t1", "t").alias("fp"), "at")
-    first, low1 = _spread(src, BITS, BUDGET, F.lit(0))
-    first = first.select((F.col("layout") + 16 * F.col("fp.t")).alias("layout"), "key", "at", F.col("fp.t1").alias("fp"))
-    sizes = first.groupBy("layout", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = first.join(sizes, ["layout", "key"])
-    small = pairs.where(F.col("n") <= GROUP).select("layout", "key", "at", "fp")
-    second, low2 = _spread(pairs.where(F.col("n") > GROUP).select(F.struct("fp", "layout").alias("fp"), "at"), low1, BUDGET, F.lit(0))
-    second = second.select((F.col("layout") + 4096 + 16 * F.col("fp.layout")).alias("layout"), "key", "at", F.col("fp.fp").alias("fp"))
-    rows = small.unionByName(second).join(reps.select(F.col("t1").alias("fp"), "s"), "fp")
-    rows = rows.repartition("layout", "key").withColumn("o", F.col("at").bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions("layout", "key", "o", "fp")
+def _plausible(links: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+    """Distinct links (u < v) of texts whose sizes and parities allow the similarity."""
+    pairs = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left, right = (reps.select(F.col("t1").alias(e), F.col("n").alias(f"n{e}"), *[F.col("x")[i].alias(f"x{e}{i}") for i in range(PARITY // 64)]) for e in "uv")
+    both = pairs.join(left, "u").join(right, "v")
+    differ = sum((F.bit_count(F.col(f"xu{i}").bitwiseXOR(F.col(f"xv{i}"))) for i in range(1, PARITY // 64)), F.bit_count(F.col("xu0").bitwiseXOR(F.col("xv0"))))
+    most = F.lit((1 - similar) / (1 + similar)) * (F.col("nu") + F.col("nv")) + F.lit(1e-6)
+    sizes = F.least("nu", "nv") >= F.lit(similar) * F.greatest("nu", "nv") - F.lit(1e-6)
+    return both.where(sizes & (differ <= most)).select("u", "v")
+
+
+def _verified(links: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The links that exact Jaccard similarity confirms; texts: (vertex, text), each text once or more."""
 
     def run(batches):
-        def flush(lay, at, fp, s):
-            if len(at) > 1:
-                m = np.frombuffer(b"".join(s), np.uint8).reshape(len(at), SKETCH)
-                found = group_links(np.array(at, np.int64).view(np.uint64), m, BITS - (low2 if lay >= 4096 else low1), least)
-                if found:
-                    own, a = np.array(fp, np.int64), np.array(found)
-                    yield pa.record_batch([pa.array(own[a[:, 0]]), pa.array(own[a[:, 1]])], names=["u", "v"])
-
-        now, at, fp, s = None, [], [], []
         for b in batches:
-            lay, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((lay[1:] != lay[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(lay)]
-            cols = [b.column(i).to_pylist() for i in (2, 3, 4)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi == lo:
-                    continue
-                if (lay[lo], key[lo]) != now:
-                    if now:
-                        yield from flush(now[0], at, fp, s)
-                    now, at, fp, s = (lay[lo], key[lo]), [], [], []
-                at += cols[0][lo:hi]
-                fp += cols[1][lo:hi]
-                s += cols[2][lo:hi]
-        if now:
-            yield from flush(now[0], at, fp, s)
-        now, at, fp, s = None, [], [], []
-        _trim()
-
-    return rows.select("layout", "key", "at", "fp", "s").mapInArrow(run, "u long, v long")
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                h = [s.view(np.int64) for _, s in sets(part.column(1))]
+                ends = np.cumsum([0, *map(len, h)]).astype(np.int32)
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(h))], names=["vertex", "h"])
+
+    ends = links.select(F.col("u").alias("vertex")).unionByName(links.select(F.col("v").alias("vertex"))).distinct()
+    wanted = texts.join(bounded(ends), "vertex", "left_semi")
+    shingles = materialise(wanted.mapInArrow(trimming(run), "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles")
+    left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
+    both = F.size(F.array_intersect("hu", "hv"))
+    exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both) - F.lit(1e-9)).select("u", "v")
+    exact = materialise(exact, "near-exact")
+    for f in shingles.inputFiles()[:1]:  # the largest table of the stage
+        drop_path(shingles.sparkSession, f.rsplit("/", 1)[0])
+    return exact
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """`docs` with one row of each group of near copies."""
     cols = docs.columns
-    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_k1": F.xxhash64(*cols), "_k2": F.xxhash64(F.lit(7), *cols)})
-    rows = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(7), plain).alias("t2"), plain.alias("text"), F.col(id_col).alias("id"))
-    ids = rows.select("id", "k1", "k2", "t1", "t2").groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2")).alias("head"))
-    feats = features(rows.select("k1", "k2", "t1", "t2", "text"), similar)
-    reps = feats.groupBy("t1", "t2").agg(F.min(F.struct("f", "s", "p", "n")).alias("x")).join(ids, ["t1", "t2"])
-    reps = materialise(reps.select("t1", "t2", "head", "x.f", "x.s", "x.p", "x.n"), "near-features")
-
-    def sets(batches):
-        for b in batches:
-            h = [hashes(t.as_py())[1].view(np.int64) for t in b.column(1).cast(pa.binary())]
-            yield pa.record_batch([b.column(0), pa.array(h, pa.list_(pa.int64()))], names=["vertex", "h"])
-        _trim()
-
-    def verified(links: DataFrame) -> DataFrame:
-        ends = links.select(F.col("u").alias("t1")).unionByName(links.select(F.col("v").alias("t1"))).distinct()
-        wanted = reps.select("t1", F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")).join(ends, "t1").withColumnRenamed("t1", "vertex")
-        texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("vertex", "text")
-        shingles = materialise(texts.mapInArrow(sets, "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles")
-        left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
-        both = F.size(F.array_intersect("hu", "hv"))
-        exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both)).select("u", "v")
-        exact = materialise(exact, "near-exact")
-        for f in shingles.inputFiles()[:1]:  # the largest table of the stage
-            drop_path(shingles.sparkSession, f.rsplit("/", 1)[0])
-        return exact
-
-    def pairs(links: DataFrame) -> DataFrame:
-        return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    exact = verified(materialise(pairs(_candidates(reps, similar - SLACK)), "near-links"))
-    shared = _shared(reps, components(exact))
-    stars = materialise(pairs(_stars(shared, similar)), "near-stars")
-    exact = exact.unionByName(verified(stars))
-    others = materialise(pairs(_others(shared, components(exact), similar)).join(stars, ["u", "v"], "left_anti"), "near-others")
-    root = components(exact.unionByName(verified(others)))
+    a, b = unused(cols, "k1", "k2")
+    quoted = [F.col(f"`{c}`") for c in cols]
+    plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keyed = docs.withColumns({a: F.xxhash64(*quoted), b: F.xxhash64(F.lit(7), *quoted)})
+    rows = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(a).alias("k1"), F.col(b).alias("k2"), F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(7), plain).alias("t2"), plain.alias("text"))
+    head = F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2")
+    made = features(rows, similar).groupBy("t1", "t2").agg(F.min(F.struct(head.alias("head"), "f", "x", "p", "n")).alias("r"))
+    reps = materialise(made.select("t1", "t2", "r.*"), "near-features")
+    texts = docs.select(F.xxhash64(plain).alias("vertex"), plain.alias("text"))
+
+    shared = _shared(reps)
+    first = materialise(_plausible(_tries(reps).unionByName(_stars(shared, similar)), reps, similar), "near-links")
+    exact = _verified(first, texts, similar)
+    others = _plausible(_others(shared, components(exact), similar), reps, similar).join(first, ["u", "v"], "left_anti")
+    root = components(exact.unionByName(_verified(materialise(others, "near-others"), texts, similar)))
+
     named = reps.select("t1", "head").join(root, reps.t1 == root.u, "left").select("head", F.coalesce("v", "t1").alias("root"))
-    stay = named.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.k1").alias("_k1"), F.col("head.k2").alias("_k2"))
-    return keyed.join(stay, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*cols)
+    stay = named.groupBy("root").agg(F.min("head").alias("head")).select("head.k1", "head.k2", F.lit(True).alias("stays"))
+    keys = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).join(stay, ["k1", "k2"], "left").where("stays IS NULL OR m > 1")
+    keys = materialise(keys.select(F.col("k1").alias(a), F.col("k2").alias(b), "stays"), "near-gone")
+    alone = keyed.join(bounded(keys.select(a, b)), [a, b], "left_anti")
+    equal = keyed.join(bounded(keys.where("stays").select(a, b)), [a, b], "left_semi").dropDuplicates([a, b])
+    return alone.unionByName(equal).select(*quoted)

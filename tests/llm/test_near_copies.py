@@ -62,18 +62,30 @@ def test_large_group_of_copies_and_near_copies(spark):
     assert [r.doc_id for r in nc.keep_one(df).collect()] == [100]
 
 
-def test_group_links_with_many_equal_values(monkeypatch):
-    rng = np.random.default_rng(1)
-    base = rng.integers(1, 256, 256).astype(np.uint8)
-    rows = np.repeat(base[None], 40, axis=0)
-    for r in rows[1:]:
-        r[rng.integers(0, 256, 10)] = 0
-    other = rng.integers(1, 256, (5, 256)).astype(np.uint8)
-    values = np.array([5] * 40 + [7] * 5, np.uint64)
-    for limit in (512, 8):
-        monkeypatch.setattr(nc, "ALL_PAIRS", limit)
-        links = nc.group_links(values, np.concatenate([rows, other]), 32, 0.77)
-        assert len(links) == 39 and all(a < 40 and b < 40 for a, b in links)
+def test_sets_are_those_of_the_words(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [None, "", " \n", "A b", "a  B\tc d", "a b c d e f a b c d e", "É é x\x85y z", " ".join(f"w{rng.randrange(90)}" for _ in range(3000))]
+    texts += ["".join(rng.choices("aB \n", k=rng.randrange(60))) for _ in range(200)]
+    plain = list(nc.sets(pa.array(texts)))
+    monkeypatch.setattr(nc, "SEGMENT", 16)
+    for t, (w, s), (w2, s2) in zip(texts, plain, nc.sets(pa.array(texts)), strict=True):
+        words = (t or "").encode().lower().split()
+        grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+        assert (len(w), len(s)) == (len(set(words)), len(grams))
+        assert np.array_equal(w, w2) and np.array_equal(s, s2)
+    same = list(nc.sets(pa.array(["one two three four five six", "ONE two  three four\nfive seven"])))
+    assert len(np.intersect1d(same[0][1], same[1][1])) == 1
+
+
+def test_parities_never_say_more_than_what_differs():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, rng.integers(1, 300), np.uint64))))
+        x, y = nc.parities([a, b])
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
 
 
 def test_odd_rows(spark):
