@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import drop_path, materialise, new_path, shuffle_partitions, table
+from driftlake.llm.common import drop_path, materialise, new_path, shuffle_partitions, table, trimming
 
 LENGTH = 400
 #: Bytes that decide an anchor at most, and bytes of a k-mer.
@@ -53,7 +53,7 @@ def wide(length: int) -> int:
 #: Different suffixes of one context that a merge task takes.
 HOT = 4096
 #: Bytes of text looked at in one go, and bytes of suffixes in a run.
-SEGMENT, RUN = 1 << 20, 1 << 26
+SEGMENT, RUN = 1 << 18, 1 << 25
 _PLACE = np.uint64((1 << 22) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -167,7 +167,7 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 cols = (keys[doc], (ends - starts)[doc], pos, ctx.view(np.int64), full.view(np.int64))
                 yield pa.record_batch([pa.array(c) for c in cols], names=["k", "nb", "pos", "ctx", "full"])
 
-    return docs.select("k", "text").mapInArrow(run, ANCHOR)
+    return docs.select("k", "text").mapInArrow(trimming(run), ANCHOR)
 
 
 # --- front-coded runs -------------------------------------------------------------------------------------------
@@ -378,7 +378,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, buckets: int) -> DataF
                     size = 0
         yield from flush()
 
-    return both.mapInArrow(run, _CUT)
+    return both.mapInArrow(trimming(run), _CUT)
 
 
 def _merge(runs: DataFrame, length: int) -> DataFrame:
@@ -434,7 +434,7 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
             yield from bucket(blobs)
 
     dealt = runs.repartition(shuffle_partitions(runs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "ctx long, full long, spans array<struct<a:int,b:int>>")
+    return dealt.mapInArrow(trimming(run), "ctx long, full long, spans array<struct<a:int,b:int>>")
 
 
 def _counted(rows: DataFrame, length: int) -> DataFrame:
@@ -443,11 +443,8 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
     return rows.join(again, ["h1", "h2"]).select("k", "nb", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, `keep` columns, n_bytes, spans, kept): the removed runs of bytes, and the bytes that stay.
-
-    `length` is 4 * K or more.
-    """
+def _found(docs: DataFrame, id_col: str, text: str, length: int, hot: int, keep: tuple[str, ...]) -> DataFrame:
+    """(id, `keep` columns, text as bytes, found: the repeated strings (a, b) of the text, or null)."""
     if length < 4 * K:
         raise ValueError(f"length must be {4 * K} or more")
     spark = docs.sparkSession
@@ -457,7 +454,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     path = new_path(spark, "suffix-anchors")
     _anchor_table(long, length).write.parquet(path)
     found = spark.read.schema(ANCHOR).parquet(path)
-    twice = found.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ctx")
+    # a table of its own: adaptive execution can then split a context that very many anchors have
+    twice = materialise(found.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ctx"), "suffix-twice")
     wanted = materialise(found.join(twice, "ctx").select("k", "nb", "pos", "ctx", "full"), "suffix-wanted")
     drop_path(spark, path)
     crowded = wanted.select("ctx", "full").distinct().groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("ctx")
@@ -476,7 +474,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     if many:
         spans = spans.unionByName(_counted(cut.where(F.col("run").isNull()).select("h1", "h2", "k", "nb", "p"), length))
     lists = spans.groupBy("k", "nb").agg(F.collect_set(F.struct("a", "b")).alias("found"))
-    both = rows.join(lists, ["k", "nb"], "left").select("id", *keep, "text", "found")
+    return rows.join(lists, ["k", "nb"], "left").select("id", *keep, "text", "found")
+
+
+def _kept(text: bytes, found) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes that stay, and the removed runs (inclusive)."""
+    if not found.is_valid:
+        return text, []
+    w = found.values
+    gone = merged(list(zip(w.field(0).to_pylist(), (w.field(1).to_numpy() - 1).tolist(), strict=True)))
+    edges = [0, *(x for a, z in gone for x in (a, z + 1)), len(text)]
+    return b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)), gone
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, `keep` columns, n_bytes, spans, kept): the removed runs of bytes, and the bytes that stay.
+
+    `length` is 4 * K or more.
+    """
+    both = _found(docs, id_col, text, length, hot, keep)
     names = ["id", *keep]
 
     def run(batches):
@@ -487,23 +503,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
                 n, cut, kept = [], [], []
                 for t, f in zip(part.column(len(names)), part.column(len(names) + 1), strict=True):
                     t = t.as_py()
+                    rest, gone = _kept(t, f)
                     n.append(len(t))
-                    if not f.is_valid:
-                        cut.append([])
-                        kept.append(t)
-                        continue
-                    w = f.values
-                    gone = merged(list(zip(w.field(0).to_pylist(), (w.field(1).to_numpy() - 1).tolist(), strict=True)))
+                    kept.append(rest)
                     cut.append([{"start": a, "end": z + 1} for a, z in gone])
-                    edges = [0, *(x for a, z in gone for x in (a, z + 1)), len(t)]
-                    kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
                 yield pa.record_batch([*part.columns[: len(names)], pa.array(n, pa.int64()), pa.array(cut, kind), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     fields = [both.schema[c] for c in names]
-    return both.mapInArrow(run, StructType([*fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(span)), StructField("kept", BinaryType())]))
+    return both.mapInArrow(trimming(run), StructType([*fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(span)), StructField("kept", BinaryType())]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -513,16 +523,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     """
     others = [c for c in docs.columns if c != text]
     src = docs.select(F.lit(None).alias("_id") if not others else F.struct(*others).alias("_all"), F.col(text).isNull().alias("_null"), text)
-    out = repeats(src, src.columns[0], text, length, keep=("_null",))
+    both = _found(src, src.columns[0], text, length, HOT, ("_null",))
 
     def run(batches):
         for b in batches:
-            kept = [t.as_py().decode("utf-8", "ignore") for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array([None if z else t for z, t in zip(b.column(2).to_pylist(), kept, strict=True)], pa.string())], names=["id", "t"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                kept = [None if z else _kept(t.as_py(), f)[0].decode("utf-8", "ignore") for z, t, f in zip(part.column(1).to_pylist(), part.column(2), part.column(3), strict=True)]
+                yield pa.record_batch([part.column(0), pa.array(kept, pa.string())], names=["id", "t"])
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    back = out.select("id", "kept", "_null").mapInArrow(run, StructType([out.schema["id"], StructField("t", StringType())]))
+    back = both.mapInArrow(trimming(run), StructType([both.schema["id"], StructField("t", StringType())]))
     cols = {c: F.col(f"id.`{c}`") for c in others} | {text: F.col("t")}
     if n_chars in cols:
         kind = docs.schema[n_chars].dataType
