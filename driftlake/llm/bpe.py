@@ -14,7 +14,8 @@ and a token is final once the largest |y| + look(r') over all merges (token, y)
 
 Decoding maps ids to bytes and bytes to text with an incremental UTF-8 machine that holds at most three bytes.
 
-Units of text that were seen before are looked up in a bounded cache; the cache changes no result.
+Units of text that were seen before are looked up in a bounded cache; the cache changes no result. encode() and the
+query run the transducer too: a text is fed in pieces of `PIECE` characters.
 """
 
 from __future__ import annotations
@@ -31,17 +32,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import table
+from driftlake.llm.common import table, trimming
 
 #: Pre-tokenizer of byte-level vocabularies: a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What a match of the pattern goes on with, by the class of its last character.
 _GOES_ON = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
 _SPACE = regex.compile(r"\s*")
-#: A place where no match crosses: before a space between two characters that are not white space.
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: Characters held before a match without an end is streamed, and units kept in a cache.
 HOLD, CACHE = 1 << 12, 1 << 16
+#: Characters of a text fed at once.
+PIECE = 1 << 16
+#: Characters behind the end of a match that may still change it: a contraction is one match with its apostrophe.
+_BEHIND = 3
 
 
 def byte_chars() -> dict[str, int]:
@@ -186,20 +189,23 @@ class Encoder:
         self._matches = Cache(self._match)
         self._units = Cache(self._unit)
         self._spaced = Cache(self._spaced_unit)
+        self.longest = max(map(len, vocab.special), default=0)
         self._reset()
 
     def _reset(self) -> None:
-        self.text, self.core, self.goes_on = "", None, None
+        self.text, self.core, self.goes_on, self.pending = "", None, None, ""
 
     def _match(self, m: str) -> bytes:
         ids = self.vocab.merge(m.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _unit(self, unit: str) -> bytes:
-        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and len(unit) <= 64:
-            return self._matches[unit]
-        if unit[-1:] in (".", ",") and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()) and len(unit) <= 64:
-            return self._matches[unit[:-1]] + self._matches[unit[-1]]
+        if len(unit) <= 64 and (unit[0] == " " or unit[0].isalpha()):
+            if unit[1:].isalpha() or len(unit) == 1 and unit != " ":
+                return self._match(unit)
+            if unit[-1] in ".," and unit[1:-1].isalpha():
+                word = self._spaced[unit[1:-1]] if unit[0] == " " else self._match(unit[:-1])
+                return word + self._matches[unit[-1]]
         return b"".join(self._plain(unit))
 
     def _spaced_unit(self, part: str) -> bytes:
@@ -227,7 +233,7 @@ class Encoder:
                 yield np.fromiter(core.finish(), "<u4").tobytes()
 
     def units(self, text: str) -> Iterator[bytes]:
-        """Tokens of text whose ends no match crosses, unit by unit; units are cut at _CUT."""
+        """Tokens of text whose ends no match crosses, unit by unit."""
         if not text:
             return
         lead, held = "", None
@@ -239,7 +245,7 @@ class Encoder:
                 yield from self._plain(held)
                 held = None
             elif p and not p[0].isspace() and not p[-1].isspace() and len(p) < 256:
-                yield self._units[lead + p]
+                yield self._spaced[p] if lead else self._units[p]
             elif p and not p[0].isspace() and not p[-1].isspace():
                 yield from self._plain(lead + p)
             else:
@@ -249,28 +255,66 @@ class Encoder:
             yield from self._plain(held)
 
     def feed(self, piece: str) -> Iterator[bytes]:
+        """Tokens that are final once `piece` is read."""
         if self.goes_on is not None:
-            piece = yield from self._go_on(piece)
+            piece = yield from self._go_on(self.pending + piece)
         self.text += piece
-        cut = None
-        for cut in _CUT.finditer(self.text):
-            pass
-        if cut is not None:
-            yield from self.units(self.text[: cut.start()])
-            self.text = self.text[cut.start() :]
-        longest = max(map(len, self.vocab.special), default=0)
-        if len(self.text) > HOLD + longest and not any(s[:1] in self.text for s in self.vocab.special):
+        if (cut := self._last_cut()) > 0:
+            yield from self._cut_units(self.text[:cut])
+            self.text = self.text[cut:]
+        while len(self.text) > HOLD + self.longest and self.goes_on is None:
+            stop, whole = self._stop(self.text)
+            if whole:
+                end = self.vocab.split_special.match(self.text, stop).end()
+                yield from self._plain(self.text[:end])
+                self.text = self.text[end:]
+                continue
+            held, self.text = self.text[stop:], self.text[:stop]
             yield from self._open()
+            if self.goes_on is None:
+                self.text += held
+                break
+            self.pending = held
+
+    def _last_cut(self) -> int:
+        """The last place where no match crosses: before a space between two characters that are not white space."""
+        at = self.text.rfind(" ", 0, len(self.text) - 1)
+        while at > 0 and (self.text[at - 1].isspace() or self.text[at + 1].isspace()):
+            at = self.text.rfind(" ", 0, at)
+        return at
+
+    def _cut_units(self, text: str) -> Iterator[bytes]:
+        """units(), in one go where every space is a cut."""
+        first, *rest = text.split(" ")
+        if not first and rest:
+            first = " " + rest.pop(0)
+        try:
+            if not first.strip() or first[-1].isspace() or first[1:2].isspace() or first[0].isspace() and first[0] != " ":
+                raise _Odd
+            yield self._units[first] + b"".join(map(self._spaced.__getitem__, rest))
+        except _Odd:
+            yield from self.units(text)
+
+    def _stop(self, piece: str) -> tuple[int, bool]:
+        """Where a special string begins in `piece` or may begin at its end; whether it is whole there."""
+        whole = min((i for s in self.vocab.special if (i := piece.find(s)) >= 0), default=len(piece))
+        for s in self.vocab.special:
+            for n in range(min(len(s) - 1, len(piece)), 0, -1):
+                if piece.endswith(s[:n]) and len(piece) - n < whole:
+                    return len(piece) - n, False
+        return whole, whole < len(piece)
 
     def _open(self) -> Iterator[bytes]:
-        """The held text has no cut: its matches but the last are final, and the last is streamed."""
-        last = None
+        """The held text has no cut: its matches that nothing behind it can change are final, and a long last one is streamed."""
+        at, last = 0, ""
         for m in PATTERN.finditer(self.text):
-            if last is not None:
-                yield from self._plain_match(last)
             last = m.group()
-        if len(last) <= HOLD:
-            self.text = last
+            if m.end() > len(self.text) - _BEHIND:
+                break
+            yield self._matches[last] if len(last) <= 64 else np.array(self.vocab.merge(last.encode()), "<u4").tobytes()
+            at = m.end()
+        self.text = self.text[at:]
+        if len(last) <= HOLD or len(last) < len(self.text):
             return
         self.core = _Core(self.vocab)
         if last[-1].isspace():
@@ -280,40 +324,46 @@ class Encoder:
             self.text, body = "", last
         yield np.fromiter(self.core.feed(body.encode()), "<u4").tobytes()
 
-    def _plain_match(self, m: str) -> Iterator[bytes]:
-        yield self._matches[m] if len(m) <= 64 else np.array(self.vocab.merge(m.encode()), "<u4").tobytes()
-
     def _go_on(self, piece: str):
         """Feeds the open match; returns what comes behind it."""
-        own = self.goes_on.match(piece).group()
+        self.pending = ""
+        stop, whole = self._stop(piece)
+        own = self.goes_on.match(piece, 0, stop).group()
         body = self.text + own
         self.text = ""
-        if self.goes_on is _SPACE and body:  # the last space stays: it may belong to what follows
+        at_special = whole and len(own) == stop
+        if self.goes_on is _SPACE and body and not at_special:  # the last space stays: it may belong to what follows
             self.text, body = body[-1], body[:-1]
         yield np.fromiter(self.core.feed(body.encode()), "<u4").tobytes()
-        if len(own) == len(piece):
+        if len(own) == stop and not whole:
+            self.pending = piece[stop:]  # nothing, or the begin of a special string
             return ""
         yield np.fromiter(self.core.finish(), "<u4").tobytes()
         self.core = self.goes_on = None
         return piece[len(own) :]
 
     def finish(self) -> Iterator[bytes]:
-        if self.goes_on is not None:
+        if self.goes_on is not None and self.pending:  # no special string after all
+            own = self.goes_on.match(self.pending).group()
+            if self.goes_on is not _SPACE:
+                yield np.fromiter(self.core.feed(own.encode()), "<u4").tobytes()
+                self.pending = self.pending[len(own) :]
+            yield np.fromiter(self.core.finish(), "<u4").tobytes()
+            yield from self.units(self.text + self.pending)
+        elif self.goes_on is not None:
             yield np.fromiter(self.core.feed(self.text.encode()), "<u4").tobytes()
             yield np.fromiter(self.core.finish(), "<u4").tobytes()
         else:
-            yield from self.units(self.text)
+            yield from self._cut_units(self.text)
         self._reset()
 
     def encode(self, text: str) -> bytes:
-        """All ids of a text that is in memory; the same ids as feed() and finish() over any cut of it."""
-        first, *rest = text.split(" ")
-        try:
-            if not first or first[-1].isspace():
-                raise _Odd
-            return self._units[first] + b"".join(map(self._spaced.__getitem__, rest))
-        except _Odd:
-            return b"".join(self.units(text))
+        """All ids of a text that is in memory: feed() over its pieces, and finish()."""
+        out: list[bytes] = []
+        for at in range(0, len(text), PIECE):
+            out += self.feed(text[at : at + PIECE])
+        out += self.finish()
+        return b"".join(out)
 
 
 class Decoder:
@@ -357,34 +407,45 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _batches(batches, at: int, path: str, ids: str, decoded: str | None):
+    """Batches with the ids (and, read from them, the decoded text) of the texts in column `at`."""
+    encoder, decoder = coder(path)
+    for b in batches:
+        # whole batches of long texts could hold many tokens: each output batch is bounded
+        start, size, parts = 0, 0, []
+        for i, t in enumerate(b.column(at)):
+            parts.append(encoder.encode(t.as_py() or ""))
+            size += len(parts[-1])
+            if size > 1 << 22 or i == b.num_rows - 1:
+                part, names = b.slice(start, i + 1 - start), [*b.schema.names, ids]
+                made = [_lists(parts)]
+                if decoded is not None:
+                    made.append(pa.array([decoder.decode(np.frombuffer(p, "<u4")) for p in parts], pa.string()))
+                    names.append(decoded)
+                yield pa.record_batch([*part.columns, *made], names=names)
+                start, size, parts = i + 1, 0, []
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`docs` with the token ids of each text (array<int>); a null text counts as empty.
 
-    The column `ids` is replaced if `docs` has it; all others stay, whatever they are named or hold. Rows are never
-    regrouped, so repeated rows stay and an empty table gives an empty one.
+    With `decoded` the ids are decoded in the same pass, to a column of that name. Columns `ids` and `decoded` are
+    replaced if `docs` has them; all others stay, whatever they are named or hold. Rows are never regrouped, so repeated
+    rows stay and an empty table gives an empty one.
     """
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     at = docs.columns.index(text)
 
     def run(batches):
         from driftlake.llm import bpe
 
-        encoder = bpe.coder(path)[0]
-        for b in batches:
-            # whole batches of long texts could hold many tokens: each output batch is bounded
-            start, size, parts = 0, 0, []
-            for i, t in enumerate(b.column(at)):
-                parts.append(encoder.encode(t.as_py() or ""))
-                size += len(parts[-1])
-                if size > 1 << 24 or i == b.num_rows - 1:
-                    part = b.slice(start, i + 1 - start)
-                    yield pa.record_batch([*part.columns, bpe._lists(parts)], names=[*b.schema.names, ids])
-                    start, size, parts = i + 1, 0, []
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+        yield from bpe._batches(batches, at, path, ids, decoded)
+
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
     plain = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(ids, ArrayType(IntegerType(), False))]))
+    more = [StructField(ids, ArrayType(IntegerType(), False)), *([StructField(decoded, StringType())] if decoded else [])]
+    return plain.mapInArrow(trimming(run), StructType([*plain.schema.fields, *more]))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -403,7 +464,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(text, StringType())]))
+    return tokens.mapInArrow(trimming(run), StructType([*tokens.schema.fields, StructField(text, StringType())]))
 
 
 def digests(both: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -419,4 +480,4 @@ def digests(both: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFra
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs, path).drop("text"), path))
+    return digests(encode(docs, path, decoded="decoded").drop("text"))
