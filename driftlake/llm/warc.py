@@ -26,10 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import materialise, new_path, table
+from driftlake.llm.common import materialise, new_path, shuffle_partitions, table
 from driftlake.llm.files import Out, open_in
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Parts that the rows of a payload which occurs more than once are dealt to.
+SALTS = 32
 #: Plain bytes after which a frame ends, and packed bytes after which a bundle does.
 FRAME, BUNDLE = 1 << 18, 1 << 26
 LEVEL = 3
@@ -168,8 +170,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     """Writes the bundles and returns their index (INDEX), kept in a table so that no bundle is written twice."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("body"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("body")))
-    heads = rows.groupBy("sha").agg(F.max("id").alias("head"))
-    both = rows.join(heads, "sha").withColumn("again", (F.length("body") >= least) & F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head")))
+    # only payloads that occur again need a head: these few rows go to all parts of their payload's rows
+    heads = rows.groupBy("sha").agg(F.max("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = heads.select("sha", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    both = salted.join(heads, ["sha", "salt"], "left").withColumn("again", (F.length("body") >= least) & F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head")))
     both = both.select(F.col("id").cast("string"), "url", "body", F.when(F.col("again"), F.col("head").cast("string")).alias("head"), "again")
 
     def run(batches):
@@ -206,7 +211,9 @@ def read(index: DataFrame, payloads: bool = False) -> DataFrame:
         names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return index.select("bundle").distinct().mapInArrow(run, RECORD)
+    # a fixed number of tasks: left to itself, adaptive execution would merge these few names into one task
+    names = index.select("bundle").repartition(shuffle_partitions(index.sparkSession), "bundle").distinct()
+    return names.mapInArrow(run, RECORD)
 
 
 def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
