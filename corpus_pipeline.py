@@ -39,9 +39,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, text): the tokens of each document and the text decoded from them."""
-    path = bpe.default_vocabulary()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, ids="ids").drop("text"), path, ids="ids", text="text")
-    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    src = docs.select("doc_id", "lang", "source", "text")
+    both = bpe.encode(src, bpe.default_vocabulary(), decoded="decoded")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
