@@ -55,11 +55,14 @@ def _clean() -> None:
             return
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: it outlives lost executors."""
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: it outlives lost executors.
+
+    files: how many its rows are worth at most; partitions beyond that number are put together.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

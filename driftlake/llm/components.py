@@ -26,17 +26,21 @@ def _small(e: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Edges of a file of a round.
+FILE = 250_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Edges (u, v) of longs to (u, v) with v the least vertex of u's component; only vertices that are not least.
 
     Self-loops and repeated edges are allowed; an empty list gives an empty list.
     """
-    e = materialise(_small(edges), "edges")
+    e = materialise(_small(edges), "edges", 1 + edges.count() // FILE)
     before = None
     for _ in range(most_rounds):
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before or now[0] == 0:
             return e
         before = tuple(now)
-        e = materialise(_small(_large(e)), "edges")
+        e = materialise(_small(_large(e)), "edges", 1 + now[0] // FILE)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -43,6 +43,8 @@ PARITY = 512
 SAMPLE, HOT = 16, 50_000
 #: Texts of a tile, where many texts share a shingle.
 TILE = 1024
+#: Texts that are worth a file of an intermediate table.
+FILE = 5000
 #: Bytes of texts hashed at once, and what a longer text is cut in.
 SEGMENT = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -210,10 +212,10 @@ def _may(a: str, b: str, similar: float) -> Column:
     return F.least(n - i, m - j) >= F.ceil(F.lit(similar / (1 + similar)) * (n + m) - F.lit(1e-9))
 
 
-def _tries(reps: DataFrame) -> DataFrame:
+def _tries(reps: DataFrame, files: int) -> DataFrame:
     """Links of texts with one fingerprint to the least of them, and of the fingerprints that the trie self-join links."""
     made = reps.select("t1", F.posexplode("f").alias("table", "fp")).groupBy("table", "fp")
-    heads = materialise(made.agg(F.min("t1").alias("head")), "near-values")
+    heads = materialise(made.agg(F.min("t1").alias("head")), "near-values", files)
     links = reps.select("t1", F.posexplode("f").alias("table", "fp")).join(heads, ["table", "fp"]).where("t1 <> head").select(F.col("head").alias("u"), F.col("t1").alias("v"))
     for t in range(TABLES):
         own = heads.where(F.col("table") == t).select("fp", "head")
@@ -223,10 +225,10 @@ def _tries(reps: DataFrame) -> DataFrame:
     return links
 
 
-def _shared(reps: DataFrame) -> DataFrame:
+def _shared(reps: DataFrame, files: int) -> DataFrame:
     """(sh, m, r: (score, t1, n, at)): the texts whose prefixes have a shingle, where there are two or more."""
     rows = reps.select("t1", "n", F.posexplode("p").alias("at", "sh")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sh")))
-    rows = materialise(rows.where("m > 1"), "near-shared")
+    rows = materialise(rows.where("m > 1"), "near-shared", files)
     score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).alias("score"))
     return rows.join(score, "t1").select("sh", "m", F.struct("score", "t1", "n", "at").alias("r"))
 
@@ -263,7 +265,7 @@ def _plausible(links: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
     return both.where(sizes & (differ <= most)).select("u", "v")
 
 
-def _verified(links: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+def _verified(links: DataFrame, texts: DataFrame, similar: float, files: int) -> DataFrame:
     """The links that exact Jaccard similarity confirms; texts: (vertex, text), each text once or more."""
 
     def run(batches):
@@ -276,11 +278,11 @@ def _verified(links: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
     ends = links.select(F.col("u").alias("vertex")).unionByName(links.select(F.col("v").alias("vertex"))).distinct()
     wanted = texts.join(bounded(ends), "vertex", "left_semi")
-    shingles = materialise(wanted.mapInArrow(trimming(run), "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles")
+    shingles = materialise(wanted.mapInArrow(trimming(run), "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles", files)
     left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
     both = F.size(F.array_intersect("hu", "hv"))
     exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both) - F.lit(1e-9)).select("u", "v")
-    exact = materialise(exact, "near-exact")
+    exact = materialise(exact, "near-exact", files)
     for f in shingles.inputFiles()[:1]:  # the largest table of the stage
         drop_path(shingles.sparkSession, f.rsplit("/", 1)[0])
     return exact
@@ -296,19 +298,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     rows = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(a).alias("k1"), F.col(b).alias("k2"), F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(7), plain).alias("t2"), plain.alias("text"))
     head = F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2")
     made = features(rows, similar).groupBy("t1", "t2").agg(F.min(F.struct(head.alias("head"), "f", "x", "p", "n")).alias("r"))
-    reps = materialise(made.select("t1", "t2", "r.*"), "near-features")
+    files = 1 + docs.count() // FILE
+    reps = materialise(made.select("t1", "t2", "r.*"), "near-features", files)
     texts = docs.select(F.xxhash64(plain).alias("vertex"), plain.alias("text"))
 
-    shared = _shared(reps)
-    first = materialise(_plausible(_tries(reps).unionByName(_stars(shared, similar)), reps, similar), "near-links")
-    exact = _verified(first, texts, similar)
+    shared = _shared(reps, files)
+    first = materialise(_plausible(_tries(reps, files).unionByName(_stars(shared, similar)), reps, similar), "near-links", files)
+    exact = _verified(first, texts, similar, files)
     others = _plausible(_others(shared, components(exact), similar), reps, similar).join(first, ["u", "v"], "left_anti")
-    root = components(exact.unionByName(_verified(materialise(others, "near-others"), texts, similar)))
+    root = components(exact.unionByName(_verified(materialise(others, "near-others", files), texts, similar, files)))
 
     named = reps.select("t1", "head").join(root, reps.t1 == root.u, "left").select("head", F.coalesce("v", "t1").alias("root"))
     stay = named.groupBy("root").agg(F.min("head").alias("head")).select("head.k1", "head.k2", F.lit(True).alias("stays"))
     keys = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).join(stay, ["k1", "k2"], "left").where("stays IS NULL OR m > 1")
-    keys = materialise(keys.select(F.col("k1").alias(a), F.col("k2").alias(b), "stays"), "near-gone")
+    keys = materialise(keys.select(F.col("k1").alias(a), F.col("k2").alias(b), "stays"), "near-gone", files)
     alone = keyed.join(bounded(keys.select(a, b)), [a, b], "left_anti")
     equal = keyed.join(bounded(keys.where("stays").select(a, b)), [a, b], "left_semi").dropDuplicates([a, b])
     return alone.unionByName(equal).select(*quoted)

@@ -54,6 +54,8 @@ def wide(length: int) -> int:
 HOT = 4096
 #: Bytes of text looked at in one go, and bytes of suffixes in a run.
 SEGMENT, RUN = 1 << 18, 1 << 25
+#: Texts that are worth a file of an intermediate table.
+FILE = 5000
 _PLACE = np.uint64((1 << 22) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -451,21 +453,22 @@ def _found(docs: DataFrame, id_col: str, text: str, length: int, hot: int, keep:
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("text"))
     rows = rows.withColumn("k", F.xxhash64("id", "text")).withColumn("nb", F.length("text").cast("long"))
     long = rows.where(F.col("nb") >= length).select("k", "nb", "text")
+    files = 1 + docs.count() // FILE
     path = new_path(spark, "suffix-anchors")
     _anchor_table(long, length).write.parquet(path)
     found = spark.read.schema(ANCHOR).parquet(path)
     # a table of its own: adaptive execution can then split a context that very many anchors have
-    twice = materialise(found.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ctx"), "suffix-twice")
-    wanted = materialise(found.join(twice, "ctx").select("k", "nb", "pos", "ctx", "full"), "suffix-wanted")
+    twice = materialise(found.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ctx"), "suffix-twice", files)
+    wanted = materialise(found.join(twice, "ctx").select("k", "nb", "pos", "ctx", "full"), "suffix-wanted", files)
     drop_path(spark, path)
     crowded = wanted.select("ctx", "full").distinct().groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("ctx")
-    crowded = materialise(crowded, "suffix-hot")
+    crowded = materialise(crowded, "suffix-hot", files)
     many = not crowded.isEmpty()
     if many:
         wanted = wanted.join(crowded.withColumn("hot", F.lit(True)), "ctx", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     else:
         wanted = wanted.withColumn("hot", F.lit(False))
-    cut = materialise(_cut(long, wanted, length, 4 * shuffle_partitions(spark)), "suffix-runs")
+    cut = materialise(_cut(long, wanted, length, 4 * shuffle_partitions(spark)), "suffix-runs", files)
     plain = wanted.where(~F.col("hot"))
     answers = _merge(cut.where(F.col("run").isNotNull()).select("bucket", "run"), length)
     by_place = plain.join(answers, ["ctx", "full"]).select("k", "nb", "pos", F.explode("spans").alias("s"))
