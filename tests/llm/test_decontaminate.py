@@ -60,6 +60,29 @@ def test_recall_against_brute_force_and_no_false_match():
         assert w or i not in g
 
 
+def test_short_items_have_their_whole_budget():
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"etaoinshrdlu ", k=n)) for n in range(10, 80)]
+    items = dc.Items(list(range(70)), texts)
+    assert items.budget.tolist() == [int(n * dc.RATE) for n in range(10, 80)]
+    hits = asked = 0
+    for i, t in enumerate(texts):
+        for _ in range(8):
+            body = b"x" * 50 + edited(rng, t, int(items.budget[i])) + b"y" * 50
+            hits, asked = hits + (i in items.find([body])[0]), asked + 1
+    assert hits / asked >= 0.99
+
+
+def test_long_items_in_parts(monkeypatch):
+    monkeypatch.setattr(dc, "UNIT", 128)
+    monkeypatch.setattr(dc, "CELLS", 1 << 12)
+    rng = random.Random(8)
+    texts = [words(rng, 20), words(rng, 400), words(rng, 90)]
+    items = dc.Items([0, 1, 2], texts)
+    docs = [words(rng, 90) + b" " + edited(rng, t, int(len(t) * 0.045)) + b" " + words(rng, 90) for t in texts] + [texts[1][: len(texts[1]) // 2]]
+    assert items.find(docs) == [[0], [1], [2], []]
+
+
 def test_chunks_do_not_matter(monkeypatch):
     rng = random.Random(3)
     texts = [words(rng, 30) for _ in range(5)]
@@ -73,16 +96,16 @@ def test_chunks_do_not_matter(monkeypatch):
 
 def test_odd_rows(spark, monkeypatch):
     item = "Quite a long passage of a benchmark that nobody else would write down by chance."
-    items = spark.createDataFrame([(7, item), (3, None), (4, "short"), (7, item), (9, "exactly sixteen!")], "item_id long, text string")
-    rows = [(1, f"x {item.upper()} y"), (2, None), (2, ""), (None, item.replace(" ", "\n  ")), (5, "clean"), (6, "so exactly  sixteen! it is"), (6, "so exactly sixteem! it is")]
+    items = spark.createDataFrame([(7, item), (3, None), (4, "short"), (7, item), (9, "exactly sixteen!"), (11, "q-9"), (12, " \n ")], "item_id long, text string")
+    rows = [(1, f"x {item.upper()} y"), (2, None), (2, ""), (None, item.replace(" ", "\n  ")), (5, "clean"), (6, "so exactly  sixteen! it is"), (6, "so exactly sixteem! it is"), (8, "what a Q-9 is, in short")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' AS item_ids", "1 AS item_id")
     got = dc.matches(df, items).collect()
-    assert [r.item_ids for r in got] == [[7], [], [], [7], [], [9], []]
+    assert [r.item_ids for r in got] == [[7], [], [], [7], [], [9], [], [4, 11]]
     assert got[0].item_id == 1
     assert all(r.item_ids == [] for r in dc.matches(df, items.where("false")).collect())
     assert dc.matches(df.where("false"), items).count() == 0
     monkeypatch.setattr(dc, "BLOCK", 1)
-    assert [r.item_ids for r in dc.matches(df, items).collect()] == [[7], [], [], [7], [], [9], []]
+    assert [r.item_ids for r in dc.matches(df, items).collect()] == [[7], [], [], [7], [], [9], [], [4, 11]]
 
 
 def test_query_matches_brute_force(spark, sf):
@@ -92,7 +115,7 @@ def test_query_matches_brute_force(spark, sf):
     hits = 0
     for d in docs:
         t = dc.normalised((d.text or "").encode())
-        budget = lambda x: max(0, min(int(len(x) * dc.RATE), len(x) // dc.SEED - 1))
+        budget = lambda x: int(len(x) * dc.RATE)
         want = [i for i, x in items if dc.edit_search(x, t, budget(x)) <= budget(x)]
         assert got[d.doc_id] == want
         hits += bool(want)
