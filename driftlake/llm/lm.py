@@ -1,13 +1,12 @@
 """Language-model scores from a lattice of subwords.
 
 The vocabulary and its scores are those of an existing sentencepiece model; they weight every segmentation of a word,
-and the forward recursion in log space sums over all of them. One round of expectation-maximisation over all distinct
-training words, weighted by their counts, bring the existing scores to the corpus. The probability of a word is a
-mixture of its share of the training words and its marginal in the lattice, the latter with the mass that words seen
-once have (Good and Turing's estimate of what is unseen); a text is its words and an end.
+and the forward recursion in log space sums over all of them. `ROUNDS` rounds of expectation-maximisation over all
+distinct training words, weighted by their counts, bring the existing scores to the corpus. A text is its words and an
+end; its score is the marginal probability over all segmentations of all its words, known or not.
 
-The base score gives every unseen word one slot and does not spell it; the model spells it, so its score is a
-probability of the text itself, and the two are on different scales where many words are new.
+The base score gives every unseen word one slot and does not spell it, and every known word its own count; the lattice
+spells all words by pieces, so its score is a probability of the text itself, on another scale.
 
 Counts grow with the corpus, so nothing but the pieces' weights (the vocabulary's size) is sent to all tasks. Rows
 are dealt to chunks of bounded text; a chunk asks for its distinct words once, word counts are summed by word, and the
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import materialise, shuffle_partitions, table
+from driftlake.llm.common import materialise, shuffle_partitions, table, trimming
 from driftlake.llm.langid import fold
 
 #: Bytes of text in a chunk, about.
@@ -39,7 +38,7 @@ END = "\n"
 PRIOR, BYTES = 1_000.0, 1e-3
 #: Rounds of expectation-maximisation.
 ROUNDS = 2
-#: Words longer than this are scored by themselves; for training they are cut at this length.
+#: Words longer than this are walked one by one.
 LONG = 48
 _SPACE = "▁"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,16 +160,37 @@ class Lattice:
                 del last[0]
         return last[-1] + self.log_stop
 
+    def _spans(self, s: str, j: int):
+        """(start, piece or none, log weight) of the spans of a word that end at j."""
+        for i in range(max(0, j - self.longest), j):
+            if (p := self.ids.get(s[i:j])) is not None:
+                yield i, p, self.w[p]
+            elif i == j - 1:
+                yield i, len(self.pieces), len(s[i].encode()) * self.byte
+
+    def _long_expected(self, s: str, n: float, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one word that occurs n times."""
+        a, b = np.full(len(s) + 1, -np.inf), np.full(len(s) + 1, -np.inf)
+        a[0] = b[-1] = 0
+        for j in range(1, len(s) + 1):
+            a[j] = np.logaddexp.reduce([a[i] + w for i, _, w in self._spans(s, j)])
+        for j in range(len(s), 0, -1):
+            for i, p, w in self._spans(s, j):
+                out[p] += n * math.exp(a[i] + w + b[j] - a[-1])
+                b[i] = np.logaddexp(b[i], b[j] + w)
+
     def expected(self, words: list[str], n: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words that occur n times."""
         out = np.zeros(len(self.pieces) + 1)
         cut: Counter = Counter()
         for w, c in zip(words, n.tolist(), strict=True):
-            for at in range(0, max(len(w), 1), LONG - 1):
-                cut[w[at : at + LONG - 1]] += c
+            cut[w] += c
         by_length: dict[int, list[str]] = {}
-        for w in cut:
-            by_length.setdefault(len(w), []).append(w)
+        for w, c in cut.items():
+            if len(w) >= LONG:
+                self._long_expected(_SPACE + w, c, out)
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, ws in by_length.items():
             for at in range(0, len(ws), 4096):
                 some = ws[at : at + 4096]
@@ -231,7 +251,7 @@ def word_table(chunked: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = chunked.select("chunk", "text", "held").repartition("chunk").sortWithinPartitions("chunk")
-    return rows.mapInArrow(run, "word string, chunk int, c long")
+    return rows.mapInArrow(trimming(run), "word string, chunk int, c long")
 
 
 def score(docs: DataFrame, held: str, id_col: str = "doc_id", text: str = "text", pieces: str | None = None) -> DataFrame:
@@ -244,9 +264,8 @@ def score(docs: DataFrame, held: str, id_col: str = "doc_id", text: str = "text"
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.count_if(F.col("c") > 0).alias("v"),
         F.coalesce(F.sum(F.when(~is_word, F.col("c"))), F.lit(0)).alias("ends"),
-        F.count_if(is_word & (F.col("c") == 1)).alias("once"),
     ).first()
-    n, v, ends, once = (int(x) for x in got)
+    n, v, ends = (int(x) for x in got)
     n_words = n - ends
     names, prior = load_pieces(pieces or default_pieces())
     weights, stop = prior, 0.3
@@ -260,26 +279,23 @@ def score(docs: DataFrame, held: str, id_col: str = "doc_id", text: str = "text"
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["piece", "n"])
 
-        seen = counts.where(is_word & (F.col("c") > 0)).mapInArrow(expect, "piece long, n double")
+        seen = counts.where(is_word & (F.col("c") > 0)).mapInArrow(trimming(expect), "piece long, n double")
         uses = np.exp(prior) * PRIOR
         for r in seen.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row for each piece of the vocabulary at most
             uses[r.piece] += r.n
         weights = np.log(uses / uses.sum())
         stop = (n_words + 0.3 * PRIOR) / (n_words + 0.3 * PRIOR + uses.sum())
     model = Lattice(names, weights + math.log(1 - BYTES) + math.log(1 - stop), stop)
-    unseen = once / n_words if n_words and once else 1 / (n_words + 1)
     word_share, end_share = math.log((n_words + 1) / (n + 2)), math.log((ends + 1) / (n + 2))
 
     def weigh(batches):
         for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            with np.errstate(divide="ignore"):
-                own = np.log(c / max(n_words, 1)) + (math.log(1 - unseen) if unseen < 1 else -np.inf)
-            lp = np.logaddexp(own, model.log_marginals(words) + math.log(unseen)) + word_share
+            words = b.column(0).to_pylist()
+            lp = model.log_marginals(words) + word_share
             lp[[i for i, w in enumerate(words) if w == END]] = end_share
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lp / math.log(10))], names=["word", "c", "lp"])
 
-    weighed = counts.mapInArrow(weigh, "word string, c long, lp double")
+    weighed = counts.mapInArrow(trimming(weigh), "word string, c long, lp double")
     answers = asked.select("word", "chunk").join(weighed, "word").select("chunk", "word", "c", "lp")
 
     kind = chunked.schema["id"].dataType.simpleString()
