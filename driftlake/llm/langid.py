@@ -1,9 +1,9 @@
 """Language identification by nearest centroids.
 
 A text is a vector of hashed byte 1- to 3-grams of its lower-cased letters, weighted by TF-IDF and brought to length
-one. Each language has several centroids, found by spherical k-means over a bounded sample of its labelled texts (at
-most about `SAMPLE` a language, drawn by a hash of the text: the only part that does not read all rows). A text gets
-the language of the centroid with the largest cosine; where that cosine is lower than nearly all of the language's
+one; document frequencies are those of all training texts. Each language has several centroids, found by spherical
+k-means over a bounded sample of its labelled texts (`SAMPLE` different ones a language at most, those of least hash:
+the only part that does not read all rows). A text gets the language of the centroid with the largest cosine; where that cosine is lower than nearly all of the language's
 own training texts have, the prediction is marked as rejected.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text where nothing was
@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import materialise, table
+from driftlake.llm.common import materialise, table, trimming
 
 DIMS = 1 << 13
 #: Labelled texts drawn for a language, and centroids made of them.
@@ -34,14 +34,16 @@ _ODD = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text, made piece by piece."""
-    out = np.zeros(DIMS, np.int64)
-    for at in range(0, len(text), PIECE):
-        u = np.frombuffer((" " + text[at : at + PIECE].lower() + " ").encode().translate(_FOLD), np.uint8).astype(np.uint32)
-        shift = np.uint32(32 - 13)
+    out, shift, tail = np.zeros(DIMS, np.int64), np.uint32(32 - 13), np.zeros(0, np.uint32)
+    for at in range(0, len(text) + 1, PIECE):
+        piece = (" " if not at else "") + text[at : at + PIECE].lower() + (" " if at + PIECE > len(text) else "")
+        new = np.frombuffer(piece.encode().translate(_FOLD), np.uint8).astype(np.uint32)
+        u = np.concatenate((tail, new))
         two = u[:-1] | (u[1:] << np.uint32(8))
         three = two[:-1] | (u[2:] << np.uint32(16))
-        for gram, odd in zip((u, two, three), _ODD, strict=True):
+        for gram, odd in zip((new, two[max(len(tail) - 1, 0) :], three), _ODD, strict=True):
             out += np.bincount((gram * odd) >> shift, minlength=DIMS)
+        tail = u[-2:]
     return out
 
 
@@ -87,29 +89,35 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learns from rows with a label and a text with a letter."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    spark = labelled.sparkSession
+    # copies of a text count once here, so that a language of few texts in many copies has a sample too
+    texts = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    n = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     if not n:
         return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), {})
-    spark = labelled.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, sample / v)) for k, v in n.items()], "lang string, share double")
-    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    shares = spark.createDataFrame([(k, min(1.0, 2 * sample / v)) for k, v in n.items()], "lang string, share double")
+    near = texts.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    least = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("i") <= sample)
+    drawn = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([counts(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["lang", "vec"])
 
-    table_ = materialise(drawn.mapInArrow(count, "lang string, vec binary"), "langid-sample")
+    table_ = materialise(drawn.mapInArrow(trimming(count), "lang string, vec binary"), "langid-sample", 4)
 
     def present(batches):
         total, seen = np.zeros(DIMS, np.int64), 0
         for b in batches:
-            for v in b.column(1):
-                total += np.frombuffer(v.as_py(), "<u4") > 0
+            for t in b.column(0).to_pylist():
+                total += counts(t) > 0
                 seen += 1
         yield pa.record_batch([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["n", "df"])
 
-    parts = table_.mapInArrow(present, "n long, df binary").collect()  # one row of DIMS counts a task
-    idf = (np.log((1 + sum(p.n for p in parts)) / (1 + sum(np.frombuffer(p.df, np.int64) for p in parts))) + 1).astype(np.float32)
+    total, seen = np.zeros(DIMS, np.int64), 0  # of all training texts: one row of DIMS counts a task
+    for p in rows.select("text").mapInArrow(trimming(present), "n long, df binary").toLocalIterator():
+        total, seen = total + np.frombuffer(p.df, np.int64), seen + p.n
+    idf = (np.log((1 + seen) / (1 + total)) + 1).astype(np.float32)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit_rows(np.log1p(np.stack([np.frombuffer(v, "<u4") for v in pdf["vec"]]).astype(np.float32)) * idf)
@@ -138,7 +146,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     fields = [*src.schema.fields[:last], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
-    return src.mapInArrow(run, StructType(fields))
+    return src.mapInArrow(trimming(run), StructType(fields))
 
 
 def fold(col: str, n: int, k: int):
