@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import WS, WS_CHARS, table
+from driftlake.llm.common import WS, WS_CHARS, table, unused
 
 #: Bit of each rule in the ledger. Bits are never reused: a retired rule leaves a hole.
 RULES = {
@@ -49,8 +49,8 @@ _INDEX_BITS = 24
 _LOW = (1 << _INDEX_BITS) - 1
 
 
-def _window(i: Column) -> tuple[Column, Column, Column]:
-    return F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)
+def _window(words: str, i: Column) -> tuple[Column, Column, Column]:
+    return F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)
 
 
 def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,32 +59,33 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     3-word windows are packed as (hash, position) into longs, which sort without a comparator; windows that share a
     hash with a neighbour are then compared by their words, so n_repeat_words is exact.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    t_, trim_, words_, packed_, suspects_, grams_, lines_ = own = unused(docs.columns, "t", "trim", "words", "packed", "suspects", "grams", "lines")
     trimmed = F.btrim(t, F.lit(WS_CHARS))
     measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs"]
     df = docs.drop(*[c for c in measured if c in docs.columns])
-    df = df.withColumn("_t", t).withColumn("_trim", trimmed)
-    df = df.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", WS)))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
+    df = df.withColumn(t_, t).withColumn(trim_, trimmed)
+    df = df.withColumn(words_, F.when(F.col(trim_) == "", F.array().cast("array<string>")).otherwise(F.split(trim_, WS)))
+    df = df.withColumn("n_words", F.size(words_).cast("long"))
     last = (F.col("n_words") - 3).cast("int")
-    packed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*_window(i)).bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))
+    packed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*_window(words_, i)).bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))
     none = F.array().cast("array<bigint>")
-    df = df.withColumn("_p", F.when(F.col("n_words") >= 3, F.sort_array(packed)).otherwise(none))
+    df = df.withColumn(packed_, F.when(F.col("n_words") >= 3, F.sort_array(packed)).otherwise(none))
     high = lambda x: x.bitwiseAND(F.lit(~_LOW))
-    same = lambda x, k: F.coalesce(high(x) == high(F.get("_p", k - 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get("_p", k + 1)), F.lit(False))
-    suspects = F.when(F.col("n_words") <= _LOW, F.transform(F.filter("_p", same), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))).otherwise(F.sequence(F.lit(0), last))
-    df = df.withColumn("_s", F.when(F.size("_p") == 0, F.array().cast("array<int>")).otherwise(suspects))
-    df = df.withColumn("_g", F.when(F.size("_s") < 2, F.lit(None)).otherwise(F.sort_array(F.transform("_s", lambda i: F.struct(F.concat_ws(" ", *_window(i)).alias("t"), i.alias("i"))))))
-    twin = lambda y, k: F.coalesce(y["t"] == F.get("_g", k - 1)["t"], F.lit(False)) | F.coalesce(y["t"] == F.get("_g", k + 1)["t"], F.lit(False))
-    covered = F.array_distinct(F.flatten(F.transform(F.filter("_g", twin), lambda y: F.array(y["i"], y["i"] + 1, y["i"] + 2))))
-    df = df.withColumn("n_repeat_words", F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
-    df = df.withColumn("word_chars", F.length(F.translate("_t", WS_CHARS, "")).cast("long"))
-    df = df.withColumn("n_symbols", (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"))
-    df = df.withColumn("n_bangs", (F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).cast("long"))
-    df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0))
-    df = df.withColumn("n_lines", F.size("_lines").cast("long"))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    return df.drop("_t", "_trim", "_w", "_p", "_s", "_g", "_lines")
+    same = lambda x, k: F.coalesce(high(x) == high(F.get(packed_, k - 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get(packed_, k + 1)), F.lit(False))
+    suspects = F.when(F.col("n_words") <= _LOW, F.transform(F.filter(packed_, same), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))).otherwise(F.sequence(F.lit(0), last))
+    df = df.withColumn(suspects_, F.when(F.size(packed_) == 0, F.array().cast("array<int>")).otherwise(suspects))
+    df = df.withColumn(grams_, F.when(F.size(suspects_) < 2, F.lit(None)).otherwise(F.sort_array(F.transform(suspects_, lambda i: F.struct(F.concat_ws(" ", *_window(words_, i)).alias("t"), i.alias("i"))))))
+    twin = lambda y, k: F.coalesce(y["t"] == F.get(grams_, k - 1)["t"], F.lit(False)) | F.coalesce(y["t"] == F.get(grams_, k + 1)["t"], F.lit(False))
+    covered = F.array_distinct(F.flatten(F.transform(F.filter(grams_, twin), lambda y: F.array(y["i"], y["i"] + 1, y["i"] + 2))))
+    df = df.withColumn("n_repeat_words", F.when(F.col(grams_).isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
+    df = df.withColumn("word_chars", F.length(F.translate(t_, WS_CHARS, "")).cast("long"))
+    df = df.withColumn("n_symbols", (F.length(t_) - F.length(F.translate(t_, "#*$%&|<>", ""))).cast("long"))
+    df = df.withColumn("n_bangs", (F.length(t_) - F.length(F.replace(t_, F.lit("!"), F.lit("")))).cast("long"))
+    df = df.withColumn(lines_, F.filter(F.split(t_, "\n"), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0))
+    df = df.withColumn("n_lines", F.size(lines_).cast("long"))
+    df = df.withColumn("n_dup_lines", (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"))
+    return df.drop(*own)
 
 
 def _failed() -> dict[str, Column]:
@@ -106,10 +107,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     for name, bad in _failed().items():
         bit = F.when(bad, F.lit(1 << RULES[name])).otherwise(F.lit(0)).cast("long")
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    # Zero, but not deterministic to the optimizer: else a filter on the bits would be pushed down with all that they
-    # are made of, and every measurement be taken again for each element of each array.
-    zero = F.shiftright(F.monotonically_increasing_id(), 62)
-    return out.withColumn("fail_bits", bits.bitwiseOR(zero))
+    # Out of a generator, so that a filter on the bits stays above what they are made of: pushed down, it would take
+    # every measurement again for each element of each array.
+    return out.select("*", F.explode(F.array(bits)).alias("fail_bits"))
 
 
 def apply_policy(entries: DataFrame, policy: Policy = V1, column: str = "kept") -> DataFrame:
