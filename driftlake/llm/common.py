@@ -55,6 +55,21 @@ def _clean() -> None:
             return
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Executions in this context leave no shuffle files: for writes whose plan is not run again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: it outlives lost executors.
 
@@ -62,10 +77,17 @@ def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
+    with shuffles_dropped(spark):
+        (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes a table that materialise() made and that no plan reads any more."""
+    for f in df.inputFiles()[:1]:
+        drop_path(df.sparkSession, f.rsplit("/", 1)[0])
+
+
 def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """The narrow table `df` marked for a broadcast if it has `rows` rows at most; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import materialise
+from driftlake.llm.common import drop, materialise
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -42,5 +42,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == before or now[0] == 0:
             return e
         before = tuple(now)
-        e = materialise(_small(_large(e)), "edges", 1 + now[0] // FILE)
+        last, e = e, materialise(_small(_large(e)), "edges", 1 + now[0] // FILE)
+        drop(last)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

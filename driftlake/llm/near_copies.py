@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import bounded, drop_path, materialise, trimming, unused
+from driftlake.llm.common import bounded, drop, materialise, trimming, unused
 from driftlake.llm.components import components
 from driftlake.llm.simhash import hamming_links
 
@@ -225,12 +225,12 @@ def _tries(reps: DataFrame, files: int) -> DataFrame:
     return links
 
 
-def _shared(reps: DataFrame, files: int) -> DataFrame:
-    """(sh, m, r: (score, t1, n, at)): the texts whose prefixes have a shingle, where there are two or more."""
+def _shared(reps: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
+    """A table of the texts whose prefixes have a shingle, where there are two or more; and (sh, m, r: (score, t1, n, at)) from it."""
     rows = reps.select("t1", "n", F.posexplode("p").alias("at", "sh")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sh")))
     rows = materialise(rows.where("m > 1"), "near-shared", files)
-    score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).alias("score"))
-    return rows.join(score, "t1").select("sh", "m", F.struct("score", "t1", "n", "at").alias("r"))
+    score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).cast("float").alias("score"))
+    return rows, rows.join(score, "t1").select("sh", "m", F.struct("score", "t1", "n", "at").alias("r"))
 
 
 def _stars(shared: DataFrame, similar: float) -> DataFrame:
@@ -283,8 +283,7 @@ def _verified(links: DataFrame, texts: DataFrame, similar: float, files: int) ->
     both = F.size(F.array_intersect("hu", "hv"))
     exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both) - F.lit(1e-9)).select("u", "v")
     exact = materialise(exact, "near-exact", files)
-    for f in shingles.inputFiles()[:1]:  # the largest table of the stage
-        drop_path(shingles.sparkSession, f.rsplit("/", 1)[0])
+    drop(shingles)
     return exact
 
 
@@ -302,11 +301,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     reps = materialise(made.select("t1", "t2", "r.*"), "near-features", files)
     texts = docs.select(F.xxhash64(plain).alias("vertex"), plain.alias("text"))
 
-    shared = _shared(reps, files)
+    table_, shared = _shared(reps, files)
     first = materialise(_plausible(_tries(reps, files).unionByName(_stars(shared, similar)), reps, similar), "near-links", files)
     exact = _verified(first, texts, similar, files)
     others = _plausible(_others(shared, components(exact), similar), reps, similar).join(first, ["u", "v"], "left_anti")
-    root = components(exact.unionByName(_verified(materialise(others, "near-others", files), texts, similar, files)))
+    others = materialise(others, "near-others", files)
+    drop(table_)
+    root = components(exact.unionByName(_verified(others, texts, similar, files)))
 
     named = reps.select("t1", "head").join(root, reps.t1 == root.u, "left").select("head", F.coalesce("v", "t1").alias("root"))
     stay = named.groupBy("root").agg(F.min("head").alias("head")).select("head.k1", "head.k2", F.lit(True).alias("stays"))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import drop_path, materialise, new_path, shuffle_partitions, table, trimming
+from driftlake.llm.common import drop, materialise, shuffle_partitions, table, trimming
 
 LENGTH = 400
 #: Bytes that decide an anchor at most, and bytes of a k-mer.
@@ -454,13 +454,12 @@ def _found(docs: DataFrame, id_col: str, text: str, length: int, hot: int, keep:
     rows = rows.withColumn("k", F.xxhash64("id", "text")).withColumn("nb", F.length("text").cast("long"))
     long = rows.where(F.col("nb") >= length).select("k", "nb", "text")
     files = 1 + docs.count() // FILE
-    path = new_path(spark, "suffix-anchors")
-    _anchor_table(long, length).write.parquet(path)
-    found = spark.read.schema(ANCHOR).parquet(path)
+    found = materialise(_anchor_table(long, length), "suffix-anchors")
     # a table of its own: adaptive execution can then split a context that very many anchors have
     twice = materialise(found.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ctx"), "suffix-twice", files)
     wanted = materialise(found.join(twice, "ctx").select("k", "nb", "pos", "ctx", "full"), "suffix-wanted", files)
-    drop_path(spark, path)
+    drop(found)
+    drop(twice)
     crowded = wanted.select("ctx", "full").distinct().groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("ctx")
     crowded = materialise(crowded, "suffix-hot", files)
     many = not crowded.isEmpty()
