@@ -9,6 +9,8 @@ fits, without pixels, are grouped by recording for the reconciliation. Repair an
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 
 from driftlake.kernels import filters, fit, planes as kp, solve
 from driftlake.operators import repair
-from driftlake.operators.planning import LAGS
+from driftlake.functions.stats import upper_median
+from driftlake.operators.planning import LAGS, owners
 
 BLOCK = 32
-PAIR = "recording_id {id}, from_frame int, to_frame int, dx double, dy double, theta double, log_gain double, residual_before double, residual_after double, valid_fraction double, iterations int, status string"
+PAIR = "recording_id {id}, from_frame int, to_frame int, dx double, dy double, theta double, log_gain double, residual_before double, residual_after double, valid_fraction double, iterations int, status string, covariance array<double>"
+WEIGHTINGS = ("EQUAL", "UNCERTAINTY", "ROBUST", "COMBINED")
 REFERENCES = ("CONSECUTIVE", "MULTILAG", "FIXED")
 INTERPOLATIONS = {"NONE": 0, "BILINEAR": 1, "BICUBIC": 2, "FOURIER": 1}
 
@@ -50,6 +54,7 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
     if reference == "MULTILAG" and 1 not in lags:
         raise ValueError("a multi-lag plan needs lag 1")
     own = (1,) if reference == "CONSECUTIVE" else lags
+    names = [c.split()[0] for c in PAIR.split(", ")]
     kind = planes.schema["recording_id"].dataType.simpleString()
     p = planes.select("recording_id", "frame", "height", "width", "pixels")
     if starts is not None:
@@ -65,29 +70,30 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        rows = {r.frame: r for r in pdf.itertuples()}
-        made: dict = {}
-
-        def pyr(t: int):
-            if t not in made:
-                made[t] = fit.prepare(_array(rows[t], filter_), options)
-            return made[t]
-
+        rows = list(pdf.itertuples())
+        place = {r.frame: i for i, r in enumerate(rows)}
         if reference == "FIXED":
-            pairs = [(0, t) for t in rows if t]
+            pairs = [(0, t) for t in place if t]
         else:
             lo = key[1] * BLOCK
-            pairs = [(t, t + k) for t in rows if lo <= t < lo + BLOCK for k in own if t + k in rows]
-        out = []
-        for a, b in pairs:
+            pairs = [(t, t + k) for t in place if lo <= t < lo + BLOCK for k in own if t + k in place]
+        if not pairs:
+            return pd.DataFrame(columns=names)
+        arrays = [_array(r, filter_) for r in rows]
+        if options.estimator == "LOG_RATIO_FIT":
             start = None
-            if starts is not None and not pd.isna(rows[a].x) and not pd.isna(rows[b].x):
-                pose = lambda r: np.array([r.x, r.y, r.theta])
-                start = solve.then(solve.inverse(pose(rows[a])), pose(rows[b]))
-            how = fit.ESTIMATORS[options.estimator]
-            f = how(pyr(a), pyr(b), options, start) if options.estimator == "LOG_RATIO_FIT" else how(pyr(a), pyr(b), options)
-            out.append((key[0], a, b, f.dx, f.dy, f.theta, f.log_gain, f.residual_before, f.residual_after, f.valid_fraction, f.iterations, f.status))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PAIR.split(", ")])
+            if starts is not None:
+                pose = lambda t: np.array([rows[place[t]].x, rows[place[t]].y, rows[place[t]].theta], float)
+                start = np.array([solve.then(solve.inverse(pose(a)), pose(b)) for a, b in pairs])
+            stacks = fit.prepare_stack(arrays, options)
+            ia, ib = (np.array([place[p[k]] for p in pairs]) for k in (0, 1))
+            fits = fit.log_ratio_rows(stacks, ia, stacks, ib, options, start)
+        else:
+            pyramids = [fit.prepare(a, options) for a in arrays]
+            fits = [fit.ESTIMATORS[options.estimator](pyramids[place[a]], pyramids[place[b]], options) for a, b in pairs]
+        cov = lambda c: None if c is None else c.ravel().tolist()
+        out = [(key[0], a, b, f.dx, f.dy, f.theta, f.log_gain, f.residual_before, f.residual_after, f.valid_fraction, f.iterations, f.status, cov(f.covariance)) for (a, b), f in zip(pairs, fits, strict=True)]
+        return pd.DataFrame(out, columns=names)
 
     return p.groupBy("recording_id", "block").applyInPandas(run, PAIR.replace("{id}", kind))
 
@@ -122,24 +128,28 @@ def rolling(planes: DataFrame, options: fit.Options = fit.Options(), window: int
 
 def reconcile(pairs: DataFrame, frames: DataFrame, reference: str = "MULTILAG", weighting: str = "EQUAL") -> DataFrame:
     """(recording_id, frame, x, y, theta, support): one pose a frame, relative to frame 0."""
-    if weighting not in ("EQUAL", "ROBUST"):
+    if weighting not in WEIGHTINGS:
         raise ValueError(f"unknown weighting {weighting}")
     kind = frames.schema["recording_id"].dataType.simpleString()
-    n = frames.groupBy("recording_id").agg((F.max("frame") + 1).cast("int").alias("n"))
+    size = [F.max(F.col(c)).alias(c) if c in frames.columns else F.lit(1).alias(c) for c in ("height", "width")]
+    n = frames.groupBy("recording_id").agg((F.max("frame") + 1).cast("int").alias("n"), *size)
     edges = n.join(pairs, "recording_id", "left")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         ok = pdf[pdf["status"].notna() & (pdf["status"] != "REFUSED_LOW_OVERLAP")].sort_values(["from_frame", "to_frame"])
-        e = [(int(r.from_frame), int(r.to_frame), r.dx, r.dy, r.theta) for r in ok.itertuples()]
+        e = list(zip(ok["from_frame"].astype(int), ok["to_frame"].astype(int), ok["dx"], ok["dy"], ok["theta"], strict=True))
         if reference == "FIXED":
             poses, support = solve.fixed(n, e)
         elif reference == "CONSECUTIVE":
             poses, support = solve.chain(n, e)
-        elif weighting == "ROBUST":
-            poses, support, _ = solve.robust(n, e)
         else:
-            poses, support = solve.multilag(n, e)
+            cov = None
+            if weighting in ("UNCERTAINTY", "COMBINED"):
+                cov = [None if c is None else np.reshape(c, (2, 2) if len(c) == 4 else (3, 3)) for c in ok["covariance"]]
+            turns = bool((ok["theta"] != 0).any())
+            got = solve.reconciled(n, e, weighting, fit.rms_radius(int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])), cov, turns)
+            poses, support = got["poses"], got["support"]
         return pd.DataFrame({"recording_id": key[0], "frame": np.arange(n), "x": poses[:, 0], "y": poses[:, 1], "theta": poses[:, 2], "support": support})
 
     got = edges.groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, frame int, x double, y double, theta double, support int")
@@ -157,7 +167,9 @@ def repaired(poses: DataFrame, outlier_mads: float = 6.0) -> DataFrame:
 
 def estimate(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", weighting: str = "EQUAL", outlier_mads: float = 6.0, channel: int = 1, slice_: int = 0) -> tuple[DataFrame, DataFrame]:
     """(trajectory, pairs) of all recordings."""
-    frames = planes.select("recording_id", "frame").distinct()
+    frames = planes.select("recording_id", "frame", "height", "width").distinct()
+    if weighting in ("UNCERTAINTY", "COMBINED"):
+        options = replace(options, uncertainty=True)
     pairs = fit_pairs(estimation_planes(planes, channel, slice_), options, reference, lags, filter_)
     return repaired(reconcile(pairs, frames, reference, weighting), outlier_mads), pairs
 
@@ -198,13 +210,18 @@ def register(planes: DataFrame, interpolation: str = "BILINEAR", crop: bool = Tr
 
 
 def report(trajectory: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row a recording: frames, repairs, largest move, and counts and residuals of its pairs."""
+    """One row a recording: frames, repairs, largest move, counts of its pairs, and the medians of the residuals of the
+    pairs that own its frames (the shortest that ends there)."""
     t = trajectory.groupBy("recording_id").agg(F.count(F.lit(1)).alias("frames"), F.count("repair").alias("repaired"), F.max(F.hypot("dx", "dy")).alias("largest_move"))
     p = pairs.groupBy("recording_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("status") == "REFUSED_LOW_OVERLAP").alias("refused"), F.count_if(F.col("status") == "NOT_CONVERGED").alias("not_converged"),
-        F.count_if(F.col("status").like("AT%")).alias("at_bound"), F.avg("residual_before").alias("residual_before"), F.avg("residual_after").alias("residual_after"),
+        F.count_if(F.col("status").like("AT%")).alias("at_bound"),
     )
-    return t.join(p, "recording_id", "left")
+    plan = pairs.withColumn("lag", F.abs(F.col("to_frame") - F.col("from_frame"))).withColumn("plan_index", F.col("from_frame"))
+    own = owners(plan).join(plan.select("recording_id", F.col("to_frame").alias("frame"), "from_frame", "residual_before", "residual_after"), ["recording_id", "frame", "from_frame"])
+    finite = lambda c: F.collect_list(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)))
+    r = own.groupBy("recording_id").agg(*[upper_median(finite(c)).alias(c) for c in ("residual_before", "residual_after")])
+    return t.join(p, "recording_id", "left").join(r, "recording_id", "left")
 
 
 def localisability(planes: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-from driftlake.kernels.planes import Plane, auto_levels, grid, log_plane, moved, pyramid, robust_scale, sample, upper_median
+from driftlake.kernels.planes import Plane, auto_levels, grid, log_plane, moved, pyramid, robust_scale, sample, stack
 
+SUPPORTS = ("ALL", "GRADIENT", "MUTUAL_NOISE_GRADIENT")
 NORMS = {"LEAST_SQUARES": np.inf, "HUBER": 1.345, "TUKEY": 4.685}
 
 
@@ -27,12 +28,16 @@ class Options:
     max_samples: int = 200_000
     least_valid: float = 0.10
     converged: float = 1e-3
+    uncertainty: bool = False
+    linear: bool = False
 
     def __post_init__(self) -> None:
         if self.norm not in NORMS:
             raise ValueError(f"unknown norm {self.norm}")
         if self.estimator not in ESTIMATORS:
             raise ValueError(f"unknown estimator {self.estimator}")
+        if self.support not in SUPPORTS:
+            raise ValueError(f"unknown support {self.support}")
         if self.max_shift <= 0 or self.iterations < 1 or self.max_samples < 1 or not 0 < self.least_valid <= 1 or self.epsilon <= 0:
             raise ValueError("a bound is out of range")
         for q in (self.floor, self.ceiling):
@@ -53,6 +58,7 @@ class Fit:
     residual_after: float = np.nan
     valid_fraction: float = 0.0
     iterations: int = 0
+    covariance: np.ndarray | None = None
 
     @property
     def usable(self) -> bool:
@@ -73,125 +79,360 @@ def rho(r: np.ndarray, norm: str) -> np.ndarray:
     return 0.5 * r**2 if np.isinf(c) else np.where(np.abs(r) <= c, 0.5 * r**2, c * (np.abs(r) - 0.5 * c))
 
 
-def _points(a: Plane, o: Options) -> tuple[np.ndarray, np.ndarray]:
-    h, w = a.value.shape
-    y, x = grid(h, w, int(np.ceil(np.sqrt(h * w / o.max_samples))) if h * w > o.max_samples else 1)
-    keep = a.valid[y, x]
-    if o.support != "ALL":
-        m = a.magnitude
-        keep &= m[y, x] >= o.gradient_fraction * upper_median(m[a.valid]) if a.valid.any() else False
-    return y[keep], x[keep]
+def stride(h: int, w: int, o: Options) -> int:
+    return int(np.ceil(np.sqrt(h * w / o.max_samples))) if h * w > o.max_samples else 1
 
 
-def _residual(a: Plane, b: Plane, y: np.ndarray, x: np.ndarray, pose, least: float, grads: bool = False):
-    h, w = a.value.shape
-    px, py = moved(x, y, pose, h, w)
-    fields, ok = sample([b.value, b.gx, b.gy] if grads else [b.value], b.valid, px, py)
-    if ok.sum() < max(8, least * len(x)):
-        return None
-    d = fields[0][ok] - a.value[y[ok], x[ok]]
-    gain = upper_median(d)
-    return d - gain, gain, ok, [f[ok] for f in fields[1:]]
+def _kth(x: np.ndarray, ok: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest of the marked values of each row; NaN for a row without any."""
+    if x.shape[1] <= 1024:
+        s = np.sort(np.where(ok, x, np.inf), axis=1)
+        out = s[np.arange(len(s)), np.minimum(k, s.shape[1] - 1)] if s.shape[1] else np.full(len(s), np.nan)
+    else:
+        out = np.array([np.partition(r[m], i)[i] if m.any() else np.nan for r, m, i in zip(x, ok, k.tolist(), strict=True)])
+    return np.where(ok.any(axis=1), out, np.nan)
+
+
+def _sums(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    return np.where(ok, x, 0.0).sum(axis=1)
+
+
+class _Rows:
+    """Pairs of planes of two stacks, one pair a row; all pairs are evaluated at once."""
+
+    def __init__(self, a: Plane, ia: np.ndarray, b: Plane, ib: np.ndarray, o: Options, mask: np.ndarray | None = None, plain: bool = False):
+        self.b, self.ib, self.o = b, ib, o
+        self.h, self.w = a.value.shape[-2:]
+        self.y, self.x = grid(self.h, self.w, stride(self.h, self.w, o))
+        at = lambda f: f[ia][:, self.y, self.x]
+        self.value, self.keep = at(a.value).astype(float), at(a.valid)
+        self.possible = np.full(len(ia), len(self.x))
+        if mask is not None:
+            chosen = at(mask)
+            self.keep, self.possible = self.keep & chosen, chosen.sum(axis=1)
+        self.mutual = not plain and o.support == "MUTUAL_NOISE_GRADIENT"
+        if not plain and o.support == "GRADIENT":
+            m = at(a.magnitude).astype(float)
+            own = at(a.valid)
+            self.keep = self.keep & ~(m < o.gradient_fraction * _kth(m, own, own.sum(axis=1) // 2)[:, None])
+        elif self.mutual:
+            self.keep = self.keep & (at(a.raw_gradient) >= o.gradient_fraction * a.raw_noise()[ia][:, None])
+            self.noise = b.raw_noise()[ib]
+        self.flat = [f.ravel() for f in (b.value, b.gx, b.gy)]
+        self.flat_ok = b.valid.ravel()
+
+    def at(self, rows: np.ndarray, pose: np.ndarray, grads: bool = False):
+        """(residual less gain, gain, ok, gradients) of some rows at their poses."""
+        h, w = self.h, self.w
+        cx, cy, c, s = (w - 1) / 2, (h - 1) / 2, np.cos(pose[:, 2:]), np.sin(pose[:, 2:])
+        u, v = self.x - cx, self.y - cy
+        turned = pose[:, 2].any()
+        px = (c * u - s * v + cx if turned else self.x) + pose[:, :1]
+        py = (s * u + c * v + cy if turned else self.y) + pose[:, 1:2]
+        inside = (px >= 0) & (py >= 0) & (px <= w - 1) & (py <= h - 1) & self.keep[rows]
+        px, py = np.clip(px, 0, w - 1), np.clip(py, 0, h - 1)
+        x0, y0 = px.astype(np.int64), py.astype(np.int64)
+        fx, fy = px - x0, py - y0
+        i00 = (self.ib[rows] * (h * w))[:, None] + y0 * w + x0
+        right, down = (x0 < w - 1).astype(np.int64), (y0 < h - 1) * w
+        corners = (i00, i00 + right, i00 + down, i00 + right + down)
+        for i in corners:
+            inside &= self.flat_ok[i]
+        fields = []
+        for f in self.flat if grads or self.mutual else self.flat[:1]:
+            a, b, d, e = (f[i] for i in corners)
+            top = a + fx * (b - a)
+            fields.append((top + fy * (d + fx * (e - d) - top)).astype(np.float32).astype(float))
+        if self.mutual:
+            slope = (np.abs(fields[1]) + np.abs(fields[2])) * np.exp2(fields[0]) * np.log(2.0)
+            inside &= slope >= self.o.gradient_fraction * self.noise[rows][:, None]
+        d = fields[0] - self.value[rows]
+        gain = _kth(d, inside, inside.sum(axis=1) // 2)
+        return d - gain[:, None], gain, inside, fields[1:]
+
+    def enough(self, rows: np.ndarray, n: np.ndarray, least: int = 1) -> np.ndarray:
+        return (n >= self.o.least_valid * self.possible[rows]) & (n >= least)
+
+    def moved_by(self, theta: np.ndarray) -> np.ndarray:
+        return np.abs(theta) * max((self.w - 1) / 2, (self.h - 1) / 2)
+
+
+def _scales(r: np.ndarray, ok: np.ndarray, least: float = 1e-4) -> np.ndarray:
+    a, n = np.abs(r), ok.sum(axis=1)
+    s = 1.4826 * _kth(a, ok, n // 2)
+    flat = ~(s > 0)
+    if flat.any():
+        s[flat] = _kth(a[flat], ok[flat], np.floor(0.9 * (np.maximum(n[flat], 1) - 1) + 0.5).astype(int))
+    return np.maximum(np.nan_to_num(s), least)
 
 
 def _clamp(pose: np.ndarray, radius: float, o: Options) -> np.ndarray:
-    n = np.hypot(pose[0], pose[1])
-    if n > radius:
-        pose = pose * np.array([radius / n, radius / n, 1.0])
-    return np.array([pose[0], pose[1], np.clip(pose[2], -o.max_rotation, o.max_rotation) if o.rotation else 0.0])
-
-
-def _search(a: Plane, b: Plane, radius: float, o: Options) -> np.ndarray | None:
-    """Best whole-pixel move at the coarsest level, over angles if rotation is fitted."""
-    h, w = a.value.shape
-    y, x = _points(a, o)
-    angles = [0.0]
-    if o.rotation:
-        step = 2 / np.hypot(h, w)
-        n = int(np.ceil(o.max_rotation / step))
-        angles += [s * k * o.max_rotation / n for k in range(1, n + 1) for s in (1, -1)]
-    r = int(np.floor(radius))
-    best, pose = np.inf, None
-    tries = [(0, 0)] + [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if np.hypot(dx, dy) <= radius]
-    for theta in angles:
+    """Poses (rows) within the shift radius and, where rotation is fitted, the largest turn."""
+    p = np.atleast_2d(pose).astype(float)
+    n = np.hypot(p[:, 0], p[:, 1])
+    k = np.where(n > radius, radius / np.maximum(n, 1e-300), 1.0)
+    theta = np.clip(p[:, 2], -o.max_rotation, o.max_rotation) if o.rotation else p[:, 2]
+    out = np.stack([p[:, 0] * k, p[:, 1] * k, theta], axis=1)
+    return out if np.ndim(pose) == 2 else out[0]
+
+
+def angles(o: Options, h: int, w: int) -> list[float]:
+    """Zero, and turns to both sides in steps that move a corner by a pixel at most."""
+    if not (o.rotation and o.max_rotation > 0):
+        return [0.0]
+    n = max(1, int(np.ceil(o.max_rotation * max(1.0, np.hypot((w - 1) / 2, (h - 1) / 2)))))
+    return [0.0] + [s * k * o.max_rotation / n for k in range(1, n + 1) for s in (-1, 1)]
+
+
+def _search(q: _Rows, radius: float, o: Options, theta: np.ndarray | None = None) -> np.ndarray:
+    """Best whole-pixel move of each row, over angles if rotation is fitted (or at the given ones)."""
+    every = np.arange(len(q.ib))
+    best, pose = np.full(len(every), np.inf), np.zeros((len(every), 3))
+    r, least = int(np.ceil(radius)), o.least_valid * q.possible.min(initial=len(q.x))
+    tries = [(0, 0)] + [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if (dx or dy) and np.hypot(dx, dy) <= radius + 1e-9]
+    step = stride(q.h, q.w, o)
+    for turn in angles(o, q.h, q.w) if theta is None else [None]:
         for dx, dy in tries:
-            got = _residual(a, b, y, x, (dx, dy, theta), o.least_valid)
-            if got is not None and (c := np.mean(np.abs(got[0]))) < best:
-                best, pose = c, np.array([dx, dy, theta], float)
+            if turn == 0.0 and max(0, q.h - abs(dy)) * max(0, q.w - abs(dx)) < least * step * step - 4 * step * (q.h + q.w) * (step > 1):
+                continue  # not even the overlap would do
+            p = np.tile([float(dx), float(dy), turn or 0.0], (len(every), 1))
+            if theta is not None:
+                p[:, 2] = theta
+            d, _, ok, _ = q.at(every, p)
+            n = ok.sum(axis=1)
+            c = _sums(np.abs(d), ok) / np.maximum(n, 1)
+            better = q.enough(every, n) & (c < best)
+            best[better], pose[better] = c[better], p[better]
     return pose
 
 
-def _refine(a: Plane, b: Plane, pose: np.ndarray, radius: float, o: Options) -> tuple[np.ndarray, str, int]:
-    """Robust Gauss-Newton with step halving."""
-    h, w = a.value.shape
-    y, x = _points(a, o)
-    reach = max(h, w) / 2
+def _refine(q: _Rows, pose: np.ndarray, radius: float, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust Gauss-Newton with step halving, all rows at once: (poses, status, iterations)."""
+    pose, dof = pose.copy(), 3 if o.rotation else 2
+    status, last = np.full(len(pose), "NOT_CONVERGED", "<U20"), np.zeros(len(pose), int)
+    active = np.arange(len(pose))
     for i in range(o.iterations):
-        got = _residual(a, b, y, x, pose, o.least_valid, True)
-        if got is None:
-            return pose, "REFUSED_LOW_OVERLAP", i
-        r, _, ok, (gx, gy) = got
-        s = robust_scale(r)
-        wt = weights(r / s, o.norm)
+        if not len(active):
+            break
+        last[active] = i
+        r, _, ok, (gx, gy) = q.at(active, pose[active], True)
+        n = ok.sum(axis=1)
+        fine = q.enough(active, n, dof + 1)
+        status[active[~fine]] = "REFUSED_LOW_OVERLAP"
+        active, r, ok, gx, gy, n = (x[fine] for x in (active, r, ok, gx, gy, n))
+        if not len(active):
+            break
+        s = _scales(r, ok)
+        wt = np.where(ok, weights(np.where(ok, r, 0) / s[:, None], o.norm), 0.0)
         cols = [gx, gy]
         if o.rotation:
-            u, v, c, sn = x[ok] - (w - 1) / 2, y[ok] - (h - 1) / 2, np.cos(pose[2]), np.sin(pose[2])
+            c, sn = np.cos(pose[active, 2:]), np.sin(pose[active, 2:])
+            u, v = q.x - (q.w - 1) / 2, q.y - (q.h - 1) / 2
             cols.append(gx * (-u * sn - v * c) + gy * (u * c - v * sn))
-        j = np.stack(cols, axis=1)
-        n = (j * wt[:, None]).T @ j
-        n += np.eye(len(n)) * max(1e-9 * np.trace(n) / len(n), 1e-12)
-        step = np.zeros(3)
-        step[: len(n)] = -np.linalg.solve(n, (j * wt[:, None]).T @ r)
-        cost = np.mean(rho(r / s, o.norm))
-        for _ in range(7):
-            new = _clamp(pose + step, radius, o)
-            after = _residual(a, b, y, x, new, o.least_valid)
-            if after is not None and np.mean(rho(after[0] / s, o.norm)) < cost:
+        hess, g = np.empty((len(active), dof, dof)), np.empty((len(active), dof))
+        for j, x in enumerate(cols):
+            g[:, j] = (wt * x * np.where(ok, r, 0)).sum(axis=1)
+            for k in range(j + 1):
+                hess[:, j, k] = hess[:, k, j] = (wt * x * cols[k]).sum(axis=1)
+        solid = (np.linalg.det(hess) != 0) & ((wt > 0).sum(axis=1) > dof)
+        active, r, ok, s, hess, g, n = (x[solid] for x in (active, r, ok, s, hess, g, n))
+        if not len(active):
+            break
+        step = np.zeros((len(active), 3))
+        step[:, :dof] = -np.linalg.solve(hess, g[:, :, None])[:, :, 0]
+        cost = _sums(rho(np.where(ok, r, 0) / s[:, None], o.norm), ok) / n
+        new, open_ = pose[active].copy(), np.arange(len(active))
+        for k in range(6):
+            trial = _clamp(pose[active[open_]] + step[open_] * 0.5**k, radius, o)
+            d, _, ok2, _ = q.at(active[open_], trial)
+            n2 = ok2.sum(axis=1)
+            c2 = _sums(rho(np.where(ok2, d, 0) / s[open_][:, None], o.norm), ok2) / np.maximum(n2, 1)
+            good = q.enough(active[open_], n2) & (c2 < cost[open_])
+            new[open_[good]] = trial[good]
+            open_ = open_[~good]
+            if not len(open_):
                 break
-            step = step / 2
-        else:
-            return pose, "OK", i
-        change = np.hypot(new[0] - pose[0], new[1] - pose[1]) + abs(new[2] - pose[2]) * reach
-        pose = new
-        if change < o.converged:
-            return pose, "OK", i + 1
-    return pose, "NOT_CONVERGED", o.iterations
+        change = np.hypot(*(new - pose[active])[:, :2].T) + q.moved_by(new[:, 2] - pose[active, 2])
+        done = change < o.converged  # also where no step was better
+        pose[active] = new
+        status[active[done]] = "OK"
+        active = active[~done]
+    return pose, status, last
 
 
-def _report(a: Plane, b: Plane, pose: np.ndarray, status: str, n: int, o: Options) -> Fit:
-    y, x = np.nonzero(a.valid)
-    out = Fit(*map(float, pose), status=status, iterations=n)
-    before, after = _residual(a, b, y, x, (0, 0, 0), 0.0), _residual(a, b, y, x, pose, o.least_valid)
-    if before is not None:
-        out.residual_before = float(np.mean(np.abs(before[0])))
-    if after is None:
-        return replace(out, status="REFUSED_LOW_OVERLAP")
-    out.residual_after, out.log_gain, out.valid_fraction = float(np.mean(np.abs(after[0]))), after[1], float(after[2].sum() / a.value.size)
-    at_shift, at_turn = np.hypot(*pose[:2]) >= o.max_shift - 1e-6, o.rotation and abs(pose[2]) >= o.max_rotation - 1e-9
-    if out.status == "OK" and (at_shift or at_turn):
-        out.status = "AT_SHIFT_AND_ROTATION_BOUND" if at_shift and at_turn else "AT_SHIFT_BOUND" if at_shift else "AT_ROTATION_BOUND"
+#: Samples that are evaluated at once.
+CELLS = 1 << 20
+
+
+def log_ratio_rows(a: list[Plane], ia: np.ndarray, b: list[Plane], ib: np.ndarray, o: Options, start: np.ndarray | None = None, theta: np.ndarray | None = None, masks: list[np.ndarray] | None = None) -> list[Fit]:
+    """Fits of many pairs of planes of two stacks (a pyramid each): plane ia[k] of `a` with plane ib[k] of `b`.
+
+    start: poses to refine from, NaN where there is none; theta: angles that are held; masks: pixels of the planes of
+    `a` that count, for each level.
+    """
+    h, w = a[0].value.shape[-2:]
+    each, out = max(1, CELLS // max(1, h * w // stride(h, w, o) ** 2)), []
+    for lo in range(0, len(ia), each):
+        part = slice(lo, lo + each)
+        out += _fit_rows(a, np.asarray(ia)[part], b, np.asarray(ib)[part], o, None if start is None else np.asarray(start, float)[part], None if theta is None else np.asarray(theta, float)[part], masks)
     return out
 
 
-def log_ratio(pa: list[Plane], pb: list[Plane], o: Options, start: np.ndarray | None = None) -> Fit:
-    """Coarse search and refinement from level to level, or refinement alone from a start."""
-    top = len(pa) - 1
-    if start is None:
-        pose = _search(pa[top], pb[top], o.max_shift / 2**top, o)
-        if pose is None:
-            return Fit()
-    else:
-        pose, top = np.asarray(start, float), 0
-    status, n = "OK", 0
+def _fit_rows(a, ia, b, ib, o, start, theta, masks) -> list[Fit]:
+    top = len(a) - 1
+    if theta is not None:
+        o = replace(o, rotation=False)
+    pose, status, n = np.zeros((len(ia), 3)), np.full(len(ia), "OK", "<U20"), np.zeros(len(ia), int)
+    warm = np.zeros(len(ia), bool) if start is None else np.isfinite(start).all(axis=1)
+    if warm.any():
+        pose[warm] = _clamp(start[warm] * [0.5**top, 0.5**top, 1.0], o.max_shift / 2**top, o)
+    cold = np.flatnonzero(~warm)
+    if len(cold):
+        q = _Rows(a[top], ia[cold], b[top], ib[cold], o, None if masks is None else masks[top], plain=o.support == "MUTUAL_NOISE_GRADIENT")
+        pose[cold] = _search(q, o.max_shift / 2**top, o, None if theta is None else theta[cold])
     for level in range(top, -1, -1):
-        radius = o.max_shift / 2**level
-        pose, status, k = _refine(pa[level], pb[level], _clamp(pose, radius, o), radius, o)
-        n += k
-        if status == "REFUSED_LOW_OVERLAP":
-            return Fit(status=status, iterations=n)
+        q = _Rows(a[level], ia, b[level], ib, o, None if masks is None else masks[level])
+        pose, status, n = _refine(q, pose, o.max_shift / 2**level, o)
         if level:
-            pose = pose * np.array([2.0, 2.0, 1.0])
-    return _report(pa[0], pb[0], pose, status, n, o)
+            pose = _clamp(pose * [2.0, 2.0, 1.0], o.max_shift / 2 ** (level - 1), o)
+    return _report_rows(a[0], ia, b[0], ib, pose, status, n, o)
+
+
+def _report_rows(a: Plane, ia, b: Plane, ib, pose, status, n, o: Options) -> list[Fit]:
+    q, every = _Rows(a, ia, b, ib, o, plain=True), np.arange(len(ia))
+    means = []
+    for p in (np.zeros_like(pose), pose):
+        d, gain, ok, _ = q.at(every, p)
+        many = ok.sum(axis=1)
+        means.append((np.where(many > 0, _sums(np.abs(d), ok) / np.maximum(many, 1), np.inf), gain, many / q.possible))
+    out = []
+    for k in range(len(ia)):
+        (before, _, _), (after, gain, share) = ((x[k] for x in m) for m in means)
+        if status[k] == "REFUSED_LOW_OVERLAP" or share < o.least_valid:
+            out.append(Fit(0.0, 0.0, 0.0, "REFUSED_LOW_OVERLAP", 0.0, float(before), float(before), float(share), int(n[k])))
+            continue
+        at_shift = np.hypot(*pose[k, :2]) >= o.max_shift * (1 - 1e-9)
+        at_turn = o.rotation and o.max_rotation > 0 and abs(pose[k, 2]) >= o.max_rotation * (1 - 1e-9)
+        name = str(status[k])
+        if name == "OK" and (at_shift or at_turn):
+            name = "AT_SHIFT_AND_ROTATION_BOUND" if at_shift and at_turn else "AT_SHIFT_BOUND" if at_shift else "AT_ROTATION_BOUND"
+        out.append(Fit(*map(float, pose[k]), name, float(gain), float(before), float(after), float(share), int(n[k])))
+    if o.uncertainty:
+        for k, c in _covariances(q, pose, o).items():
+            if out[k].usable:
+                out[k].covariance = c
+    return out
+
+
+def rms_radius(h: int, w: int) -> float:
+    return float(np.sqrt(max(1.0, (h * h + w * w - 2) / 12)))
+
+
+def bounded(covariance: np.ndarray, radius: float, least: float = 0.02, most: float = 20.0) -> np.ndarray | None:
+    """A covariance of (dx, dy[, theta]) with its spreads, in pixels at the radius, held between two bounds."""
+    d = len(covariance)
+    scale = np.diag([1.0, 1.0, radius][:d])
+    m = scale @ covariance @ scale
+    if not np.isfinite(m).all():
+        return None
+    value, vector = np.linalg.eigh((m + m.T) / 2)
+    if value.min() < -1e-8:
+        return None
+    back = np.diag(1 / np.diag(scale))
+    return back @ (vector * np.clip(value, least**2, most**2)) @ vector.T @ back
+
+
+def _covariances(q: _Rows, pose: np.ndarray, o: Options) -> dict[int, np.ndarray]:
+    """Sandwich covariances of the robust fit, bounded; rows without one are left out."""
+    d = 3 if o.rotation else 2
+    r, _, ok, (gx, gy) = q.at(np.arange(len(pose)), pose, True)
+    out = {}
+    for k in range(len(pose)):
+        m = ok[k]
+        if m.sum() < d + 2:
+            continue
+        x, e = [gx[k][m], gy[k][m]], r[k][m]
+        if d == 3:
+            u, v, c, s = q.x[m] - (q.w - 1) / 2, q.y[m] - (q.h - 1) / 2, np.cos(pose[k, 2]), np.sin(pose[k, 2])
+            x.append(x[0] * (-u * s - v * c) + x[1] * (u * c - v * s))
+        wt, j = weights(e / robust_scale(e), o.norm), np.stack(x, axis=1)
+        if not wt.sum() > d + 1:
+            continue
+        j = j - (j * wt[:, None]).sum(axis=0) / wt.sum()
+        bread = j.T @ (j * wt[:, None])
+        if np.linalg.det(bread) == 0:
+            continue
+        inverse = np.linalg.inv(bread)
+        c = bounded(inverse @ (j.T @ (j * ((wt * e) ** 2)[:, None])) @ inverse, rms_radius(q.h, q.w))
+        if c is not None:
+            out[k] = c
+    return out
+
+
+def covariance_of_inverse(covariance: np.ndarray, pose) -> np.ndarray:
+    """The covariance of the inverse of a fit."""
+    c, s = np.cos(pose[2]), np.sin(pose[2])
+    j = np.array([[-c, -s, s * pose[0] - c * pose[1]], [s, -c, c * pose[0] + s * pose[1]], [0, 0, -1]])[: len(covariance), : len(covariance)]
+    return j @ covariance @ j.T
+
+
+def scaled_covariance(covariance: np.ndarray, factor: float) -> np.ndarray:
+    """The covariance after the translations are multiplied by `factor`."""
+    if not (np.isfinite(factor) and factor > 0):
+        raise ValueError("the factor is a positive number")
+    j = np.diag([factor, factor, 1.0][: len(covariance)])
+    return j @ covariance @ j
+
+
+def _one(pa: list[Plane], pb: list[Plane]):
+    return [p.stacked() for p in pa], np.zeros(1, int), [p.stacked() for p in pb], np.zeros(1, int)
+
+
+def log_ratio(pa: list[Plane], pb: list[Plane], o: Options, start: np.ndarray | None = None) -> Fit:
+    """Coarse search and refinement from level to level, or refinement alone from a start."""
+    return log_ratio_rows(*_one(pa, pb), o, None if start is None else np.asarray(start, float)[None])[0]
+
+
+def fixed_angle(pa: list[Plane], pb: list[Plane], o: Options, theta: float) -> Fit:
+    """The translation at a turn that is held."""
+    return log_ratio_rows(*_one(pa, pb), o, theta=np.array([theta]))[0]
+
+
+def rotation_gain(translation: Fit, rigid: Fit) -> float:
+    """Share of the residual of the translation that the rigid fit takes away; NaN where one of them failed."""
+    if not (translation.usable and rigid.usable) or not translation.residual_after > 0:
+        return float("nan")
+    return 1 - rigid.residual_after / translation.residual_after
+
+
+def incremental_rotation(pa: list[Plane], pb: list[Plane], o: Options, least: float) -> Fit:
+    """A translation first, then a rigid fit near it, kept if it brings at least `least`."""
+    still = log_ratio(pa, pb, replace(o, rotation=False))
+    if not still.usable:
+        return still
+    rigid = log_ratio(pa, pb, replace(o, rotation=True), np.array([still.dx, still.dy, 0.0]))
+    return rigid if rotation_gain(still, rigid) >= least else still
+
+
+def split_rotation(turning: tuple[list[Plane], list[Plane], Options], moving: tuple[list[Plane], list[Plane], Options], least: float) -> Fit:
+    """One recipe proposes the turn, the other fits the translation at it; kept if it brings at least `least`."""
+    pa, pb, o = moving
+    still = log_ratio(pa, pb, replace(o, rotation=False))
+    turn = log_ratio(*turning[:2], replace(turning[2], rotation=True))
+    if not turn.usable:
+        return still
+    held = fixed_angle(pa, pb, o, turn.theta)
+    return held if rotation_gain(still, held) >= least else still
+
+
+def gated_rotation(pa: list[Plane], pb: list[Plane], o: Options, least: float) -> Fit:
+    """A rigid fit first, held against a fit of the translation alone."""
+    rigid, still = log_ratio(pa, pb, replace(o, rotation=True)), log_ratio(pa, pb, replace(o, rotation=False))
+    return rigid if not still.usable or rotation_gain(still, rigid) >= least else still
+
+
+def _report(a: Plane, b: Plane, pose: np.ndarray, status: str, n: int, o: Options) -> Fit:
+    return _report_rows(a.stacked(), np.zeros(1, int), b.stacked(), np.zeros(1, int), np.asarray(pose, float)[None], np.array([status]), np.array([n]), o)[0]
 
 
 def _ncc(a: Plane, b: Plane, pose) -> float:
@@ -330,4 +571,11 @@ ESTIMATORS = {"LOG_RATIO_FIT": log_ratio, "AREA_CORRELATION": area, "AREA_CORREL
 
 
 def prepare(a: np.ndarray, o: Options) -> list[Plane]:
-    return pyramid(log_plane(a, o.epsilon, o.floor, o.ceiling), auto_levels(*a.shape, o.max_shift))
+    return pyramid(log_plane(a, o.epsilon, o.floor, o.ceiling), auto_levels(*a.shape, o.max_shift), o.linear)
+
+
+def prepare_stack(arrays: list[np.ndarray], o: Options) -> list[Plane]:
+    """The pyramid of a stack of planes of one size."""
+    if len({a.shape for a in arrays}) > 1:
+        raise ValueError("the planes of a recording have one size")
+    return pyramid(stack([log_plane(a, o.epsilon, o.floor, o.ceiling) for a in arrays]), auto_levels(*arrays[0].shape, o.max_shift), o.linear)

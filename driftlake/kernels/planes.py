@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
 
@@ -11,38 +9,73 @@ def upper_median(x: np.ndarray) -> float:
     return float(np.partition(x, len(x) // 2)[len(x) // 2])
 
 
-def robust_scale(r: np.ndarray) -> float:
+def robust_scale(r: np.ndarray, least: float = 1e-4) -> float:
     a = np.abs(r)
     s = 1.4826 * upper_median(a)
     if s <= 0:
         k = int(np.floor(0.9 * (len(a) - 1) + 0.5))
         s = float(np.partition(a, k)[k])
-    return max(s, 1e-4)
+    return max(s, least)
 
 
-@dataclass
 class Plane:
-    """log2 intensities with their validity and gradients."""
+    """log2 intensities with their validity and gradients, as float32; one plane, or a stack of planes of one size."""
 
-    value: np.ndarray
-    valid: np.ndarray
+    def __init__(self, value: np.ndarray, valid: np.ndarray):
+        self.valid = valid
+        self.value = np.where(valid, value, 0).astype(np.float32)
+        self.gx, self.gy = _gradient(self.value, valid, -1), _gradient(self.value, valid, -2)
 
-    def __post_init__(self) -> None:
-        v = np.where(self.valid, self.value, np.nan)
-        self.gx, self.gy = _gradient(v, 1), _gradient(v, 0)
+    def stacked(self) -> Plane:
+        """This plane as a stack of one."""
+        out = object.__new__(Plane)
+        out.value, out.valid, out.gx, out.gy = (x[None] for x in (self.value, self.valid, self.gx, self.gy))
+        return out
 
     @property
     def magnitude(self) -> np.ndarray:
-        return np.hypot(self.gx, self.gy)
+        return np.abs(self.gx) + np.abs(self.gy)
 
+    @property
+    def raw(self) -> np.ndarray:
+        """Intensities; 0 where there is none."""
+        return np.where(self.valid, np.exp2(self.value), 0).astype(np.float32)
 
-def _gradient(v: np.ndarray, axis: int) -> np.ndarray:
-    n = v.shape[axis]
-    pad = [(1, 1) if i == axis else (0, 0) for i in (0, 1)]
-    p = np.pad(v, pad, constant_values=np.nan)
-    after, before = (np.take(p, range(k, k + n), axis=axis) for k in (2, 0))
-    out = np.where(np.isnan(after), v - before, np.where(np.isnan(before), after - v, (after - before) / 2))
-    return np.where(np.isfinite(out), out, 0.0)
+    @property
+    def raw_gradient(self) -> np.ndarray:
+        return (self.magnitude * self.raw * np.log(2.0)).astype(np.float32)
+
+    def raw_noise(self) -> np.ndarray:
+        """Noise of the intensities of each plane: the robust scale of a pixel less the mean of its four neighbours."""
+        v, raw = self.valid, self.raw
+        inner = (slice(1, -1), slice(1, -1))
+        if min(v.shape[-2:]) < 3:
+            return np.full(v.shape[:-2], 1e-6)
+        around = [(slice(1, -1), slice(None, -2)), (slice(1, -1), slice(2, None)), (slice(None, -2), slice(1, -1)), (slice(2, None), slice(1, -1))]
+        ok = v[(..., *inner)].copy()
+        for i in around:
+            ok &= v[(..., *i)]
+        r = raw[(..., *inner)] - np.float32(0.25) * (raw[(..., *around[0])] + raw[(..., *around[1])] + raw[(..., *around[2])] + raw[(..., *around[3])])
+        out = []
+        for x, k in zip(r.reshape(-1, r.shape[-2] * r.shape[-1]).astype(float), ok.reshape(-1, r.shape[-2] * r.shape[-1]), strict=True):
+            x = x[k]
+            out.append(robust_scale(x - upper_median(x), 1e-6) / np.sqrt(1.25) if len(x) else 1e-6)
+        return np.array(out).reshape(v.shape[:-2])
+
+
+def _gradient(v: np.ndarray, valid: np.ndarray, axis: int) -> np.ndarray:
+    """Central differences of valid pixels, one-sided beside invalid ones and borders."""
+    v, ok = np.moveaxis(v, axis, -1), np.moveaxis(valid, axis, -1)
+    out = np.zeros_like(v)
+    after, before = np.zeros(v.shape, bool), np.zeros(v.shape, bool)
+    after[..., :-1], before[..., 1:] = ok[..., 1:], ok[..., :-1]
+    up, down = np.zeros_like(v), np.zeros_like(v)
+    up[..., :-1] = v[..., 1:] - v[..., :-1]
+    down[..., 1:] = up[..., :-1]
+    both = np.zeros_like(v)
+    both[..., 1:-1] = np.float32(0.5) * (v[..., 2:] - v[..., :-2])
+    out = np.where(after & before, both, np.where(after, up, np.where(before, down, np.float32(0))))
+    return np.moveaxis(np.where(ok, out, np.float32(0)), -1, axis)
 
 
 def log_plane(a: np.ndarray, epsilon: float = 1.0, floor: float | None = None, ceiling: float | None = None) -> Plane:
@@ -54,25 +87,42 @@ def log_plane(a: np.ndarray, epsilon: float = 1.0, floor: float | None = None, c
         ok &= a >= rank(floor)
     if ceiling is not None and len(s):
         ok &= a < rank(ceiling)
-    return Plane(np.log2(np.where(ok, a + epsilon, 1.0)).astype(np.float64), ok)
+    return Plane(np.log2(np.where(ok, a + epsilon, 1.0), dtype=np.float64), ok)
 
 
-def halve(p: Plane) -> Plane:
-    v, w = np.where(p.valid, p.value, 0.0), p.valid.astype(float)
-    taps = (1, 4, 6, 4, 1)
-    for axis in (0, 1):
-        n, pad = v.shape[axis], [(2, 2) if i == axis else (0, 0) for i in (0, 1)]
-        pv, pw = np.pad(v, pad, "edge"), np.pad(w, pad, "edge")
-        v = sum(t * np.take(pv, range(k, k + n), axis=axis) for k, t in enumerate(taps)) / 16
-        w = sum(t * np.take(pw, range(k, k + n), axis=axis) for k, t in enumerate(taps)) / 16
-    ok = w >= 0.5
-    return Plane(np.where(ok, v / np.maximum(w, 1e-12), 0.0)[::2, ::2], ok[::2, ::2])
+def stack(planes: list[Plane]) -> Plane:
+    """Planes of one size as one."""
+    out = object.__new__(Plane)
+    out.value, out.valid, out.gx, out.gy = (np.stack([getattr(p, f) for p in planes]) for f in ("value", "valid", "gx", "gy"))
+    return out
 
 
-def pyramid(p: Plane, levels: int) -> list[Plane]:
+def halve(p: Plane, linear: bool = False) -> Plane:
+    """Every second pixel of a binomial blur over valid pixels; float32 sums in the order of the taps."""
+    v = np.where(p.valid, np.exp2(p.value) if linear else p.value, 0).astype(np.float32)
+    w = p.valid.astype(np.float32)
+    for axis in (-1, -2):
+        n, pad = v.shape[axis], [(2, 2) if i == v.ndim + axis else (0, 0) for i in range(v.ndim)]
+        pv, pw = np.pad(v * w, pad, "edge"), np.pad(w, pad, "edge")
+        total, weight = np.zeros_like(v), np.zeros_like(w)
+        for k, t in enumerate((1, 4, 6, 4, 1)):
+            total += np.float32(t) * np.take(pv, range(k, k + n), axis=axis)
+            weight += np.float32(t) * np.take(pw, range(k, k + n), axis=axis)
+        v = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
+        w = weight / np.float32(16)
+    h, k = (n // 2 * 2 for n in v.shape[-2:])
+    v, ok = v[..., :h:2, :k:2], w[..., :h:2, :k:2] >= 0.5
+    if linear:
+        ok = ok & (v > 0)
+        v = np.log2(np.where(ok, v, 1))
+    return Plane(v, ok)
+
+
+def pyramid(p: Plane, levels: int, linear: bool = False) -> list[Plane]:
+    """`linear` halves intensities, else their logarithms."""
     out = [p]
     while len(out) < levels:
-        out.append(halve(out[-1]))
+        out.append(halve(out[-1], linear))
     return out
 
 

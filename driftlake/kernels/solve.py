@@ -15,67 +15,238 @@ def inverse(a) -> np.ndarray:
     return np.array([-(c * a[0] + s * a[1]), s * a[0] - c * a[1], -a[2]])
 
 
-def multilag(n: int, edges: list[tuple[int, int, float, float, float]], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Least squares over all edges (from, to, dx, dy, theta) with frame 0 at rest: (poses, support)."""
+def canonical(edges) -> list[tuple]:
+    """Edges (from, to, dx, dy, theta) from the earlier frame to the later one, in order."""
+    return sorted((a, b, *map(float, o)) if a < b else (b, a, *map(float, inverse(o))) for a, b, *o in edges)
+
+
+class Graph:
+    """Least squares over edges between frames, frame 0 at rest.
+
+    Frames are taken in blocks as wide as the longest edge, so that the normal matrix is block-tridiagonal: a solution
+    takes time and memory in proportion to the frames, however long the recording is.
+    """
+
+    def __init__(self, n: int, edges: list[tuple], information: np.ndarray):
+        self.n, self.edges = n, edges
+        self.d = d = information.shape[1]
+        self.lo, self.hi = (np.array([e[k] for e in edges], int) for k in (0, 1))
+        self.obs = np.array([e[2 : 2 + d] for e in edges], float).reshape(-1, d)
+        theta = np.array([e[4] for e in edges], float)
+        self.r = np.tile(np.eye(d), (len(edges), 1, 1))
+        self.r[:, 0, 0] = self.r[:, 1, 1] = np.cos(theta)
+        self.r[:, 0, 1], self.r[:, 1, 0] = -np.sin(theta), np.sin(theta)
+        self.info = information
+        self.wide = max(1, int((self.hi - self.lo).max(initial=1)))
+        self.blocks = max(1, -(-(n - 1) // self.wide))
+
+    def _place(self, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (frame - 1) // self.wide, (frame - 1) % self.wide * self.d
+
+    def factorise(self, factors: np.ndarray) -> None:
+        d, m = self.d, self.wide * self.d
+        diag, off, y = np.zeros((self.blocks, m, m)), np.zeros((max(1, self.blocks - 1), m, m)), np.zeros((self.blocks, m))
+        w = self.info * factors[:, None, None]
+        wr = w @ self.r
+        own = np.arange(d)
+        at = lambda f: (lambda b, i: (b[:, None, None], i[:, None, None] + own[None, :, None], i[:, None, None] + own[None, None, :]))(*self._place(f))
+        np.add.at(diag, at(self.hi), w)
+        moving = self.lo > 0
+        lo, hi, rm, wm, wrm = self.lo[moving], self.hi[moving], self.r[moving], w[moving], wr[moving]
+        np.add.at(diag, at(lo), rm.transpose(0, 2, 1) @ wrm)
+        (bl, il), (bh, ih) = self._place(lo), self._place(hi)
+        cross = -(rm.transpose(0, 2, 1) @ wm)  # rows of lo, columns of hi
+        for same in (True, False):
+            k = (bl == bh) == same
+            rows, cols = il[k][:, None, None] + own[None, :, None], ih[k][:, None, None] + own[None, None, :]
+            if same:
+                np.add.at(diag, (bl[k][:, None, None], rows, cols), cross[k])
+                np.add.at(diag, (bl[k][:, None, None], cols.transpose(0, 2, 1), rows.transpose(0, 2, 1)), cross[k].transpose(0, 2, 1))
+            else:
+                np.add.at(off, (bl[k][:, None, None], rows, cols), cross[k])
+        wo = np.einsum("eij,ej->ei", w, self.obs)
+        b, i = self._place(self.hi)
+        np.add.at(y, (b[:, None], i[:, None] + own), wo)
+        np.add.at(y, (bl[:, None], il[:, None] + own), -np.einsum("eji,ej->ei", rm, wo[moving]))
+        used = np.arange(self.blocks * self.wide) < self.n - 1
+        mean = np.einsum("bii->", diag) / max(1, (self.n - 1) * d)
+        ridge = max(1e-9 * (mean if mean > 0 else 1.0), np.finfo(float).tiny)
+        pad = np.where(np.repeat(used, d), ridge, 1.0).reshape(self.blocks, m)
+        diag[:, np.arange(m), np.arange(m)] += pad
+        # forward elimination; s holds the Schur complements, u what a block's unknowns take from the next block
+        self.s, self.u = diag, np.zeros_like(off)
+        for k in range(self.blocks - 1):
+            self.u[k] = np.linalg.solve(self.s[k], off[k])
+            self.s[k + 1] = self.s[k + 1] - off[k].T @ self.u[k]
+            y[k + 1] -= self.u[k].T @ y[k]
+        x = np.linalg.solve(self.s[-1], y[-1])
+        out = np.zeros((self.blocks, m))
+        out[-1] = x
+        for k in range(self.blocks - 2, -1, -1):
+            x = np.linalg.solve(self.s[k], y[k]) - self.u[k] @ x
+            out[k] = x
+        self.x = np.concatenate([np.zeros((1, d)), out.reshape(-1, d)[: self.n - 1]])
+
+    def poses(self) -> np.ndarray:
+        return np.concatenate([self.x, np.zeros((self.n, 3 - self.d))], axis=1)
+
+    def residuals(self) -> np.ndarray:
+        """(edges, d): the later pose less what the edge makes of the earlier one."""
+        return self.x[self.hi] - np.einsum("eij,ej->ei", self.r, self.x[self.lo]) - self.obs
+
+    def without(self, factors: np.ndarray) -> np.ndarray:
+        """Residuals of each edge at the solution without it, by its leverage; as they are where no other path joins its ends."""
+        m, d, own = self.wide * self.d, self.d, np.arange(self.d)
+        inv, nxt = np.zeros((self.blocks, m, m)), np.zeros((max(1, self.blocks - 1), m, m))  # blocks of the inverse
+        inv[-1] = np.linalg.inv(self.s[-1])
+        for k in range(self.blocks - 2, -1, -1):
+            nxt[k] = -self.u[k] @ inv[k + 1]
+            inv[k] = np.linalg.inv(self.s[k]) - nxt[k] @ self.u[k].T
+        r = self.residuals()
+        bridge = bridges(self.n, list(zip(self.lo.tolist(), self.hi.tolist(), strict=True)))
+        out = r.copy()
+        for e in np.flatnonzero(~bridge):
+            bh, ih = (int(v) for v in self._place(self.hi[e]))
+            v = inv[bh][np.ix_(ih + own, ih + own)]
+            if self.lo[e] > 0:
+                bl, il = (int(v) for v in self._place(self.lo[e]))
+                cross = inv[bl][np.ix_(il + own, ih + own)] if bl == bh else nxt[bl][np.ix_(il + own, ih + own)]
+                rot = self.r[e]
+                v = v - rot @ cross - cross.T @ rot.T + rot @ inv[bl][np.ix_(il + own, il + own)] @ rot.T
+            out[e] = np.linalg.solve(np.eye(d) - v @ self.info[e] * factors[e], r[e])
+        return out
+
+
+def bridges(n: int, ends: list[tuple[int, int]]) -> np.ndarray:
+    """Whether an edge is the only path between its ends."""
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for e, (a, b) in enumerate(ends):
+        near[a].append((b, e))
+        near[b].append((a, e))
+    seen, low, out, clock = [0] * n, [0] * n, np.zeros(len(ends), bool), 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        clock += 1
+        seen[root] = low[root] = clock
+        stack = [(root, -1, iter(near[root]))]
+        while stack:
+            node, by, rest = stack[-1]
+            for to, e in rest:
+                if e == by:
+                    continue
+                if seen[to]:
+                    low[node] = min(low[node], seen[to])
+                    continue
+                clock += 1
+                seen[to] = low[to] = clock
+                stack.append((to, e, iter(near[to])))
+                break
+            else:
+                stack.pop()
+                if stack:
+                    up = stack[-1][0]
+                    low[up] = min(low[up], low[node])
+                    out[by] = low[node] > seen[up]
+    return out
+
+
+def information(edges: int, d: int, radius: float, covariances: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Information of each edge and whether it had to be made up: one matrix for all (in pixels at the radius), or the
+    inverse covariances over their median size."""
+    if covariances is None:
+        one = np.diag([1.0, 1.0, radius**2][:d])
+        return np.tile(one / (np.trace(one) / d), (edges, 1, 1)), np.zeros(edges, bool)
+    found = [np.linalg.inv(c) if c is not None and len(c) == d else None for c in covariances]
+    sizes = np.sort([np.trace(f) / d for f in found if f is not None])
+    usual = float(sizes[len(sizes) // 2]) if len(sizes) else 1.0
+    return np.array([(np.eye(d) * usual if f is None else f) / usual for f in found]).reshape(-1, d, d), np.array([f is None for f in found])
+
+
+def reconciled(n: int, edges, weighting: str = "EQUAL", radius: float = 1.0, covariances: list[np.ndarray | None] | None = None, rotation: bool = True, rounds: int = 8) -> dict:
+    """Poses, support and, for each edge as given, its residual, standardised residual, factor and what was made of it.
+
+    EQUAL and ROBUST weigh edges alike at first, UNCERTAINTY and COMBINED by their covariances; ROBUST and COMBINED then
+    take weight from edges that disagree with the solution without them.
+    """
+    if weighting not in ("EQUAL", "UNCERTAINTY", "ROBUST", "COMBINED"):
+        raise ValueError(f"unknown weighting {weighting}")
     support = np.zeros(n, int)
-    poses = np.zeros((n, 3))
-    if n:
-        support[0] = 1
-    if not edges or n < 2:
-        return poses, support
-    e = sorted((a, b, *o) if a < b else (b, a, *inverse(o)) for a, b, *o in edges)
-    w = np.ones(len(e)) if weights is None else np.asarray(weights, float)
-    for a, b, *_ in e:
+    support[:1] = 1
+    for a, b, *_ in edges:
         support[a] += 1
         support[b] += 1
-    angle, rhs_a = np.zeros((n, n)), np.zeros(n)
-    xy, rhs = np.zeros((2 * n, 2 * n)), np.zeros(2 * n)
-    for (a, b, dx, dy, th), k in zip(e, w, strict=True):
-        angle[a, a] += k
-        angle[b, b] += k
-        angle[a, b] -= k
-        angle[b, a] -= k
-        rhs_a[b] += k * th
-        rhs_a[a] -= k * th
-        r, d = np.array([[np.cos(th), -np.sin(th)], [np.sin(th), np.cos(th)]]), np.array([dx, dy])
-        i, j = slice(2 * a, 2 * a + 2), slice(2 * b, 2 * b + 2)
-        xy[j, j] += k * np.eye(2)
-        xy[i, i] += k * np.eye(2)
-        xy[j, i] -= k * r
-        xy[i, j] -= k * r.T
-        rhs[j] += k * d
-        rhs[i] -= k * r.T @ d
-
-    def solve(m: np.ndarray, y: np.ndarray, held: int) -> np.ndarray:
-        m = m[held:, held:].copy()
-        m += np.eye(len(m)) * max(1e-9 * np.mean(np.diag(m)), 1e-12)
-        return np.concatenate([np.zeros(held), np.linalg.solve(m, y[held:])])
-
-    poses[:, 2] = solve(angle, rhs_a, 1)
-    poses[:, :2] = solve(xy, rhs, 2).reshape(n, 2)
-    return poses, support
+    out = {"poses": np.zeros((n, 3)), "support": support, "residual": np.zeros((0, 3)), "standardised": np.zeros(0), "factor": np.zeros(0), "fallback": np.zeros(0, bool), "converged": True}
+    if not edges or n < 2:
+        return out
+    d = 3 if rotation else 2
+    order = sorted(range(len(edges)), key=lambda i: (min(edges[i][:2]), max(edges[i][:2]), i))
+    made, cov = [], []
+    for i in order:
+        a, b, *o = edges[i]
+        c = covariances[i] if covariances is not None else None
+        if a > b and c is not None:
+            from driftlake.kernels.fit import covariance_of_inverse
 
+            c = covariance_of_inverse(np.asarray(c), o)
+        made.append((a, b, *map(float, o)) if a < b else (b, a, *map(float, inverse(o))))
+        cov.append(c)
+    info, fallback = information(len(made), d, radius, cov if weighting in ("UNCERTAINTY", "COMBINED") else None)
+    g, factors = Graph(n, made, info), np.ones(len(made))
+    size = lambda r: np.sqrt(np.maximum(0, np.einsum("ei,eij,ej->e", r, info, r)) / d)
+    robust_, before, converged = weighting in ("ROBUST", "COMBINED"), None, True
+    if robust_:
+        converged = False
+        for _ in range(rounds):
+            g.factorise(factors)
+            r = size(g.without(factors))
+            mid = np.sort(r)[len(r) // 2]
+            limit = 1.345 * max(1e-6, 1.4826 * np.sort(np.abs(r - mid))[len(r) // 2])
+            over = np.maximum(0.0, r - mid)
+            new = np.clip(np.where(over > limit, limit / np.maximum(over, 1e-300), 1.0), 0.05, 1.0)
+            p = g.poses() * [1, 1, radius]
+            still = before is not None and np.sqrt(((p - before) ** 2).sum(axis=1)).max() <= 1e-5
+            changed, factors, before = np.max(np.abs(new - factors)), new, p
+            if changed <= 1e-4 and still:
+                converged = True
+                break
+    g.factorise(factors)
+    r = g.residuals()
+    std = size(g.without(factors)) if robust_ else size(r)
+    back = np.argsort(order)
+    full = np.concatenate([r, np.zeros((len(r), 3 - d))], axis=1)
+    out.update(poses=g.poses(), residual=full[back], standardised=std[back], factor=factors[back], fallback=fallback[back], converged=converged)
+    return out
 
-def residuals(poses: np.ndarray, edges) -> np.ndarray:
-    return np.array([np.hypot(*(then(poses[a], (dx, dy, th)) - poses[b])[:2]) for a, b, dx, dy, th in edges])
 
+def multilag(n: int, edges: list[tuple[int, int, float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares over all edges (from, to, dx, dy, theta) with frame 0 at rest: (poses, support)."""
+    got = reconciled(n, edges)
+    return got["poses"], got["support"]
 
-def robust(n: int, edges, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """multilag() with edges that disagree weighted down: (poses, support, weights)."""
-    e = sorted((a, b, *o) if a < b else (b, a, *inverse(o)) for a, b, *o in edges)
-    w = np.ones(len(e))
-    poses, support = multilag(n, e)
-    for _ in range(rounds if len(e) > n else 0):
-        r = residuals(poses, e)
-        mid = np.sort(r)[len(r) // 2]
-        s = max(1.4826 * np.sort(np.abs(r - mid))[len(r) // 2], 1e-4)
-        over = np.maximum(r - mid, 1e-12)
-        new = np.clip(1.345 * s / over, 0.05, 1.0)
-        poses, _ = multilag(n, e, new)
-        if np.max(np.abs(new - w)) < 1e-4:
-            break
-        w = new
-    return poses, support, w
+
+def robust(n: int, edges, radius: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """multilag() with edges that disagree with the rest weighted down: (poses, support, weights)."""
+    got = reconciled(n, edges, "ROBUST", radius)
+    return got["poses"], got["support"], got["factor"]
+
+
+def known_angles(poses: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Poses with the angles replaced by known ones."""
+    return np.column_stack([poses[:, :2], theta])
+
+
+def rebased(poses: np.ndarray, frame: int) -> np.ndarray:
+    """Poses relative to another frame."""
+    back = inverse(poses[frame])
+    return np.array([then(back, p) for p in poses])
+
+
+def scaled(poses: np.ndarray, factor: float) -> np.ndarray:
+    """Poses estimated on planes that were scaled down, at full size."""
+    if not (np.isfinite(factor) and factor > 0):
+        raise ValueError("the factor is a positive number")
+    return poses * [factor, factor, 1.0]
 
 
 def chain(n: int, edges) -> tuple[np.ndarray, np.ndarray]:
