@@ -31,7 +31,7 @@ def register_batch(spark: SparkSession, source: str, target: str, image: str = "
         planes = planes.withColumn("done", F.lit(None).cast("boolean"))
     todo = planes.where(F.col("done").isNull() & (F.col("status") == "ok"))
     p = todo.select(F.col("path").alias("recording_id"), "frame", "height", "width", "pixels")
-    trajectory, pairs = engine.estimate(p, choice["options"], filter_=choice["filter_"], outlier_mads=choice["outlier_mads"])
+    trajectory, pairs = engine.estimate(p, choice["options"], **{k: v for k, v in choice.items() if k != "options"})
     moved = engine.apply_transforms(p, trajectory, interpolation, crop)
     kinds = todo.select("path", "frame", "dtype")
     out = tiff.write(moved.withColumnRenamed("recording_id", "path").join(kinds, ["path", "frame"]), target)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.kernels import filters, fit, planes as kp, solve
+from driftlake.kernels import filters, fit, masks as kmasks, planes as kp, solve
 from driftlake.operators import repair
 from driftlake.functions.stats import upper_median
 from driftlake.operators.planning import LAGS, owners
@@ -47,55 +47,152 @@ def _array(row, filter_: str) -> np.ndarray:
     return filters.apply(a.reshape(row.height, row.width), filter_)
 
 
-def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", starts: DataFrame | None = None) -> DataFrame:
-    """Fits of all planned pairs; `starts` (recording_id, frame, x, y, theta) skips the search and refines from there."""
+def _blocks(p: DataFrame, reference: str, furthest: int) -> DataFrame:
+    """Planes with the blocks that need them: their own, and those whose pairs end in them."""
+    block = F.floor(F.col("frame") / BLOCK).cast("int")
+    if reference == "FIXED":
+        zero = p.where("frame = 0").drop("frame").withColumn("frame", F.lit(0))
+        blocks = p.where("frame > 0").select("recording_id", block.alias("block")).distinct()
+        return p.where("frame > 0").withColumn("block", block).unionByName(zero.join(blocks, "recording_id"))
+    before = F.floor((F.col("frame") - furthest) / BLOCK).cast("int")
+    return p.withColumn("block", F.explode(F.sequence(F.greatest(before, F.lit(0)), block)))
+
+
+def _pairs_of(frames: list[int], block: int, reference: str, lags: tuple[int, ...]) -> list[tuple[int, int]]:
+    there, lo = set(frames), block * BLOCK
+    if reference == "FIXED":
+        return [(0, t) for t in frames if t]
+    return [(t, t + k) for t in frames if lo <= t < lo + BLOCK for k in lags if t + k in there]
+
+
+def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", starts: DataFrame | None = None, masks: DataFrame | None = None, coarse: bool = False) -> DataFrame:
+    """Fits of all planned pairs.
+
+    starts (recording_id, frame, x, y, theta): poses to refine from instead of a search; a pair that is refused so is
+    fitted again from a search. masks (recording_id, mask): pixels of the reference that count, brought to each frame by
+    its start. coarse: only the smallest level of a deep pyramid, with a bound of half its side; moves at full size.
+    """
     if reference not in REFERENCES:
         raise ValueError(f"unknown reference {reference}")
     if reference == "MULTILAG" and 1 not in lags:
         raise ValueError("a multi-lag plan needs lag 1")
+    if masks is not None and starts is None:
+        raise ValueError("masks need starts")
     own = (1,) if reference == "CONSECUTIVE" else lags
     names = [c.split()[0] for c in PAIR.split(", ")]
+    started, masked = starts is not None, masks is not None
     kind = planes.schema["recording_id"].dataType.simpleString()
     p = planes.select("recording_id", "frame", "height", "width", "pixels")
     if starts is not None:
         p = p.join(starts.select("recording_id", "frame", "x", "y", "theta"), ["recording_id", "frame"], "left")
-    block = F.floor(F.col("frame") / BLOCK).cast("int")
-    if reference == "FIXED":
-        zero = p.where("frame = 0").drop("frame").withColumn("frame", F.lit(0))
-        blocks = p.where("frame > 0").select("recording_id", block.alias("block")).distinct()
-        p = p.where("frame > 0").withColumn("block", block).unionByName(zero.join(blocks, "recording_id"))
-    else:
-        before = F.floor((F.col("frame") - max(own)) / BLOCK).cast("int")
-        p = p.withColumn("block", F.explode(F.sequence(F.greatest(before, F.lit(0)), block)))
+    if masks is not None:
+        p = p.join(masks.select("recording_id", "mask"), "recording_id", "left")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         rows = list(pdf.itertuples())
         place = {r.frame: i for i, r in enumerate(rows)}
-        if reference == "FIXED":
-            pairs = [(0, t) for t in place if t]
-        else:
-            lo = key[1] * BLOCK
-            pairs = [(t, t + k) for t in place if lo <= t < lo + BLOCK for k in own if t + k in place]
+        pairs = _pairs_of(list(place), key[1], reference, own)
         if not pairs:
             return pd.DataFrame(columns=names)
-        arrays = [_array(r, filter_) for r in rows]
-        if options.estimator == "LOG_RATIO_FIT":
-            start = None
-            if starts is not None:
-                pose = lambda t: np.array([rows[place[t]].x, rows[place[t]].y, rows[place[t]].theta], float)
-                start = np.array([solve.then(solve.inverse(pose(a)), pose(b)) for a, b in pairs])
-            stacks = fit.prepare_stack(arrays, options)
-            ia, ib = (np.array([place[p[k]] for p in pairs]) for k in (0, 1))
-            fits = fit.log_ratio_rows(stacks, ia, stacks, ib, options, start)
+        arrays, start, support = [_array(r, filter_) for r in rows], None, None
+        if started:
+            poses = np.array([(r.x, r.y, r.theta) for r in rows], float)
+            start = np.array([solve.then(solve.inverse(poses[place[a]]), poses[place[b]]) for a, b in pairs])
+        if coarse:
+            stacks, at, grow = *fit.coarse_stack(arrays, options), 1
+            stacks, at, grow = [stacks[-1]], at, 1 << (len(stacks) - 1)
+        elif options.estimator in fit.STACKED:
+            stacks, at, grow = fit.prepare_stack(arrays, options), options, 1
+        else:
+            stacks = None
+        if stacks is not None:
+            if masked and isinstance(rows[0].mask, bytes):
+                m = np.unpackbits(np.frombuffer(rows[0].mask, np.uint8))[: arrays[0].size].reshape(arrays[0].shape).astype(bool)
+                each = [kmasks.projected(m, len(stacks), q if np.isfinite(q).all() else np.zeros(3)) for q in poses]
+                support = [np.stack([x[level] for x in each]) for level in range(len(stacks))]
+            ia, ib = (np.array([place[q[k]] for q in pairs]) for k in (0, 1))
+            fits = fit.log_ratio_rows(stacks, ia, stacks, ib, at, start, masks=support)
+            again = [k for k, f in enumerate(fits) if started and not f.usable]
+            if again:
+                for k, f in zip(again, fit.log_ratio_rows(stacks, ia[again], stacks, ib[again], at, masks=support), strict=True):
+                    fits[k] = f
         else:
             pyramids = [fit.prepare(a, options) for a in arrays]
             fits = [fit.ESTIMATORS[options.estimator](pyramids[place[a]], pyramids[place[b]], options) for a, b in pairs]
+            grow = 1
         cov = lambda c: None if c is None else c.ravel().tolist()
-        out = [(key[0], a, b, f.dx, f.dy, f.theta, f.log_gain, f.residual_before, f.residual_after, f.valid_fraction, f.iterations, f.status, cov(f.covariance)) for (a, b), f in zip(pairs, fits, strict=True)]
+        out = [(key[0], a, b, f.dx * grow, f.dy * grow, f.theta, f.log_gain, f.residual_before, f.residual_after, f.valid_fraction, f.iterations, f.status, cov(f.covariance)) for (a, b), f in zip(pairs, fits, strict=True)]
         return pd.DataFrame(out, columns=names)
 
-    return p.groupBy("recording_id", "block").applyInPandas(run, PAIR.replace("{id}", kind))
+    return _blocks(p, reference, max(own)).groupBy("recording_id", "block").applyInPandas(run, PAIR.replace("{id}", kind))
+
+
+def shift_bound(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE") -> DataFrame:
+    """(recording_id, largest, suggested, resolution, pairs): the largest move that a coarse pass measures, and a bound for it."""
+    pairs = fit_pairs(planes, options, reference, lags, filter_, coarse=True).where("status <> 'REFUSED_LOW_OVERLAP'")
+    moves = pairs.groupBy("recording_id").agg(F.max(F.hypot("dx", "dy")).alias("largest"), F.count(F.lit(1)).alias("pairs"))
+    least = F.least("height", "width")
+    # halvings down to 32 pixels, eight at most
+    depth = F.greatest(F.lit(0), F.least(F.lit(8), F.floor(F.log2(least / 32)).cast("int")))
+    size = planes.groupBy("recording_id").agg(F.max(depth).alias("depth"))
+    grow = F.pow(F.lit(2.0), F.col("depth"))
+    largest = F.coalesce("largest", F.lit(0.0))
+    return size.join(moves, "recording_id", "left").select("recording_id", largest.alias("largest"), F.greatest(F.lit(30.0), 1.5 * largest + grow).alias("suggested"), grow.alias("resolution"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
+def temporal_scores(planes: DataFrame, poses: DataFrame, lags: tuple[int, ...] = LAGS, epsilon: float = 1.0) -> DataFrame:
+    """(recording_id, height, width, instability, growth): how unsteady each pixel is over the lags, in the coordinates of
+    frame 0. Blocks of frames give sums, which are added up for each recording: no row holds a pixel."""
+    kind = planes.schema["recording_id"].dataType.simpleString()
+    p = planes.select("recording_id", "frame", "height", "width", "pixels").join(poses.select("recording_id", "frame", "x", "y", "theta"), ["recording_id", "frame"])
+
+    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {r.frame: r for r in pdf.itertuples()}
+        made = {t: kp.log_plane(_array(r, "NONE"), epsilon) for t, r in rows.items()}
+        where = {t: np.array([r.x, r.y, r.theta]) for t, r in rows.items()}
+        first, out = next(iter(rows.values())), []
+        for k in lags:
+            total, n = kmasks.lag_sums(made, where, _pairs_of(sorted(rows), key[1], "MULTILAG", (k,)))
+            out.append((key[0], k, first.height, first.width, total.tobytes(), n.tobytes()))
+        return pd.DataFrame(out, columns=["recording_id", "lag", "height", "width", "total", "n"])
+
+    parts = _blocks(p, "MULTILAG", max(lags)).groupBy("recording_id", "block").applyInPandas(sums, f"recording_id {kind}, lag int, height int, width int, total binary, n binary")
+
+    def scores(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+        total, n = np.zeros((len(lags), h * w)), np.zeros((len(lags), h * w))
+        for r in pdf.itertuples():
+            total[lags.index(r.lag)] += np.frombuffer(r.total)
+            n[lags.index(r.lag)] += np.frombuffer(r.n, np.int64)
+        found = kmasks.temporal(np.divide(total, n, out=np.full(total.shape, np.nan), where=n > 0), lags, h, w)
+        return pd.DataFrame({"recording_id": [key[0]], "height": [h], "width": [w], "instability": [found[0].ravel()], "growth": [found[1].ravel()]})
+
+    return parts.groupBy("recording_id").applyInPandas(scores, f"recording_id {kind}, height int, width int, instability array<double>, growth array<double>")
+
+
+def pixel_masks(planes: DataFrame, strategy: str, percent: float, poses: DataFrame | None = None, lags: tuple[int, ...] = LAGS, epsilon: float = 1.0) -> DataFrame:
+    """(recording_id, mask): packed bits of the pixels of frame 0 that stay; `poses` are needed for temporal strategies."""
+    if strategy not in kmasks.STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    kind = planes.schema["recording_id"].dataType.simpleString()
+    zero = planes.where("frame = 0").select("recording_id", "height", "width", "pixels")
+    timed = kmasks.STRATEGIES[strategy][0] != "information"
+    if timed:
+        if poses is None:
+            raise ValueError(f"{strategy} needs poses")
+        zero = zero.join(temporal_scores(planes, poses, lags, epsilon).select("recording_id", "instability", "growth"), "recording_id")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                a = _array(r, "NONE")
+                more = [np.asarray(getattr(r, c), float).reshape(a.shape) for c in ("instability", "growth")] if timed else []
+                out.append(np.packbits(kmasks.mask(a, strategy, percent, epsilon, *more).ravel()).tobytes())
+            yield pd.DataFrame({"recording_id": pdf["recording_id"], "mask": out})
+
+    return zero.mapInPandas(run, f"recording_id {kind}, mask binary")
 
 
 def rolling(planes: DataFrame, options: fit.Options = fit.Options(), window: int = 5, filter_: str = "NONE") -> DataFrame:
@@ -165,15 +262,31 @@ def repaired(poses: DataFrame, outlier_mads: float = 6.0) -> DataFrame:
     return f.select("recording_id", "frame", F.col("x_filled").alias("dx"), F.col("y_filled").alias("dy"), "theta", "support", "repair")
 
 
-def estimate(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", weighting: str = "EQUAL", outlier_mads: float = 6.0, channel: int = 1, slice_: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(trajectory, pairs) of all recordings."""
+def estimate(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", weighting: str = "EQUAL", outlier_mads: float = 6.0, channel: int = 1, slice_: int = 0, mask: str | None = None, mask_percent: float = 25.0, warm: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(trajectory, pairs) of all recordings.
+
+    mask: a strategy by which pixels are left out of a second pass, which starts from the first one's poses. warm: longer
+    lags start from the poses that lag 1 gives.
+    """
     frames = planes.select("recording_id", "frame", "height", "width").distinct()
     if weighting in ("UNCERTAINTY", "COMBINED"):
         options = replace(options, uncertainty=True)
-    pairs = fit_pairs(estimation_planes(planes, channel, slice_), options, reference, lags, filter_)
+    p = estimation_planes(planes, channel, slice_)
+    if warm and reference == "MULTILAG":
+        first = fit_pairs(p, options, "CONSECUTIVE", filter_=filter_)
+        pairs = fit_pairs(p, options, reference, lags, filter_, _as_starts(repaired(reconcile(first, frames, "CONSECUTIVE"), outlier_mads)))
+    else:
+        pairs = fit_pairs(p, options, reference, lags, filter_)
+    if mask is not None and mask_percent > 0:
+        starts = _as_starts(repaired(reconcile(pairs, frames, reference, weighting), outlier_mads))
+        pairs = fit_pairs(p, options, reference, lags, filter_, starts, pixel_masks(p, mask, mask_percent, starts, lags, options.epsilon))
     return repaired(reconcile(pairs, frames, reference, weighting), outlier_mads), pairs
 
 
+def _as_starts(trajectory: DataFrame) -> DataFrame:
+    return trajectory.select("recording_id", "frame", F.col("dx").alias("x"), F.col("dy").alias("y"), "theta")
+
+
 def apply_transforms(planes: DataFrame, trajectory: DataFrame, interpolation: str = "BILINEAR", crop: bool = True) -> DataFrame:
     """Every plane (all channels and slices) warped by its frame's pose, cut to what all frames of a recording cover."""
     if interpolation not in INTERPOLATIONS:

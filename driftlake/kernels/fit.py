@@ -574,6 +574,19 @@ def prepare(a: np.ndarray, o: Options) -> list[Plane]:
     return pyramid(log_plane(a, o.epsilon, o.floor, o.ceiling), auto_levels(*a.shape, o.max_shift), o.linear)
 
 
+#: Estimators that take stacks of planes.
+STACKED = ("LOG_RATIO_FIT",)
+
+
+def coarse_stack(arrays: list[np.ndarray], o: Options, least: int = 32) -> tuple[list[Plane], Options]:
+    """A pyramid down to `least` pixels, and options for a search over half of its smallest level."""
+    levels, side = 1, min(arrays[0].shape)
+    while levels < 9 and side >> levels >= least:
+        levels += 1
+    out = pyramid(stack([log_plane(a, o.epsilon, o.floor, o.ceiling) for a in arrays]), levels, o.linear)
+    return out, replace(o, max_shift=max(1.0, min(out[-1].value.shape[-2:]) / 2), support="ALL", rotation=False, estimator="LOG_RATIO_FIT")
+
+
 def prepare_stack(arrays: list[np.ndarray], o: Options) -> list[Plane]:
     """The pyramid of a stack of planes of one size."""
     if len({a.shape for a in arrays}) > 1:

@@ -7,22 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 IMAGES = ("PHASE_CONTRAST", "BRIGHTFIELD_DIC", "DENSE_FLUORESCENCE", "SPARSE_LOW_LIGHT_FLUORESCENCE", "FIDUCIAL_STATIC")
 MOTIONS = ("CURVED_OSCILLATING_DRIFT", "STEADY_DIRECTIONAL_DRIFT", "SUBPIXEL_RANDOM_WALK", "INTERMITTENT_JUMPS")
 
-#: Preset, filter and pixel mask for each image type (rows) and motion type (columns).
+#: Norm, support, floor, ceiling, iterations and samples of each preset.
 PRESETS = {
-    "LS": ("LEAST_SQUARES", "ALL", None, None, 25, 200_000),
-    "H": ("HUBER", "ALL", None, None, 25, 200_000),
-    "T": ("TUKEY", "GRADIENT", None, None, 25, 200_000),
-    "F25": ("TUKEY", "GRADIENT", 25.0, None, 25, 200_000),
-    "C10": ("TUKEY", "GRADIENT", None, 90.0, 25, 200_000),
-    "C25": ("TUKEY", "GRADIENT", None, 75.0, 25, 200_000),
-    "MUT": ("TUKEY", "MUTUAL_NOISE_GRADIENT", None, None, 12, 50_000),
+    "LEAST_SQUARES": ("LEAST_SQUARES", "ALL", None, None, 25, 200_000),
+    "HUBER": ("HUBER", "ALL", None, None, 25, 200_000),
+    "TUKEY": ("TUKEY", "GRADIENT", None, None, 25, 200_000),
+    "TUKEY_FLOOR_25": ("TUKEY", "GRADIENT", 25.0, None, 25, 200_000),
+    "TUKEY_CEILING_90": ("TUKEY", "GRADIENT", None, 90.0, 25, 200_000),
+    "TUKEY_CEILING_75": ("TUKEY", "GRADIENT", None, 75.0, 25, 200_000),
+    "TUKEY_MUTUAL": ("TUKEY", "MUTUAL_NOISE_GRADIENT", None, None, 12, 50_000),
 }
+#: Preset, filter and percent of masked pixels for each image type (rows) and motion type (columns).
 MATRIX = (
-    ("LS", "MUT", "H+GAUSSIAN_1_0", "H+GAUSSIAN_0_7"),
-    ("H", "LS", "H+MEDIAN_3X3", "LS"),
-    ("F25", "H", "MUT", "MUT"),
-    ("C25+MASK", "C25+MEDIAN_3X3+MASK", "C10", "T+MASK"),
-    ("LS", "C25", "H", "LS"),
+    (("LEAST_SQUARES", "NONE", 0), ("TUKEY_MUTUAL", "NONE", 0), ("HUBER", "GAUSSIAN_1_0", 0), ("HUBER", "GAUSSIAN_0_7", 0)),
+    (("HUBER", "NONE", 0), ("LEAST_SQUARES", "NONE", 0), ("HUBER", "MEDIAN_3X3", 0), ("LEAST_SQUARES", "NONE", 0)),
+    (("TUKEY_FLOOR_25", "NONE", 0), ("HUBER", "NONE", 0), ("TUKEY_MUTUAL", "NONE", 0), ("TUKEY_MUTUAL", "NONE", 0)),
+    (("TUKEY_CEILING_75", "NONE", 25), ("TUKEY_CEILING_75", "MEDIAN_3X3", 25), ("TUKEY_CEILING_90", "NONE", 0), ("TUKEY", "NONE", 25)),
+    (("LEAST_SQUARES", "NONE", 0), ("TUKEY_CEILING_75", "NONE", 0), ("HUBER", "NONE", 0), ("LEAST_SQUARES", "NONE", 0)),
 )
 #: Least residual gain that a rotation must bring.
 ROTATION_GAIN = {"BRIGHTFIELD_DIC": 0.001, "DENSE_FLUORESCENCE": 0.002, "FIDUCIAL_STATIC": 0.005, "SPARSE_LOW_LIGHT_FLUORESCENCE": 0.010, "PHASE_CONTRAST": 0.010}
@@ -34,11 +35,9 @@ def matrix(spark: SparkSession) -> DataFrame:
     """One row for each image and motion type."""
     rows = []
     for image, line in zip(IMAGES, MATRIX, strict=True):
-        for motion, cell in zip(MOTIONS, line, strict=True):
-            name, *more = cell.split("+")
-            norm, support, floor, ceiling, iterations, samples = PRESETS[name]
-            kind = next((m for m in more if m != "MASK"), "NONE")
-            rows.append((image, motion, norm, support, floor, ceiling, kind, 25.0 if "MASK" in more else 0.0, 0.0 if motion == "INTERMITTENT_JUMPS" else 6.0, iterations, samples, ROTATION_GAIN[image]))
+        for motion, (preset, kind, percent) in zip(MOTIONS, line, strict=True):
+            norm, support, floor, ceiling, iterations, samples = PRESETS[preset]
+            rows.append((image, motion, norm, support, floor, ceiling, kind, float(percent), 0.0 if motion == "INTERMITTENT_JUMPS" else 6.0, iterations, samples, ROTATION_GAIN[image]))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -50,9 +49,9 @@ def recommend(image: str, motion: str) -> dict:
     image, motion = plain(image), plain(motion)
     if image not in IMAGES or motion not in MOTIONS:
         raise ValueError(f"unknown type {image} or {motion}")
-    name, *more = MATRIX[IMAGES.index(image)][MOTIONS.index(motion)].split("+")
-    norm, support, floor, ceiling, iterations, samples = PRESETS[name]
+    preset, kind, percent = MATRIX[IMAGES.index(image)][MOTIONS.index(motion)]
+    norm, support, floor, ceiling, iterations, samples = PRESETS[preset]
     from driftlake.kernels.fit import Options
 
     options = Options(norm=norm, support=support, floor=floor, ceiling=ceiling, iterations=iterations, max_samples=samples)
-    return {"options": options, "filter_": next((m for m in more if m != "MASK"), "NONE"), "outlier_mads": 0.0 if motion == "INTERMITTENT_JUMPS" else 6.0}
+    return {"options": options, "filter_": kind, "outlier_mads": 0.0 if motion == "INTERMITTENT_JUMPS" else 6.0, "mask": "REMOVE_LEAST_INFORMATIVE" if percent else None, "mask_percent": float(percent)}

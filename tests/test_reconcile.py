@@ -141,3 +141,67 @@ def test_pyramid_halves_whole_pairs_of_pixels():
     assert kp.halve(p).value.shape == (3, 4) and np.allclose(kp.halve(p).value, 2.0) and np.allclose(kp.halve(p, linear=True).value, 2.0)
     p.valid[:, :6] = False
     assert not kp.halve(p).valid[:, 0].any() and kp.halve(p).valid[:, 3].all()
+
+
+def _recording(spark, moves, w=64, noise=0.0):
+    rng = np.random.default_rng(0)
+    rows = [("r", t, w, w, (analytic(x, y, w=w) + rng.normal(size=(w, w)).astype(np.float32) * noise).ravel().tolist()) for t, (x, y) in enumerate(moves)]
+    return spark.createDataFrame(rows, "recording_id string, frame int, height int, width int, pixels array<float>")
+
+
+def test_information_and_masks():
+    from driftlake.kernels import masks
+
+    a = analytic(w=40)
+    a[:, :12] = 100.0
+    p = kp.log_plane(a)
+    info = masks.information(p)
+    j, i = 20, 25
+    m = sum(np.outer(g, g) for g in [(p.gx[y, x], p.gy[y, x]) for y in range(j - 2, j + 3) for x in range(i - 2, i + 3)]) / 25
+    assert np.isclose(info[j, i], np.linalg.eigvalsh(m.astype(float))[0], rtol=1e-4) and info[20, 5] == 0
+    keep = masks.eligible(p)
+    low = masks.mask(a, "REMOVE_LEAST_INFORMATIVE", 25)
+    assert (~low).sum() == int(np.floor(keep.sum() / 4 + 0.5)) and info[~low].max() <= info[low & keep].min()
+    steady = np.tile(np.arange(40.0), (40, 1))
+    for strategy in masks.STRATEGIES:
+        got = masks.mask(a, strategy, 30, 1.0, steady, -steady)
+        assert 0 < (~got).sum() < keep.sum() and not (~got & ~keep).any()
+    with pytest.raises(ValueError):
+        masks.mask(a, "REMOVE_MOST_UNSTABLE", 25)
+    moved = masks.projected(low, 2, (3.0, -2.0, 0.0))
+    assert moved[0].shape == (40, 40) and moved[1].shape == (20, 20) and np.array_equal(moved[0][8:30, 8:30], low[10:32, 5:27])
+    assert np.isnan(masks.dual_trust(steady, steady + 1, steady > 3)[0, 0])
+
+
+def test_temporal_scores_find_the_pixels_that_change(spark):
+    from driftlake import engine
+
+    moves = [(0.0, 0.0)] * 8
+    p = _recording(spark, moves, 32)
+    noisy = [list(r.pixels) for r in p.orderBy("frame").collect()]
+    rng = np.random.default_rng(4)
+    for a in noisy:
+        for y in range(4, 12):
+            for x in range(4, 12):
+                a[32 * y + x] *= float(np.exp(rng.normal()))
+    q = spark.createDataFrame([("r", t, 32, 32, a) for t, a in enumerate(noisy)], p.schema)
+    poses = spark.createDataFrame([("r", t, 0.0, 0.0, 0.0) for t in range(8)], "recording_id string, frame int, x double, y double, theta double")
+    r = engine.temporal_scores(q, poses, (1, 2)).first()
+    s = np.array(r.instability).reshape(32, 32)
+    assert s[7, 7] > 3 * s[24, 24]
+    m = engine.pixel_masks(q, "REMOVE_MOST_UNSTABLE", 10, poses, (1, 2)).first().mask
+    gone = ~np.unpackbits(np.frombuffer(m, np.uint8)).reshape(32, 32).astype(bool)
+    assert gone[4:12, 4:12].sum() > 0.7 * gone.sum() > 0
+
+
+def test_masked_and_warm_passes_and_shift_bound(spark):
+    from driftlake import engine
+
+    moves = [(0.8 * t, -0.5 * t) for t in range(6)]
+    p = _recording(spark, moves, noise=5)
+    for more in ({"mask": "REMOVE_LEAST_INFORMATIVE"}, {"mask": "STRATIFIED_LOWEST_ANCHOR_TRUST"}, {"warm": True}, {"weighting": "COMBINED"}, {"weighting": "UNCERTAINTY"}):
+        t, pairs = engine.estimate(p, fit.Options(max_shift=6), lags=(1, 2), **more)
+        assert max(np.hypot(r.dx - moves[r.frame][0], r.dy - moves[r.frame][1]) for r in t.collect()) < 0.1
+        assert pairs.where("status = 'OK'").count() >= 8
+    b = engine.shift_bound(p, lags=(1, 2)).first()
+    assert b.resolution == 2.0 and b.suggested == 30.0 and abs(b.largest - 2 * np.hypot(0.8, 0.5)) < 1 and b.pairs == 9
