@@ -29,6 +29,15 @@ def multilag(frames: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
     return pairs.select("recording_id", "from_frame", "to_frame", "lag", (F.row_number().over(w) - 1).alias("plan_index"))
 
 
+def multi_scale(frames: DataFrame) -> DataFrame:
+    """Pairs at gaps of 1, 3, 9, 27 and so on, and over the whole recording: ends at multiples of the gap and the last frame."""
+    n = frames.groupBy("recording_id").agg(F.max("frame").cast("int").alias("last"))
+    powers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda k: F.pow(F.lit(3.0), k).cast("int")), lambda g: g <= F.col("last"))
+    gaps = n.where("last > 0").select("recording_id", "last", F.explode(F.array_distinct(F.concat(powers, F.array("last")))).alias("gap"))
+    ends = F.array_distinct(F.concat(F.sequence(F.col("gap"), F.col("last"), F.col("gap")), F.array("last")))
+    return gaps.select("recording_id", "gap", F.explode(ends).alias("to_frame")).select("recording_id", "gap", (F.col("to_frame") - F.col("gap")).alias("from_frame"), "to_frame")
+
+
 def fixed(frames: DataFrame, reference: int = 0) -> DataFrame:
     return frames.where(F.col("frame") != reference).select("recording_id", F.lit(reference).alias("from_frame"), F.col("frame").alias("to_frame"))
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from driftlake.plans import catalog
+from driftlake.plans import catalog, evaluation  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
