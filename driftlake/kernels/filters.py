@@ -20,6 +20,25 @@ def _smooth(a: np.ndarray, taps: list[int]) -> np.ndarray:
         return np.where(w > 0, v / w, np.nan).astype(np.float32)
 
 
+def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian, cut at four sigma, edges replicated."""
+    r = int(4 * sigma + 0.5)
+    taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    v = a.astype(np.float64)
+    for axis in (0, 1):
+        p, n = np.pad(v, [(r, r) if i == axis else (0, 0) for i in (0, 1)], "edge"), v.shape[axis]
+        v = sum(t * np.take(p, range(k, k + n), axis=axis) for k, t in enumerate(taps))
+    return v
+
+
+def normalised(a: np.ndarray, low: float = 1.0, high: float = 99.0) -> np.ndarray:
+    """A plane between two of its percentiles (nearest rank), from 0 to 1: the common input of compared methods."""
+    s = np.sort(a[np.isfinite(a)])
+    lo, hi = (float(s[int(np.floor(q / 100 * (len(s) - 1) + 0.5))]) for q in (low, high))
+    return np.clip((a - lo) / max(hi - lo, 1e-9), 0, 1).astype(np.float32)
+
+
 def box_mean(a: np.ndarray, r: int) -> np.ndarray:
     v = np.pad(np.nan_to_num(a).astype(np.float64), r, "edge")
     c = np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
