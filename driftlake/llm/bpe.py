@@ -40,7 +40,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _GOES_ON = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
 _SPACE = regex.compile(r"\s*")
 #: Characters held before a match without an end is streamed, and units kept in a cache.
-HOLD, CACHE = 1 << 12, 1 << 16
+HOLD, CACHE = 1 << 12, 1 << 17
 #: Characters of a text fed at once.
 PIECE = 1 << 16
 #: Characters behind the end of a match that may still change it: a contraction is one match with its apostrophe.
@@ -76,7 +76,7 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-        self.rank = {pair: r for pair, (r, _) in self.merges.items()}
+        self.rank = {a << 32 | b: r for (a, b), (r, _) in self.merges.items()}
         self.made = [0] * len(spec["model"]["merges"])
         for r, w in self.merges.values():
             self.made[r] = w
@@ -98,7 +98,7 @@ class Vocabulary:
         if len(ids) > 48:
             return self._merge_heap(ids)
         rank, made, none = self.rank.get, self.made, len(self.made)
-        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
             r = min(ranks)
             if r == none:
@@ -107,9 +107,9 @@ class Vocabulary:
             ids[i : i + 2] = [made[r]]
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), none)
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
         return ids
 
     def _merge_heap(self, ids: list[int]) -> list[int]:
@@ -173,7 +173,8 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) < 256:
+        # a word before a stop is made from the word itself, and would only take its place
+        if len(key) < 256 and not (key[-1:] in (".", ",") and key[1:-1].isalpha()):
             if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
