@@ -308,7 +308,8 @@ def score(docs: DataFrame, held: str, id_col: str = "doc_id", text: str = "text"
         at = {w: i for i, w in enumerate(words.column("word").cast(pa.binary()).to_pylist())}
         out = []
         for t in texts.column("text").cast(pa.binary()).to_pylist():
-            i = np.array([at[w] for w in _words(t)] + [at[b"\n"]])
+            ws = [*_words(t), b"\n"]
+            i = np.fromiter(map(at.__getitem__, ws), np.intp, len(ws))
             out.append((len(i), int(known[i].sum()), float(base[i].sum()), float(lp[i].sum())))
         tokens, known_, base_, score_ = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table(
