@@ -3,7 +3,7 @@
 planes: (recording_id, frame, [c, z,] height, width, pixels array<float>), NaN or null for missing pixels.
 
 Pairs are fitted in blocks of frames: a plane goes to its own block and to those whose pairs end in it, so that a task
-builds each pyramid once and holds BLOCK frames and the longest lag at most, however long the recording is. Only the
+builds each pyramid once and holds a block of frames and the longest lag at most, however long the recording is. Only the
 fits, without pixels, are grouped by recording for the reconciliation. Repair and reports are window functions.
 """
 
@@ -21,7 +21,8 @@ from driftlake.operators import repair
 from driftlake.functions.stats import upper_median
 from driftlake.operators.planning import LAGS, owners
 
-BLOCK = 32
+#: Frames of a block: as many as hold about PIXELS pixels, between the two bounds.
+BLOCKS, PIXELS = (4, 32), 1 << 21
 PAIR = "recording_id {id}, from_frame int, to_frame int, dx double, dy double, theta double, log_gain double, residual_before double, residual_after double, valid_fraction double, iterations int, status string, covariance array<double>"
 WEIGHTINGS = ("EQUAL", "UNCERTAINTY", "ROBUST", "COMBINED")
 REFERENCES = ("CONSECUTIVE", "MULTILAG", "FIXED")
@@ -47,22 +48,27 @@ def _array(row, filter_: str) -> np.ndarray:
     return filters.apply(a.reshape(row.height, row.width), filter_)
 
 
+def _size(height: int, width: int) -> int:
+    return max(BLOCKS[0], min(BLOCKS[1], PIXELS // (height * width)))
+
+
 def _blocks(p: DataFrame, reference: str, furthest: int) -> DataFrame:
     """Planes with the blocks that need them: their own, and those whose pairs end in them."""
-    block = F.floor(F.col("frame") / BLOCK).cast("int")
+    size = F.greatest(F.lit(BLOCKS[0]), F.least(F.lit(BLOCKS[1]), F.floor(F.lit(PIXELS) / (F.col("height") * F.col("width"))))).cast("int")
+    block = F.floor(F.col("frame") / size).cast("int")
     if reference == "FIXED":
         zero = p.where("frame = 0").drop("frame").withColumn("frame", F.lit(0))
         blocks = p.where("frame > 0").select("recording_id", block.alias("block")).distinct()
         return p.where("frame > 0").withColumn("block", block).unionByName(zero.join(blocks, "recording_id"))
-    before = F.floor((F.col("frame") - furthest) / BLOCK).cast("int")
+    before = F.floor((F.col("frame") - furthest) / size).cast("int")
     return p.withColumn("block", F.explode(F.sequence(F.greatest(before, F.lit(0)), block)))
 
 
-def _pairs_of(frames: list[int], block: int, reference: str, lags: tuple[int, ...]) -> list[tuple[int, int]]:
-    there, lo = set(frames), block * BLOCK
+def _pairs_of(frames: list[int], block: int, size: int, reference: str, lags: tuple[int, ...]) -> list[tuple[int, int]]:
+    there, lo = set(frames), block * size
     if reference == "FIXED":
         return [(0, t) for t in frames if t]
-    return [(t, t + k) for t in frames if lo <= t < lo + BLOCK for k in lags if t + k in there]
+    return [(t, t + k) for t in frames if lo <= t < lo + size for k in lags if t + k in there]
 
 
 def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", starts: DataFrame | None = None, masks: DataFrame | None = None, coarse: bool = False) -> DataFrame:
@@ -92,7 +98,7 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
         pdf = pdf.sort_values("frame")
         rows = list(pdf.itertuples())
         place = {r.frame: i for i, r in enumerate(rows)}
-        pairs = _pairs_of(list(place), key[1], reference, own)
+        pairs = _pairs_of(list(place), key[1], _size(rows[0].height, rows[0].width), reference, own)
         if not pairs:
             return pd.DataFrame(columns=names)
         arrays, start, support = [_array(r, filter_) for r in rows], None, None
@@ -153,7 +159,7 @@ def temporal_scores(planes: DataFrame, poses: DataFrame, lags: tuple[int, ...] =
         where = {t: np.array([r.x, r.y, r.theta]) for t, r in rows.items()}
         first, out = next(iter(rows.values())), []
         for k in lags:
-            total, n = kmasks.lag_sums(made, where, _pairs_of(sorted(rows), key[1], "MULTILAG", (k,)))
+            total, n = kmasks.lag_sums(made, where, _pairs_of(sorted(rows), key[1], _size(first.height, first.width), "MULTILAG", (k,)))
             out.append((key[0], k, first.height, first.width, total.tobytes(), n.tobytes()))
         return pd.DataFrame(out, columns=["recording_id", "lag", "height", "width", "total", "n"])
 
