@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.kernels import filters, fit, masks as kmasks, planes as kp, solve
-from driftlake.operators import repair
+from driftlake.kernels import evidence as ke, filters, fit, longitudinal as lg, masks as kmasks, planes as kp, solve
+from driftlake.operators import evidence, repair
 from driftlake.functions.stats import upper_median
+from driftlake.operators import planning
 from driftlake.operators.planning import LAGS, owners
 
 #: Frames of a block: as many as hold about PIXELS pixels, between the two bounds.
@@ -64,6 +65,12 @@ def _blocks(p: DataFrame, reference: str, furthest: int) -> DataFrame:
     return p.withColumn("block", F.explode(F.sequence(F.greatest(before, F.lit(0)), block)))
 
 
+def _dealt(p: DataFrame):
+    """Blocks in many tasks: their work goes by pairs, not by bytes, so adaptive execution must not put them together."""
+    n = 4 * int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return p.repartition(n, "recording_id", "block").groupBy("recording_id", "block")
+
+
 def _pairs_of(frames: list[int], block: int, size: int, reference: str, lags: tuple[int, ...]) -> list[tuple[int, int]]:
     there, lo = set(frames), block * size
     if reference == "FIXED":
@@ -131,7 +138,7 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
         out = [(key[0], a, b, f.dx * grow, f.dy * grow, f.theta, f.log_gain, f.residual_before, f.residual_after, f.valid_fraction, f.iterations, f.status, cov(f.covariance)) for (a, b), f in zip(pairs, fits, strict=True)]
         return pd.DataFrame(out, columns=names)
 
-    return _blocks(p, reference, max(own)).groupBy("recording_id", "block").applyInPandas(run, PAIR.replace("{id}", kind))
+    return _dealt(_blocks(p, reference, max(own))).applyInPandas(run, PAIR.replace("{id}", kind))
 
 
 def shift_bound(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE") -> DataFrame:
@@ -163,7 +170,7 @@ def temporal_scores(planes: DataFrame, poses: DataFrame, lags: tuple[int, ...] =
             out.append((key[0], k, first.height, first.width, total.tobytes(), n.tobytes()))
         return pd.DataFrame(out, columns=["recording_id", "lag", "height", "width", "total", "n"])
 
-    parts = _blocks(p, "MULTILAG", max(lags)).groupBy("recording_id", "block").applyInPandas(sums, f"recording_id {kind}, lag int, height int, width int, total binary, n binary")
+    parts = _dealt(_blocks(p, "MULTILAG", max(lags))).applyInPandas(sums, f"recording_id {kind}, lag int, height int, width int, total binary, n binary")
 
     def scores(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
@@ -363,3 +370,126 @@ def localisability(planes: DataFrame) -> DataFrame:
     s = p.join(q, ["recording_id", "c", "frame"]).groupBy("recording_id", "c").agg(F.avg(gap("pixels", "next", "height", "width")).alias("localisability"))
     rank = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.nanvl("localisability", F.lit(None)).desc_nulls_last(), "c"))
     return s.withColumn("rank", rank).withColumn("poor", F.coalesce(F.col("localisability") < 0.05, F.lit(True)))
+
+
+def evidence_features(planes: DataFrame, epsilon: float = 1.0) -> DataFrame:
+    """(recording_id, reason, features): what recordings look like, from their first two, middle and last frames alone.
+
+    The image features are the medians over the three frames; a recording that gives no evidence has a reason.
+    """
+    kind = planes.schema["recording_id"].dataType.simpleString()
+    n = planes.groupBy("recording_id").agg((F.max("frame") + 1).alias("n"))
+    half = F.floor(F.col("n") / 2)
+    some = planes.join(n, "recording_id").where((F.col("frame") <= 1) | (F.col("frame") == half) | (F.col("frame") == F.col("n") - 1))
+    names = (*ke.IMAGE, *ke.PAIR, *ke.ADMITTED)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {r.frame: _array(r, "NONE") for r in pdf.itertuples()}
+        n, first = int(pdf["n"].iloc[0]), at[min(at)]
+        three = [at[t] for t in (0, n // 2, n - 1) if t in at]
+        values = np.concatenate([a[np.isfinite(a)] for a in three])
+        reason, got = "", np.full(len(names), np.nan)
+        if n < 2:
+            reason = "fewer than two guide frames"
+        elif min(first.shape) < 16:
+            reason = "guide plane smaller than 16x16"
+        elif not len(values) or not values.max() > values.min():
+            reason = "no finite positive raw-image dynamic range"
+        else:
+            got = np.concatenate((np.nanmedian([ke.image(a) for a in three], axis=0), ke.pair(at[0], at[1], epsilon), ke.admitted(at[0], epsilon)))
+        return pd.DataFrame([(key[0], reason, *map(float, got))], columns=["recording_id", "reason", *names])
+
+    return some.groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, reason string, " + ", ".join(f"{x} double" for x in names))
+
+
+def longitudinal(planes: DataFrame, trajectory: DataFrame, most_degrees: float = 10.0) -> DataFrame:
+    """(recording_id, frame, dx, dy, theta, confidence, jump, changed): a trajectory freed of what changing light does to it.
+
+    The lightest and the darkest frame with structure are references; a frame's confidence is how well it agrees, at its
+    pose, with the better one. Where consecutive frames hardly agree, rigid bridges are looked for between the frames and
+    between the medians around them: each boundary is a task of its own. Only poses and scores are grouped by recording.
+    """
+    kind = planes.schema["recording_id"].dataType.simpleString()
+    p = planes.select("recording_id", "frame", "height", "width", "pixels")
+
+    def features(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                a = _array(r, "NONE")
+                h, w = a.shape
+                mid = a[round(0.12 * h) : round(0.88 * h), round(0.12 * w) : round(0.88 * w)]
+                lo, light, hi = np.nanpercentile(mid, (5, 75, 95))
+                rows.append((r.recording_id, r.frame, float(light), float(hi - lo), lg.landmark_feature(a).ravel()))
+            yield pd.DataFrame(rows, columns=["recording_id", "frame", "light", "structure", "feature"])
+
+    made = p.mapInPandas(features, f"recording_id {kind}, frame int, light double, structure double, feature array<float>")
+    ends = evidence.reference_frames(made.select("recording_id", "frame", "light", "structure"))
+    both = made.join(ends, "recording_id")
+    refs = both.where((F.col("frame") == F.col("bright")) | (F.col("frame") == F.col("dim"))).groupBy("recording_id").agg(F.collect_list(F.struct("frame", "feature")).alias("refs"))  # two planes at most
+    before = made.select("recording_id", (F.col("frame") + 1).alias("frame"), F.col("feature").alias("last"))
+    size = p.select("recording_id", "frame", "height", "width")
+    poses = trajectory.select("recording_id", "frame", "dx", "dy", "theta")
+    joined = made.join(size, ["recording_id", "frame"]).join(poses, ["recording_id", "frame"]).join(before, ["recording_id", "frame"], "left").join(refs, "recording_id")
+    at_ref = trajectory.groupBy("recording_id").agg(F.collect_list(F.struct("frame", "dx", "dy", "theta")).alias("all"))
+    joined = joined.join(ends, "recording_id").join(at_ref, "recording_id")
+    near = F.transform(F.filter("all", lambda q: (q["frame"] == F.col("bright")) | (q["frame"] == F.col("dim"))), lambda q: q)
+    joined = joined.withColumn("at", near).drop("all", "light", "structure")
+
+    def scores(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                shape = (r.height, r.width)
+                f = np.asarray(r.feature, float).reshape(shape)
+                where = {int(q["frame"]): np.array([q["dx"], q["dy"], q["theta"]]) for q in r.at}
+                own, found = np.array([r.dx, r.dy, r.theta]), []
+                for q in r.refs:
+                    pose = solve.then(solve.inverse(where[int(q["frame"])]), own)
+                    found.append(lg.correlation(np.asarray(q["feature"], float).reshape(shape), f, pose))
+                response = None
+                if r.last is not None:
+                    response = lg.phase_translation(lg.thumbnail(np.asarray(r.last).reshape(shape), 128), lg.thumbnail(f, 128))[2]
+                rows.append((r.recording_id, r.frame, r.height, r.width, *own, float(np.nan_to_num(np.nanmax([0.0, *found]))), response))
+            yield pd.DataFrame(rows, columns=["recording_id", "frame", "height", "width", "dx", "dy", "theta", "score", "response"])
+
+    scored = joined.mapInPandas(scores, f"recording_id {kind}, frame int, height int, width int, dx double, dy double, theta double, score double, response double")
+    weak = evidence.weak_boundaries(scored.where("response IS NOT NULL").select("recording_id", "frame", "response"))
+    around = weak.select("recording_id", F.col("frame").alias("boundary"), F.explode(F.sequence(F.col("frame") - 8, F.col("frame") + 7)).alias("frame"))
+
+    def bridges(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        t = int((pdf["frame"] < key[1]).sum())
+        events = lg.rigid_bridges(np.stack([_array(r, "NONE") for r in pdf.itertuples()]), [t], most_degrees) if 0 < t < len(pdf) else []
+        return pd.DataFrame([(key[0], int(key[1]), *map(float, e)) for _, e in events], columns=["recording_id", "boundary", "ex", "ey", "et"])
+
+    found = p.join(around, ["recording_id", "frame"]).groupBy("recording_id", "boundary").applyInPandas(bridges, f"recording_id {kind}, boundary int, ex double, ey double, et double")
+    sure = evidence.confidence(scored).join(found.withColumnRenamed("boundary", "frame"), ["recording_id", "frame"], "left")
+
+    def mend(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        diagonal = float(np.hypot(pdf["height"].iloc[0], pdf["width"].iloc[0]))
+        poses = pdf[["dx", "dy", "theta"]].to_numpy(float)
+        events = [(i, e) for i, e in enumerate(pdf[["ex", "ey", "et"]].to_numpy(float)) if i and np.isfinite(e).all()]
+        poses = lg.with_events(poses, events)
+        path, jumps, changed = lg.repaired(poses * [1, 1, diagonal / 2], pdf["confidence"].to_numpy(float), diagonal)
+        out = path / [1, 1, diagonal / 2]
+        jump = np.isin(np.arange(len(pdf)), jumps)
+        return pd.DataFrame({"recording_id": key[0], "frame": pdf["frame"].to_numpy(), "dx": out[:, 0], "dy": out[:, 1], "theta": out[:, 2], "confidence": pdf["confidence"].to_numpy(float), "jump": jump, "changed": changed})
+
+    return sure.groupBy("recording_id").applyInPandas(mend, f"recording_id {kind}, frame int, dx double, dy double, theta double, confidence double, jump boolean, changed boolean")
+
+
+def sweep(planes: DataFrame, axes: dict[str, list], options: fit.Options = fit.Options(), **more) -> DataFrame:
+    """A row for each recording and setting of up to three axes of Options: its residuals after registration, and the best
+    setting of the recording (the least residual, the first on ties)."""
+    from pyspark.sql import Window
+
+    out = None
+    for i, row in enumerate(planning.sweep_grid(planes.sparkSession, axes).collect()):  # 24 settings at most
+        setting = row.asDict()
+        rep = report(*estimate(planes, replace(options, **setting), **more)).select("recording_id", "residual_before", "residual_after", "refused")
+        rep = rep.withColumns({"setting": F.lit(i), **{k: F.lit(v) for k, v in setting.items()}})
+        out = rep if out is None else out.unionByName(rep)
+    rank = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.col("residual_after").asc_nulls_last(), "setting"))
+    return out.withColumn("best", rank == 1)

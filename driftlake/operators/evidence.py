@@ -76,6 +76,20 @@ def information_choice(sparse: Column, tail: Column, explicit: Column) -> Column
     )
 
 
+def rotation_gain(image: Column, p90_step: Column) -> Column:
+    """The least gain that a rotation must bring: a fixed value for each type, for phase contrast less where it moves far."""
+    return (
+        F.when(image == "BRIGHTFIELD_DIC", 0.001).when(image == "DENSE_FLUORESCENCE", 0.002).when(image == "FIDUCIAL_STATIC", 0.005)
+        .when(image == "SPARSE_LOW_LIGHT_FLUORESCENCE", 0.010).when((image == "PHASE_CONTRAST") & (p90_step > 2), 0.005).otherwise(0.010)
+    )
+
+
+def linearity(poses: DataFrame) -> DataFrame:
+    """(recording_id, residual): how far, as a root mean square, the path is from the best line in time."""
+    part = lambda c: F.regr_syy(c, "frame") - F.coalesce(F.regr_sxy(c, "frame") * F.regr_sxy(c, "frame") / F.nullif(F.regr_sxx(c, "frame"), F.lit(0.0)), F.lit(0.0))
+    return poses.groupBy("recording_id").agg(F.sqrt(F.greatest(F.lit(0.0), (part("x") + part("y")) / F.count(F.lit(1)))).alias("residual"))
+
+
 def sparse_score(pixels: Column) -> Column:
     """Where the median lies between the first and the last percentile."""
     low, high = nearest_rank(pixels, 0.01), nearest_rank(pixels, 0.99)

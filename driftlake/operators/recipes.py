@@ -55,3 +55,21 @@ def recommend(image: str, motion: str) -> dict:
 
     options = Options(norm=norm, support=support, floor=floor, ceiling=ceiling, iterations=iterations, max_samples=samples)
     return {"options": options, "filter_": kind, "outlier_mads": 0.0 if motion == "INTERMITTENT_JUMPS" else 6.0, "mask": "REMOVE_LEAST_INFORMATIVE" if percent else None, "mask_percent": float(percent)}
+
+
+def emission_policy(image: str, motion: str) -> dict | None:
+    """The fixed route of emission images: previous-image ECC on filtered planes for dense ones, the preset for sparse
+    ones; None for other types."""
+    from driftlake.kernels.fit import Options
+
+    if image == "DENSE_FLUORESCENCE":
+        options = Options(estimator="AREA_CORRELATION_ECC", support="GRADIENT", gradient_fraction=0.5, ceiling=90.0, iterations=25, max_samples=200_000)
+        return {"options": options, "reference": "CONSECUTIVE", "filter_": "MEDIAN_3X3", "outlier_mads": 0.0, "mask": None}
+    return recommend(image, motion) if image == "SPARSE_LOW_LIGHT_FLUORESCENCE" else None
+
+
+def pilot() -> dict:
+    """Neutral settings for a first look at a recording: nothing that a selector might choose."""
+    from driftlake.kernels.fit import Options
+
+    return {"options": Options(), "reference": "MULTILAG", "filter_": "NONE", "outlier_mads": 0.0, "mask": None}

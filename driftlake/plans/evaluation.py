@@ -303,3 +303,18 @@ def markdown_report(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, round(metric, 6) AS metric FROM @results ORDER BY @results_metric DESC, l_orderkey, l_linenumber LIMIT 25".replace("@results_metric", "metric"))
 def global_head(spark, sf):
     return results(spark, sf).orderBy(F.desc("metric"), "l_orderkey", "l_linenumber").limit(25).select("l_orderkey", "l_linenumber", *r6("metric"))
+
+
+@query("""SELECT recording_id, round(sqrt(greatest(0, (regr_syy(x, frame) - coalesce(regr_sxy(x, frame) ** 2 / nullif(regr_sxx(x, frame), 0), 0)
+  + regr_syy(y, frame) - coalesce(regr_sxy(y, frame) ** 2 / nullif(regr_sxx(y, frame), 0), 0)) / count(*))), 4) AS residual FROM @poses GROUP BY 1""")
+def path_linearity(spark, sf):
+    return evidence.linearity(poses(spark, sf)).select("recording_id", F.round("residual", 4).alias("residual"))
+
+
+@query("""WITH p AS (SELECT recording_id, max(y) AS far, ['PHASE_CONTRAST', 'BRIGHTFIELD_DIC', 'DENSE_FLUORESCENCE', 'SPARSE_LOW_LIGHT_FLUORESCENCE', 'FIDUCIAL_STATIC'][recording_id % 5 + 1] AS image FROM @poses WHERE frame < 4 GROUP BY 1)
+  SELECT recording_id, image, CASE image WHEN 'BRIGHTFIELD_DIC' THEN 0.001 WHEN 'DENSE_FLUORESCENCE' THEN 0.002 WHEN 'FIDUCIAL_STATIC' THEN 0.005 WHEN 'SPARSE_LOW_LIGHT_FLUORESCENCE' THEN 0.010
+    ELSE CASE WHEN far > 5 THEN 0.005 ELSE 0.010 END END::DOUBLE AS least_gain FROM p""")
+def rotation_selector(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("PHASE_CONTRAST", "BRIGHTFIELD_DIC", "DENSE_FLUORESCENCE", "SPARSE_LOW_LIGHT_FLUORESCENCE", "FIDUCIAL_STATIC")])
+    p = poses(spark, sf).where("frame < 4").groupBy("recording_id").agg(F.max("y").alias("far")).withColumn("image", F.get(names, (F.col("recording_id") % 5).cast("int")))
+    return p.select("recording_id", "image", evidence.rotation_gain(F.col("image"), F.col("far") - 3).alias("least_gain"))

@@ -117,3 +117,65 @@ def test_end_chain_needs_the_baseline():
     assert [t for t, _ in events] in ([12, 13], []) and lg.end_chain(frames, np.zeros((14, 3)), 2.0) == []
     if events:
         assert abs(events[0][1][0] - 8) < 1 and np.allclose(solve.inverse(np.zeros(3)), 0)
+
+
+def _table(spark, frames):
+    rows = [("r", t, *a.shape, a.astype(float).ravel().tolist()) for t, a in enumerate(frames)]
+    return spark.createDataFrame(rows, "recording_id string, frame int, height int, width int, pixels array<float>")
+
+
+def test_the_route_for_long_recordings(spark):
+    from driftlake import engine
+
+    frames = [textured(0 if t < 12 else 12, 0, 64) * (1 + 0.05 * t) for t in range(24)]
+    path = [(0.0 if t < 12 else 12.0) + (9.0 if t == 6 else 0.0) for t in range(24)]
+    poses = spark.createDataFrame([("r", t, x, 0.0, 0.0) for t, x in enumerate(path)], "recording_id string, frame int, dx double, dy double, theta double")
+    got = engine.longitudinal(_table(spark, frames), poses, 2.0).orderBy("frame").collect()
+    assert len(got) == 24 and got[12].jump and sum(r.jump for r in got) == 1
+    assert got[6].confidence == 0 and got[6].changed and abs(got[6].dx) < 1 and abs(got[20].dx - 12) < 1
+
+
+def test_evidence_of_recordings(spark):
+    from driftlake import engine
+    from driftlake.kernels import evidence as ke
+
+    r = engine.evidence_features(_table(spark, [textured(t, 0, 48) for t in range(5)])).first()
+    assert r.reason == "" and all(np.isfinite(r[c]) for c in (*ke.IMAGE, *ke.PAIR, *ke.ADMITTED))
+    assert 0 <= r.dark_share <= 1 and r.correlation_x > 0.5 and 0.4 < r.gradient_admitted <= 1
+    for frames, why in (([textured()], "two"), ([textured(w=8)] * 3, "16x16"), ([np.full((20, 20), 3.0)] * 3, "range")):
+        assert why in engine.evidence_features(_table(spark, frames)).first().reason
+    assert np.isnan(ke.image(np.full((4, 4), np.nan))).all()
+
+
+def test_sweep_and_policies(spark):
+    from driftlake import engine
+    from driftlake.operators import recipes
+
+    p = _table(spark, [analytic(0.5 * t, 0, w=48) for t in range(4)])
+    got = engine.sweep(p, {"norm": ["HUBER", "TUKEY"], "max_shift": [1.0, 6.0]}, lags=(1,)).collect()
+    assert len(got) == 4 and sum(r.best for r in got) == 1 and min(got, key=lambda r: (r.residual_after, r.setting)).best
+    dense = recipes.emission_policy("DENSE_FLUORESCENCE", "STEADY_DIRECTIONAL_DRIFT")
+    assert dense["options"].estimator == "AREA_CORRELATION_ECC" and dense["reference"] == "CONSECUTIVE"
+    assert recipes.emission_policy("PHASE_CONTRAST", "STEADY_DIRECTIONAL_DRIFT") is None and recipes.pilot()["mask"] is None
+
+
+def test_progress_and_cancellation(spark):
+    from driftlake import progress
+
+    heard = []
+    assert progress.watched(spark, lambda: spark.range(100, numPartitions=4).count(), lambda *n: heard.append(n), 0.01) == 100
+
+    def stop(done, all_):
+        raise KeyError("stop")
+
+    slow = lambda: spark.range(4, numPartitions=4).mapInPandas(_sleepy, "id long").count()
+    with pytest.raises(KeyError):
+        progress.watched(spark, slow, stop, 0.5)
+
+
+def _sleepy(batches):
+    import time
+
+    for b in batches:
+        time.sleep(20)
+        yield b
