@@ -205,3 +205,70 @@ def test_masked_and_warm_passes_and_shift_bound(spark):
         assert pairs.where("status = 'OK'").count() >= 8
     b = engine.shift_bound(p, lags=(1, 2)).first()
     assert b.resolution == 2.0 and b.suggested == 30.0 and abs(b.largest - 2 * np.hypot(0.8, 0.5)) < 1 and b.pairs == 9
+
+
+def test_known_graphs():
+    """Hand-made graphs with their known solutions, a reversed edge and a frame without support among them."""
+    edges = [(0, 1, 1.25, -0.5, 0), (1, 2, 0.75, 0.25, 0), (0, 2, 2.1, -0.2, 0), (3, 2, -0.4, 0.3, 0)]
+    got = solve.reconciled(5, edges, rotation=False)
+    want = [(0, 0), (77 / 60, -29 / 60), (31 / 15, -13 / 60), (37 / 15, -31 / 60), (0, 0)]
+    assert np.allclose(got["poses"][:, :2], want, atol=1e-7) and got["support"].tolist() == [3, 2, 3, 1, 0]
+    good = [(0, 1, 1, 0, 0), (1, 2, 1, 0, 0), (2, 3, 1, 0, 0)]
+    cov = [np.eye(2) * 0.01] * 3 + [np.eye(2) * 100.0]
+    got = solve.reconciled(4, [*good, (0, 3, 9, 0, 0)], "UNCERTAINTY", covariances=cov, rotation=False)
+    assert abs(got["poses"][3, 0] - 3) < 0.01
+
+
+@pytest.mark.parametrize("name", ["registration_report", "robust_trajectory"])
+def test_flagship_queries_give_what_plain_loops_give(spark, sf, name):
+    """The registered queries, held against fits of single pairs, dense solutions and repair in plain Python."""
+    from driftlake.plans import catalog
+    from driftlake.plans.tables import planes
+
+    rows = [r.asDict() for r in catalog.QUERIES[name](spark, sf).collect()]
+    some = sorted({r["recording_id"] for r in rows})[:2]
+    frames = {i: [np.array(r.plane, np.float32).reshape(8, 8) for r in planes(spark, sf).where(f"recording_id = {i}").orderBy("frame").collect()] for i in some}
+    o = fit.Options(max_shift=2.0)
+    for i, f in frames.items():
+        n, made = len(f), [fit.prepare(a, o) for a in f]
+        fits = {(t, t + k): fit.log_ratio(made[t], made[t + k], o) for t in range(n) for k in (1, 2, 4, 8, 16) if t + k < n}
+        used = [(a, b, x.dx, x.dy, x.theta) for (a, b), x in sorted(fits.items()) if x.usable]
+        info, factors = np.tile(np.eye(2), (len(used), 1, 1)), np.ones(len(used))
+        if name == "robust_trajectory":
+            bridge, last = solve.bridges(n, [e[:2] for e in used]), None
+            for _ in range(8):
+                x = dense(n, used, info, factors)
+                r = []
+                for k, (a, b, dx, dy, _) in enumerate(used):
+                    y = x if bridge[k] else dense(n, used, info, factors, k)
+                    r.append(np.hypot(*(y[b] - y[a] - [dx, dy])) / np.sqrt(2))
+                r = np.array(r)
+                mid = np.sort(r)[len(r) // 2]
+                limit = 1.345 * max(1e-6, 1.4826 * np.sort(np.abs(r - mid))[len(r) // 2])
+                over = r - mid
+                new = np.array([np.clip(limit / v, 0.05, 1) if v > limit else 1.0 for v in over])
+                still = last is not None and np.hypot(*(x - last).T).max() <= 1e-5
+                done = np.abs(new - factors).max() <= 1e-4 and still
+                factors, last = new, x
+                if done:
+                    break
+        x = dense(n, used, info, factors)
+        step = np.hypot(*np.diff(x, axis=0).T)
+        med = np.sort(step)[len(step) // 2]
+        mad = np.sort(np.abs(step - med))[len(step) // 2]
+        far = max(med + 6 * 1.4826 * mad, 6 * med)
+        support = np.bincount([e[k] for e in used for k in (0, 1)], minlength=n)
+        trusted = np.array([t == 0 or support[t] > 0 and not (n > 4 and step[t - 1] > far) for t in range(n)])
+        at = np.flatnonzero(trusted)
+        poses = np.stack([np.interp(np.arange(n), at, x[at, k]) for k in (0, 1)], axis=1)
+        own = sorted((r for r in rows if r["recording_id"] == i), key=lambda r: r.get("frame", 0))
+        if name == "robust_trajectory":
+            assert len(own) == n and np.allclose([(r["dx"], r["dy"]) for r in own], poses, atol=2e-5)
+            assert [r["repair"] is None for r in own] == trusted.tolist()
+            continue
+        (r,) = own
+        owner = [min((x for (a, b), x in fits.items() if b == t), key=lambda x: [b - a for (a, b), y in fits.items() if y is x][0]) for t in range(1, n)]
+        mid = lambda c: sorted(getattr(x, c) for x in owner if np.isfinite(getattr(x, c)))[len(owner) // 2]  # noqa: E731, B023
+        assert (r["frames"], r["pairs"], r["repaired"], r["refused"]) == (n, len(fits), n - len(at), len(fits) - len(used))
+        assert r["at_bound"] == sum(x.status.startswith("AT") for x in fits.values())
+        assert np.allclose([r["largest_move"], r["residual_before"], r["residual_after"]], [np.hypot(*poses.T).max(), mid("residual_before"), mid("residual_after")], atol=2e-5)
