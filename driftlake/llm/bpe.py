@@ -440,13 +440,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     def run(batches):
         from driftlake.llm import bpe
 
-        yield from bpe._batches(batches, at, path, ids, decoded)
+        yield from bpe._batches(batches, at, path, "ids", "decoded" if decoded else None)
 
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-    plain = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
-    more = [StructField(ids, ArrayType(IntegerType(), False)), *([StructField(decoded, StringType())] if decoded else [])]
-    return plain.mapInArrow(trimming(run), StructType([*plain.schema.fields, *more]))
+    names = [*docs.columns, ids, *([decoded] if decoded else [])]
+    plain = docs.withColumn(text, F.col(f"`{text}`").cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    more = [StructField("ids", ArrayType(IntegerType(), False)), *([StructField("decoded", StringType())] if decoded else [])]
+    return plain.mapInArrow(trimming(run), StructType([*plain.schema.fields, *more])).toDF(*names)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

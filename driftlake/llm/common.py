@@ -104,6 +104,11 @@ def unused(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def quoted(names: list[str]) -> list:
+    """Columns by their names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def trimming(run):
     """`run` for mapInArrow, giving back at its end the memory that an idle Python worker would hold."""
 

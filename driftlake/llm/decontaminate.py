@@ -253,9 +253,10 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
     docs = docs.drop(out).withColumn(text, F.col(f"`{text}`").cast("string"))
-    at = docs.columns.index(text)
-    fields = [*docs.schema.fields, StructField(out, ArrayType(LongType(), False), False)]
-    done = docs.withColumn(out, F.array().cast("array<bigint>"))
+    names, at = docs.columns, docs.columns.index(text)
+    docs, out_ = docs.toDF(*[f"c{i}" for i in range(len(names))]), "items"  # Spark's Arrow functions take no dots in names
+    fields = [*docs.schema.fields, StructField(out_, ArrayType(LongType(), False), False)]
+    done = docs.withColumn(out_, F.array().cast("array<bigint>"))
     spark = docs.sparkSession
     for block in blocks(items, item_id, item_text, rate):
         sent = spark.sparkContext.broadcast(block)  # at most BLOCK_BYTES of items and their signs
@@ -271,7 +272,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
                     yield pa.record_batch([*part.columns[:-1], pa.array(now, pa.list_(pa.int64()))], names=part.schema.names)
 
         done = done.mapInArrow(trimming(run), StructType(fields))
-    return done
+    return done.toDF(*names, out)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

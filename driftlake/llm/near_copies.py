@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import bounded, drop, materialise, trimming, unused
+from driftlake.llm.common import bounded, drop, materialise, quoted, trimming, unused
 from driftlake.llm.components import components
 from driftlake.llm.simhash import hamming_links
 
@@ -291,9 +291,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     """`docs` with one row of each group of near copies."""
     cols = docs.columns
     a, b = unused(cols, "k1", "k2")
-    quoted = [F.col(f"`{c}`") for c in cols]
+    whole = quoted(cols)
     plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    keyed = docs.withColumns({a: F.xxhash64(*quoted), b: F.xxhash64(F.lit(7), *quoted)})
+    keyed = docs.withColumns({a: F.xxhash64(*whole), b: F.xxhash64(F.lit(7), *whole)})
     rows = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(a).alias("k1"), F.col(b).alias("k2"), F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(7), plain).alias("t2"), plain.alias("text"))
     head = F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2")
     made = features(rows, similar).groupBy("t1", "t2").agg(F.min(F.struct(head.alias("head"), "f", "x", "p", "n")).alias("r"))
@@ -315,4 +315,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     keys = materialise(keys.select(F.col("k1").alias(a), F.col("k2").alias(b), "stays"), "near-gone", files)
     alone = keyed.join(bounded(keys.select(a, b)), [a, b], "left_anti")
     equal = keyed.join(bounded(keys.where("stays").select(a, b)), [a, b], "left_semi").dropDuplicates([a, b])
-    return alone.unionByName(equal).select(*quoted)
+    return alone.unionByName(equal).select(*whole)

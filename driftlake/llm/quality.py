@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import WS, WS_CHARS, table, unused
+from driftlake.llm.common import WS, WS_CHARS, quoted, table, unused
 
 #: Bit of each rule in the ledger. Bits are never reused: a retired rule leaves a hole.
 RULES = {
@@ -44,6 +44,8 @@ class Policy:
 BASE = Policy("base", ("too_few_words", "repeated_windows"))
 V1 = Policy("v1", tuple(RULES))
 
+#: Measurements of the ledger.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs")
 #: Words of a document whose position fits beside the hash of its window in one long.
 _INDEX_BITS = 24
 _LOW = (1 << _INDEX_BITS) - 1
@@ -62,8 +64,7 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     t_, trim_, words_, packed_, suspects_, grams_, lines_ = own = unused(docs.columns, "t", "trim", "words", "packed", "suspects", "grams", "lines")
     trimmed = F.btrim(t, F.lit(WS_CHARS))
-    measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs"]
-    df = docs.drop(*[c for c in measured if c in docs.columns])
+    df = docs.drop(*[c for c in MEASURED if c in docs.columns])
     df = df.withColumn(t_, t).withColumn(trim_, trimmed)
     df = df.withColumn(words_, F.when(F.col(trim_) == "", F.array().cast("array<string>")).otherwise(F.split(trim_, WS)))
     df = df.withColumn("n_words", F.size(words_).cast("long"))
@@ -117,6 +118,14 @@ def apply_policy(entries: DataFrame, policy: Policy = V1, column: str = "kept")
     return entries.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def keep(docs: DataFrame, policy: Policy = V1, text: str = "text") -> DataFrame:
+    """The rows of `docs` that `policy` keeps, with their own columns, also those that the ledger has too."""
+    plain, kept = unused([*docs.columns, *MEASURED, "fail_bits"], "plain", "kept")
+    whole = F.struct(*quoted(docs.columns))
+    entries = ledger(docs.select(whole.alias(plain), *quoted([text])), text)
+    return apply_policy(entries, policy, kept).where(F.col(kept)).select(f"{plain}.*")
+
+
 def ablation(entries: DataFrame, policy: Policy = V1) -> DataFrame:
     """For each rule of `policy`: failures, documents that only it rejects, and documents kept without it.
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import drop, materialise, shuffle_partitions, table, trimming
+from driftlake.llm.common import drop, materialise, quoted, shuffle_partitions, table, trimming
 
 LENGTH = 400
 #: Bytes that decide an anchor at most, and bytes of a k-mer.
@@ -524,7 +524,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     Characters of which a cut leaves only a part go with it; a null text stays null; no row goes.
     """
     others = [c for c in docs.columns if c != text]
-    src = docs.select(F.lit(None).alias("_id") if not others else F.struct(*others).alias("_all"), F.col(text).isNull().alias("_null"), text)
+    src = docs.select(F.lit(None).alias("_id") if not others else F.struct(*quoted(others)).alias("_all"), F.col(text).isNull().alias("_null"), text)
     both = _found(src, src.columns[0], text, length, HOT, ("_null",))
 
     def run(batches):
@@ -537,7 +537,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     from pyspark.sql.types import StringType, StructField, StructType
 
     back = both.mapInArrow(trimming(run), StructType([both.schema["id"], StructField("t", StringType())]))
-    cols = {c: F.col(f"id.`{c}`") for c in others} | {text: F.col("t")}
+    cols = {c: F.col("id")[c] for c in others} | {text: F.col("t")}
     if n_chars in cols:
         kind = docs.schema[n_chars].dataType
         cols[n_chars] = F.when(F.col("t").isNull(), cols[n_chars]).otherwise(F.length("t")).cast(kind)

@@ -118,6 +118,21 @@ def test_stages_on_odd_rows(spark, sf, tmp_path):
     assert np.array_equal(quality.V1.mask, 63)
 
 
+def test_stages_keep_columns_of_any_name(spark, sf, tmp_path):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(120)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = {"n_words": "own", "kept": "own", "fail_bits": "own", "items": "own", "k1": "own", "plain": "own", "a.b": "own", "found": "own", "_all": "own"}
+    docs = docs.selectExpr("*", *[f"'{v}' AS `{k}`" for k, v in odd.items()])
+    now = docs
+    for _, f in cp.STAGES[:-1]:
+        path = new_path(spark, "t")
+        f(spark, now, sf).write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.columns == docs.columns
+    assert sorted(r.doc_id for r in now.collect()) == [0, 1, 2] and all(r[k] == v for r in now.collect() for k, v in odd.items())
+
+
 def test_quality_ledger_odd_rows_and_ablation(spark):
     rows = [(1, None), (2, ""), (3, "a b c " * 60), (3, "a b c " * 60), (4, " ".join(f"w{i}" for i in range(60)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 AS n_words", "'x' AS fail_bits", "1 AS kept", "2 AS n_lines")
