@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.llm import bpe, decontaminate, near_copies, quality, suffix_dedup
-from driftlake.llm.common import drop_path, new_path, table
+from driftlake.llm.common import drop_path, new_path, quoted, shuffles_dropped, table, unused
 
 #: Bytes of a passage that counts as repeated: fifty short words.
 PASSAGE = 200
@@ -18,7 +18,7 @@ PASSAGE = 200
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy v1 keeps."""
-    return quality.apply_policy(quality.ledger(docs), quality.V1).where("kept").select(*docs.columns)
+    return quality.keep(docs, quality.V1)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), out="_items")
-    return found.where(F.size("_items") == 0).select(*docs.columns)
+    (items,) = unused(docs.columns, "items")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), out=items)
+    return found.where(F.size(items) == 0).select(*quoted(docs.columns))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage{i}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shuffles_dropped(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             drop_path(spark, before)
