@@ -186,7 +186,7 @@ class LibraryEncoder:
     _RUNS = regex.compile(r" ?\p{L}+|\P{L}+")
     _TWO = re.compile(r"\s\s")
 
-    def __init__(self, path: str, size: int = 1 << 18):
+    def __init__(self, path: str, size: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -198,6 +198,8 @@ class LibraryEncoder:
         self.chars = {b: c for c, b in byte_chars().items()}
         self.size, self.seen, self.old = size, {}, {}
         self.runs = Cache(self._run, size)
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(65)]
+        self.space = self.chars[32]
 
     def _library(self, text: str) -> bytes:
         ids = self.lib.encode(text, add_special_tokens=False).ids
@@ -206,8 +208,12 @@ class LibraryEncoder:
     def _run(self, run: str) -> bytes:
         if not run[-1].isalpha():
             return self._library(run)
-        ids = [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.chars))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._word(run.encode().decode("latin-1").translate(self.chars))
+
+    def _word(self, chars: str) -> bytes:
+        """Tokens of a run of letters, given as the characters that stand for its bytes."""
+        ids = [t.id for t in self.model.tokenize(chars)]
+        return self.packs[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
         if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
@@ -222,14 +228,26 @@ class LibraryEncoder:
         seen = self.seen
         first, *parts = text.split(" ")
         new = set(parts).difference(seen)
-        if not first or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+        if not first or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new if not p.isalpha()):
             return self._library(text)
         if len(seen) + len(new) > self.size:
             self.old, seen = seen, {p: seen[p] for p in parts if p in seen}
             self.seen = seen
         long = [p for p in new if len(p) >= 256]
+        old, word, part, space = self.old, self._word, self._part, self.space
         for p in new:
-            seen[p] = self.old.get(p) or self._part(" " + p)
+            ids = old.get(p)
+            if ids is None:  # ASCII letters stand for themselves
+                if p.isascii():
+                    if p.isalpha():
+                        ids = word(space + p)
+                    elif p[-1] in ".," and p[:-1].isalpha():
+                        ids = (seen.get(p[:-1]) or old.get(p[:-1]) or word(space + p[:-1])) + self.runs[p[-1]]
+                    else:
+                        ids = part(" " + p)
+                else:
+                    ids = part(" " + p)
+            seen[p] = ids
         out = self._part(first) + b"".join(map(seen.__getitem__, parts))
         for p in long:
             del seen[p]
