@@ -134,6 +134,9 @@ class Vocabulary:
         return [x for x, dead in zip(ids, gone, strict=True) if not dead]
 
 
+_STOPS = (".", ",")
+
+
 class _Odd(Exception):
     """White space beside a space: the text can't be cut at every space."""
 
@@ -173,14 +176,25 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        # a word before a stop is made from the word itself, and would only take its place
-        if len(key) < 256 and not (key[-1:] in (".", ",") and key[1:-1].isalpha()):
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+        if len(key) < 256:
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class _Words(Cache):
+    """Parts of text; a word before a stop is made from the word itself, and would only take its place."""
+
+    def __missing__(self, key):
+        if key[-1:] in _STOPS and key[1:-1].isalpha():
+            return self.make(key)
+        return super().__missing__(key)
+
 
 class Encoder:
     """Text to token ids; feed() takes pieces of a text, finish() ends it. ids come as bytes of little-endian uint32."""
@@ -189,7 +203,7 @@ class Encoder:
         self.vocab = vocab
         self._matches = Cache(self._match)
         self._units = Cache(self._unit)
-        self._spaced = Cache(self._spaced_unit)
+        self._spaced = _Words(self._spaced_unit)
         self.longest = max(map(len, vocab.special), default=0)
         self._reset()
 
