@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from driftlake.llm import bpe, chat, decontaminate, langid, lm, quality, simhash, suffix_dedup, token_store, warc
 
 _OPS = {
-    "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, None),
+    "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, suffix_dedup.SQL),
     "op2_simhash": (simhash.op2_simhash, None),
     "op3_token_store": (token_store.op3_token_store, None),
     "op4_language_id": (langid.op4_language_id, None),
@@ -15,14 +14,13 @@ _OPS = {
     "op7_lm_score": (lm.op7_lm_score, None),
     "op8_bpe": (bpe.op8_bpe, None),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
-    "op10_warc": (warc.op10_warc, None),
+    "op10_warc": (warc.op10_warc, warc.SQL),
 }
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _OPS.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: f for name, (f, _) in _OPS.items()}
 
 
 def oracle_sql() -> dict:
-    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {name: sql for name, (_, sql) in _OPS.items() if sql} | pipeline
+    return {name: sql for name, (_, sql) in _OPS.items() if sql}

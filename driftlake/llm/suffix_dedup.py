@@ -555,6 +555,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: DuckDB: all strings of 400 bytes by their digests, runs of those that occur again, and what is left.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, md5(b[p + 1 : p + 400]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 399)) AS p FROM d WHERE octet_length(b) >= 400)),
+r AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r) GROUP BY ALL),
+e AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM s GROUP BY 1),
+k AS (SELECT d.doc_id, octet_length(b) AS n, coalesce(len(a), 0) AS spans, b, list_prepend(0, coalesce(z, [])) AS f, list_append(coalesce(a, []), octet_length(b)) AS t FROM d LEFT JOIN e USING (doc_id)),
+q AS (SELECT doc_id, n, spans, unhex(list_aggregate(list_transform(range(1, len(f) + 1), lambda i: hex(b[f[i] + 1 : t[i]])), 'string_agg', '')) AS kept FROM k)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - octet_length(kept))::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(kept) AS kept_sha256 FROM q
+"""
+
+
 def brute_removed(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """The definition, for tests: the removed runs of each text."""
     seen: dict[bytes, int] = {}

@@ -92,3 +92,23 @@ def test_chat_odd_rows(spark):
     assert d[2].formatted_chars == len(text)
     assert d[2].loss_sha256 == hashlib.sha256("é<\\|x\n".encode()).hexdigest()
     assert chat.digests(chat.read_chats(chat.format_chats(df.where("false")))).count() == 0
+
+
+def test_bundles_are_read_in_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for k in range(16):
+        w = warc.BundleWriter(f"file://{tmp_path}", f"b{k}")
+        rows += w.add(str(k), warc.record(str(k), "http://x/", b"payload", None, "2020-01-01T00:00:00Z")) + w.end()
+    index = spark.createDataFrame(rows, warc.INDEX)
+    got = warc.read(index).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.page_id for r in got} == {str(k) for k in range(16)} and len(got) == 16
+    assert len({r.task for r in got}) >= 3  # of four partitions
+
+
+def test_a_payload_that_most_pages_have(spark):
+    rows = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {int(r.page_id): (r.record_type, r.refers_to) for r in warc.read(warc.write(df, new_path(spark, "w"))).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 299 else ("revisit", "299") for i in range(300)}
