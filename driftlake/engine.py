@@ -78,12 +78,12 @@ def _pairs_of(frames: list[int], block: int, size: int, reference: str, lags: tu
     return [(t, t + k) for t in frames if lo <= t < lo + size for k in lags if t + k in there]
 
 
-def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", starts: DataFrame | None = None, masks: DataFrame | None = None, coarse: bool = False) -> DataFrame:
+def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", starts: DataFrame | None = None, masks: DataFrame | None = None, coarse: bool = False, angles: DataFrame | None = None) -> DataFrame:
     """Fits of all planned pairs.
 
     starts (recording_id, frame, x, y, theta): poses to refine from instead of a search; a pair that is refused so is
     fitted again from a search. masks (recording_id, mask): pixels of the reference that count, brought to each frame by
-    its start. coarse: only the smallest level of a deep pyramid, with a bound of half its side; moves at full size.
+    its start. angles (recording_id, frame, angle): turns that are known and held. coarse: only the smallest level of a deep pyramid, with a bound of half its side; moves at full size.
     """
     if reference not in REFERENCES:
         raise ValueError(f"unknown reference {reference}")
@@ -93,11 +93,13 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
         raise ValueError("masks need starts")
     own = (1,) if reference == "CONSECUTIVE" else lags
     names = [c.split()[0] for c in PAIR.split(", ")]
-    started, masked = starts is not None, masks is not None
+    started, masked, turned = starts is not None, masks is not None, angles is not None
     kind = planes.schema["recording_id"].dataType.simpleString()
     p = planes.select("recording_id", "frame", "height", "width", "pixels")
     if starts is not None:
         p = p.join(starts.select("recording_id", "frame", "x", "y", "theta"), ["recording_id", "frame"], "left")
+    if turned:
+        p = p.join(angles.select("recording_id", "frame", "angle"), ["recording_id", "frame"], "left")
     if masks is not None:
         p = p.join(masks.select("recording_id", "mask"), "recording_id", "left")
 
@@ -125,10 +127,11 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
                 each = [kmasks.projected(m, len(stacks), q if np.isfinite(q).all() else np.zeros(3)) for q in poses]
                 support = [np.stack([x[level] for x in each]) for level in range(len(stacks))]
             ia, ib = (np.array([place[q[k]] for q in pairs]) for k in (0, 1))
-            fits = fit.log_ratio_rows(stacks, ia, stacks, ib, at, start, masks=support)
+            theta = np.nan_to_num([rows[j].angle - rows[i].angle for i, j in zip(ia, ib, strict=True)]) if turned else None
+            fits = fit.log_ratio_rows(stacks, ia, stacks, ib, at, start, theta, support)
             again = [k for k, f in enumerate(fits) if started and not f.usable]
             if again:
-                for k, f in zip(again, fit.log_ratio_rows(stacks, ia[again], stacks, ib[again], at, masks=support), strict=True):
+                for k, f in zip(again, fit.log_ratio_rows(stacks, ia[again], stacks, ib[again], at, None, None if theta is None else theta[again], support), strict=True):
                     fits[k] = f
         else:
             pyramids = [fit.prepare(a, options) for a in arrays]
@@ -141,6 +144,42 @@ def fit_pairs(planes: DataFrame, options: fit.Options = fit.Options(), reference
     return _dealt(_blocks(p, reference, max(own))).applyInPandas(run, PAIR.replace("{id}", kind))
 
 
+EVENT = "recording_id {id}, event_frame int, delta double, pairs int, usable int, inliers int, spread double, status string"
+
+
+def event_rotations(planes: DataFrame, events: DataFrame, options: fit.Options = fit.Options(), window: int = 3, filter_: str = "NONE") -> DataFrame:
+    """(EVENT) turns at known events (recording_id, event_frame): rigid fits of all frames within `window` before an event
+    with those behind it; near pairs with much overlap weigh more. Each event is a task of its own."""
+    if window < 1:
+        raise ValueError("the window has a frame at least")
+    kind, o = planes.schema["recording_id"].dataType.simpleString(), replace(options, rotation=True, estimator="LOG_RATIO_FIT")
+    near = events.select("recording_id", "event_frame", F.explode(F.sequence(F.col("event_frame") - window, F.col("event_frame") + (window - 1))).alias("frame"))
+    p = planes.select("recording_id", "frame", "height", "width", "pixels").join(near, ["recording_id", "frame"])
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("frame").itertuples())
+        before, after = ([i for i, r in enumerate(rows) if (r.frame < key[1]) == side] for side in (True, False))
+        pairs, good = [(i, j) for i in before for j in after], []
+        if pairs:
+            stacks = fit.prepare_stack([_array(r, filter_) for r in rows], o)
+            fits = fit.log_ratio_rows(stacks, np.array([q[0] for q in pairs]), stacks, np.array([q[1] for q in pairs]), o)
+            good = [(f, rows[j].frame - rows[i].frame) for f, (i, j) in zip(fits, pairs, strict=True) if f.usable and "ROTATION_BOUND" not in f.status]
+        got = solve.event_turn([f.theta for f, _ in good], [max(1e-6, f.valid_fraction) / (gap + 1) for f, gap in good], o.max_rotation)
+        return pd.DataFrame([(key[0], int(key[1]), got["delta"], len(pairs), len(good), got["inliers"], got["spread"], got["status"])], columns=[c.split()[0] for c in EVENT.split(", ")])
+
+    return p.groupBy("recording_id", "event_frame").applyInPandas(run, EVENT.replace("{id}", kind))
+
+
+def event_angles(frames: DataFrame, turns: DataFrame) -> DataFrame:
+    """(recording_id, frame, angle): the sum of the turns of all events up to a frame; events without a turn add none."""
+    from pyspark.sql import Window
+
+    steps = turns.select("recording_id", F.col("event_frame").alias("frame"), F.nanvl("delta", F.lit(0.0)).alias("turn"))
+    j = frames.select("recording_id", "frame").join(steps, ["recording_id", "frame"], "left")
+    so_far = Window.partitionBy("recording_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return j.select("recording_id", "frame", F.sum(F.coalesce("turn", F.lit(0.0))).over(so_far).alias("angle"))
+
+
 def shift_bound(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE") -> DataFrame:
     """(recording_id, largest, suggested, resolution, pairs): the largest move that a coarse pass measures, and a bound for it."""
     pairs = fit_pairs(planes, options, reference, lags, filter_, coarse=True).where("status <> 'REFUSED_LOW_OVERLAP'")
@@ -266,34 +305,44 @@ def reconcile(pairs: DataFrame, frames: DataFrame, reference: str = "MULTILAG",
     return got.join(frames.select("recording_id", F.col("frame").cast("int").alias("frame")), ["recording_id", "frame"], "left_semi")
 
 
-def repaired(poses: DataFrame, outlier_mads: float = 6.0) -> DataFrame:
-    """Poses with unsupported frames and outlier steps filled from their trusted neighbours."""
+def repaired(poses: DataFrame, outlier_mads: float = 6.0, protected: DataFrame | None = None) -> DataFrame:
+    """Poses with unsupported frames and outlier steps filled from their trusted neighbours; steps to `protected` frames
+    (recording_id, frame) are no outliers."""
     p = repair.outliers(poses, outlier_mads) if outlier_mads else poses.withColumn("outlier", F.lit(False))
+    if protected is not None:
+        p = p.join(protected.select("recording_id", "frame", F.lit(True).alias("_safe")).distinct(), ["recording_id", "frame"], "left")
+        p = p.withColumn("outlier", F.col("outlier") & F.col("_safe").isNull()).drop("_safe")
     p = p.withColumn("trusted", (F.col("frame") == 0) | ((F.col("support") > 0) & ~F.col("outlier")))
     why = F.when(F.col("trusted"), F.lit(None)).when(F.col("support") > 0, "OUTLIER_STEP").otherwise("UNSUPPORTED")
     f = repair.fill(p).withColumn("repair", why)
     return f.select("recording_id", "frame", F.col("x_filled").alias("dx"), F.col("y_filled").alias("dy"), "theta", "support", "repair")
 
 
-def estimate(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", weighting: str = "EQUAL", outlier_mads: float = 6.0, channel: int = 1, slice_: int = 0, mask: str | None = None, mask_percent: float = 25.0, warm: bool = False) -> tuple[DataFrame, DataFrame]:
+def estimate(planes: DataFrame, options: fit.Options = fit.Options(), reference: str = "MULTILAG", lags: tuple[int, ...] = LAGS, filter_: str = "NONE", weighting: str = "EQUAL", outlier_mads: float = 6.0, channel: int = 1, slice_: int = 0, mask: str | None = None, mask_percent: float = 25.0, warm: bool = False, events: DataFrame | None = None, event_window: int = 3) -> tuple[DataFrame, DataFrame]:
     """(trajectory, pairs) of all recordings.
 
     mask: a strategy by which pixels are left out of a second pass, which starts from the first one's poses. warm: longer
-    lags start from the poses that lag 1 gives.
+    lags start from the poses that lag 1 gives. events (recording_id, event_frame): frames where recordings are known to
+    turn; the turns are measured first, then held, and steps to these frames are kept.
     """
     frames = planes.select("recording_id", "frame", "height", "width").distinct()
     if weighting in ("UNCERTAINTY", "COMBINED"):
         options = replace(options, uncertainty=True)
     p = estimation_planes(planes, channel, slice_)
+    angles = safe = None
+    if events is not None:
+        angles = event_angles(frames, event_rotations(p, events, options, event_window, filter_))
+        safe = events.select("recording_id", F.col("event_frame").alias("frame"))
+        options = replace(options, rotation=False)
     if warm and reference == "MULTILAG":
         first = fit_pairs(p, options, "CONSECUTIVE", filter_=filter_)
         pairs = fit_pairs(p, options, reference, lags, filter_, _as_starts(repaired(reconcile(first, frames, "CONSECUTIVE"), outlier_mads)))
     else:
-        pairs = fit_pairs(p, options, reference, lags, filter_)
+        pairs = fit_pairs(p, options, reference, lags, filter_, angles=angles)
     if mask is not None and mask_percent > 0:
-        starts = _as_starts(repaired(reconcile(pairs, frames, reference, weighting), outlier_mads))
-        pairs = fit_pairs(p, options, reference, lags, filter_, starts, pixel_masks(p, mask, mask_percent, starts, lags, options.epsilon))
-    return repaired(reconcile(pairs, frames, reference, weighting), outlier_mads), pairs
+        starts = _as_starts(repaired(reconcile(pairs, frames, reference, weighting), outlier_mads, safe))
+        pairs = fit_pairs(p, options, reference, lags, filter_, starts, pixel_masks(p, mask, mask_percent, starts, lags, options.epsilon), angles=angles)
+    return repaired(reconcile(pairs, frames, reference, weighting), outlier_mads, safe), pairs
 
 
 def _as_starts(trajectory: DataFrame) -> DataFrame:

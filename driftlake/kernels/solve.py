@@ -231,6 +231,18 @@ def robust(n: int, edges, radius: float = 1.0) -> tuple[np.ndarray, np.ndarray,
     return got["poses"], got["support"], got["factor"]
 
 
+def least_squares(n: int, edges) -> np.ndarray:
+    """(frames, 2) translations by plain least squares over (from, to, dx, dy); frames that no path joins to the first are an error."""
+    design, y = np.zeros((len(edges), n)), np.array([e[2:4] for e in edges], float).reshape(-1, 2)
+    for k, (a, b, *_) in enumerate(edges):
+        design[k, a] -= 1
+        design[k, b] += 1
+    found, _, rank, _ = np.linalg.lstsq(design[:, 1:], y, rcond=None)
+    if rank != n - 1:
+        raise ValueError(f"the graph has rank {rank}, not {n - 1}")
+    return np.concatenate([np.zeros((1, 2)), found])
+
+
 def known_angles(poses: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Poses with the angles replaced by known ones."""
     return np.column_stack([poses[:, :2], theta])
@@ -268,21 +280,30 @@ def fixed(n: int, edges, reference: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return poses, support
 
 
-def event_angle(angles, weights, max_rotation: float, rounds: int = 20) -> tuple[float, str]:
-    """The turn at a known event from fits across it: a weighted circular median, then a Huber circular mean."""
-    a, w = np.asarray(angles, float), np.maximum(np.asarray(weights, float), 1e-6)
+def event_turn(angles, weights, max_rotation: float, rounds: int = 20) -> dict:
+    """The turn at a known event from fits across it: a weighted circular median, then a Huber circular mean.
+
+    delta and spread are NaN with fewer than three fits; inliers are those within the Huber bound of the result.
+    """
+    a, w = np.asarray(angles, float), np.maximum(np.asarray(weights, float), 1e-12)
     if len(a) < 3:
-        return 0.0, "INSUFFICIENT_SUPPORT"
+        return {"delta": float("nan"), "spread": float("nan"), "inliers": 0, "status": "INSUFFICIENT_SUPPORT"}
     wrap = lambda x: np.arctan2(np.sin(x), np.cos(x))
     mid = min(a, key=lambda c: float(np.sum(w * np.abs(wrap(a - c)))))
+    spread = np.sort(np.abs(wrap(a - mid)))[len(a) // 2]
+    bound = 1.345 * max(1e-9, 1.4826 * spread)
     for _ in range(rounds):
-        r = wrap(a - mid)
-        s = max(1.4826 * np.sort(np.abs(r))[len(r) // 2], 1e-6)
-        k = w * np.minimum(1.0, 1.345 * s / np.maximum(np.abs(r), 1e-12))
+        k = w * np.minimum(1.0, bound / np.maximum(np.abs(wrap(a - mid)), 1e-300))
         new = np.arctan2(np.sum(k * np.sin(a)), np.sum(k * np.cos(a)))
-        done = abs(wrap(new - mid)) < 1e-9
+        done = abs(wrap(new - mid)) < 1e-12
         mid = new
         if done:
             break
-    spread = np.sort(np.abs(wrap(a - mid)))[len(a) // 2]
-    return float(mid), "HIGH_DISAGREEMENT" if spread > 0.25 * max_rotation else "OK"
+    inliers = int((np.abs(wrap(a - mid)) <= bound + 1e-12).sum())
+    return {"delta": float(wrap(mid)), "spread": float(spread), "inliers": inliers, "status": "HIGH_DISAGREEMENT" if spread > 0.25 * max_rotation else "OK"}
+
+
+def event_angle(angles, weights, max_rotation: float) -> tuple[float, str]:
+    """(turn, status) of event_turn(); no turn without support."""
+    got = event_turn(angles, weights, max_rotation)
+    return (0.0 if np.isnan(got["delta"]) else got["delta"]), got["status"]

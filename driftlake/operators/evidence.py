@@ -21,12 +21,13 @@ GRID_MASKS = ("NONE", "LEAST_INFORMATIVE_25")
 
 def recipe_grid(spark) -> DataFrame:
     """(estimator, support, band, floor, ceiling, filter, mask): 96 log-ratio recipes, 16 of area correlation, 16 of its Newton form."""
-    one = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    bands = spark.createDataFrame(list(GRID_BANDS), "band string, floor double, ceiling double")
-    wide = one(GRID_SUPPORTS, "support").crossJoin(bands).crossJoin(one(GRID_FILTERS, "filter")).crossJoin(one(GRID_MASKS, "mask"))
-    plain = bands.crossJoin(one(GRID_FILTERS, "filter")).crossJoin(one(("AREA_CORRELATION", "AREA_CORRELATION_NEWTON"), "estimator"))
-    plain = plain.withColumns({"support": F.lit("ALL"), "mask": F.lit("NONE")})
-    return wide.withColumn("estimator", F.lit("LOG_RATIO_FIT")).unionByName(plain)
+    each = lambda df, name, values: df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    nothing = F.lit(None).cast("double")
+    bands = F.array(*[F.struct(F.lit(n).alias("band"), (nothing if lo is None else F.lit(lo)).alias("floor"), (nothing if hi is None else F.lit(hi)).alias("ceiling")) for n, lo, hi in GRID_BANDS])
+    base = each(spark.range(0, 1, 1, 1).select(F.explode(bands).alias("b")).select("b.*"), "filter", GRID_FILTERS)
+    wide = each(each(base, "support", GRID_SUPPORTS), "mask", GRID_MASKS).withColumn("estimator", F.lit("LOG_RATIO_FIT"))
+    plain = each(base, "estimator", ("AREA_CORRELATION", "AREA_CORRELATION_NEWTON")).withColumns({"support": F.lit("ALL"), "mask": F.lit("NONE")})
+    return wide.unionByName(plain)
 
 
 def in_distribution(df: DataFrame, features: list[str], model: DataFrame) -> DataFrame:
@@ -90,6 +91,26 @@ def linearity(poses: DataFrame) -> DataFrame:
     return poses.groupBy("recording_id").agg(F.sqrt(F.greatest(F.lit(0.0), (part("x") + part("y")) / F.count(F.lit(1)))).alias("residual"))
 
 
+def filter_choice(scores: dict[str, Column], thresholds: dict[str, float]) -> Column:
+    """The recipe of the filter rules: a mask first (with the median where that clears too), then the median, then the
+    narrow and the wide Gaussian; scores and thresholds by "mask", "median_mask", "median", "gaussian_0_7", "gaussian_1_0"."""
+    over = {k: F.coalesce(scores[k] > thresholds[k], F.lit(False)) for k in scores}
+    return (
+        F.when(over["mask"] & over["median_mask"], "MEDIAN_3X3_AND_SPATIAL_MASK_25").when(over["mask"], "SPATIAL_MASK_25").when(over["median"], "MEDIAN_3X3")
+        .when(over["gaussian_0_7"], "GAUSSIAN_0_7").when(over["gaussian_1_0"], "GAUSSIAN_1_0").otherwise("NONE")
+    )
+
+
+def weighting_choice(gains: DataFrame, threshold: float, fixed_only: bool = True) -> DataFrame:
+    """(recording_id, weighting, fallback): the weighting with the best predicted gain (columns uncertainty, robust, combined)
+    if it clears the threshold; a model that is fixed_only always falls back to EQUAL."""
+    names = ("UNCERTAINTY", "ROBUST", "COMBINED")
+    long = gains.select("recording_id", F.explode(F.array(*[F.struct(F.col(n.lower()).alias("gain"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(names)])).alias("g"))
+    best = long.groupBy("recording_id").agg(F.max("g").alias("g"))
+    ok = F.coalesce(F.col("g.gain") >= threshold, F.lit(False)) & F.lit(not fixed_only)
+    return best.select("recording_id", F.when(ok, F.col("g.name")).otherwise("EQUAL").alias("weighting"), (~ok).alias("fallback"))
+
+
 def sparse_score(pixels: Column) -> Column:
     """Where the median lies between the first and the last percentile."""
     low, high = nearest_rank(pixels, 0.01), nearest_rank(pixels, 0.99)

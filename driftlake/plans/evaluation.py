@@ -318,3 +318,19 @@ def rotation_selector(spark, sf):
     names = F.array(*[F.lit(x) for x in ("PHASE_CONTRAST", "BRIGHTFIELD_DIC", "DENSE_FLUORESCENCE", "SPARSE_LOW_LIGHT_FLUORESCENCE", "FIDUCIAL_STATIC")])
     p = poses(spark, sf).where("frame < 4").groupBy("recording_id").agg(F.max("y").alias("far")).withColumn("image", F.get(names, (F.col("recording_id") % 5).cast("int")))
     return p.select("recording_id", "image", evidence.rotation_gain(F.col("image"), F.col("far") - 3).alias("least_gain"))
+
+
+@query("""WITH f AS (SELECT recording_id, avg(x) AS fx, avg(y) AS fy, max(x) AS top FROM @poses GROUP BY 1)
+  SELECT recording_id, CASE WHEN fx > 260 AND fy > 3 THEN 'MEDIAN_3X3_AND_SPATIAL_MASK_25' WHEN fx > 260 THEN 'SPATIAL_MASK_25' WHEN fy > 3.2 THEN 'MEDIAN_3X3'
+    WHEN top > 495 THEN 'GAUSSIAN_0_7' WHEN top > 470 THEN 'GAUSSIAN_1_0' ELSE 'NONE' END AS recipe FROM f""")
+def filter_selector(spark, sf):
+    scores = {"mask": F.col("fx"), "median_mask": F.col("fy"), "median": F.col("fy"), "gaussian_0_7": F.col("top"), "gaussian_1_0": F.col("top")}
+    least = {"mask": 260.0, "median_mask": 3.0, "median": 3.2, "gaussian_0_7": 495.0, "gaussian_1_0": 470.0}
+    return _features(spark, sf).select("recording_id", evidence.filter_choice(scores, least).alias("recipe"))
+
+
+@query("""WITH g AS (SELECT recording_id, avg(x) / 100 AS u, avg(y) AS r, max(x) / 200 AS c FROM @poses GROUP BY 1)
+  SELECT recording_id, CASE WHEN greatest(u, r, c) < 2.6 THEN 'EQUAL' WHEN u = greatest(u, r, c) THEN 'UNCERTAINTY' WHEN r = greatest(u, r, c) THEN 'ROBUST' ELSE 'COMBINED' END AS weighting, greatest(u, r, c) < 2.6 AS fallback FROM g""")
+def reconciliation_selector(spark, sf):
+    f = _features(spark, sf).select("recording_id", (F.col("fx") / 100).alias("uncertainty"), F.col("fy").alias("robust"), (F.col("top") / 200).alias("combined"))
+    return evidence.weighting_choice(f, 2.6, fixed_only=False)

@@ -219,6 +219,13 @@ def test_known_graphs():
     assert abs(got["poses"][3, 0] - 3) < 0.01
 
 
+def test_plain_least_squares_checks_the_rank():
+    edges = [(0, 1, 1.0, 0.0), (1, 2, 1.0, 1.0), (0, 2, 2.1, 1.0)]
+    assert np.allclose(solve.least_squares(3, edges), solve.reconciled(3, [(*e, 0.0) for e in edges], rotation=False)["poses"][:, :2], atol=1e-6)
+    with pytest.raises(ValueError, match="rank"):
+        solve.least_squares(4, edges)
+
+
 @pytest.mark.parametrize("name", ["registration_report", "robust_trajectory"])
 def test_flagship_queries_give_what_plain_loops_give(spark, sf, name):
     """The registered queries, held against fits of single pairs, dense solutions and repair in plain Python."""
@@ -272,3 +279,21 @@ def test_flagship_queries_give_what_plain_loops_give(spark, sf, name):
         assert (r["frames"], r["pairs"], r["repaired"], r["refused"]) == (n, len(fits), n - len(at), len(fits) - len(used))
         assert r["at_bound"] == sum(x.status.startswith("AT") for x in fits.values())
         assert np.allclose([r["largest_move"], r["residual_before"], r["residual_after"]], [np.hypot(*poses.T).max(), mid("residual_before"), mid("residual_after")], atol=2e-5)
+
+
+def test_known_rotation_events(spark):
+    from driftlake import engine
+
+    turns = [0.0 if t < 4 else 0.05 for t in range(8)]
+    rows = [("r", t, 64, 64, analytic(0.35 * t, -0.22 * t, turns[t], gain=2 ** (-t / 20), w=64).ravel().tolist()) for t in range(8)]
+    p = spark.createDataFrame(rows, "recording_id string, frame int, height int, width int, pixels array<float>")
+    events = spark.createDataFrame([("r", 4)], "recording_id string, event_frame int")
+    o = fit.Options(max_shift=8, max_rotation=np.radians(5))
+    (e,) = engine.event_rotations(p, events, o, 2).collect()
+    assert abs(e.delta - 0.05) < 0.002 and (e.pairs, e.status) == (4, "OK") and e.usable == 4
+    t, pairs = engine.estimate(p, o, lags=(1, 2, 4), events=events, event_window=2)
+    got = sorted(t.collect(), key=lambda r: r.frame)
+    assert all(abs(r.theta - turns[r.frame]) < 0.003 for r in got)
+    assert max(np.hypot(r.dx - 0.35 * r.frame, r.dy + 0.22 * r.frame) for r in got) < 0.15
+    few = solve.event_turn([0.1, 0.1], [1, 1], 0.2)
+    assert few["status"] == "INSUFFICIENT_SUPPORT" and np.isnan(few["delta"])

@@ -64,6 +64,10 @@ def test_reports(spark, tmp_path):
         reports.scan_csv(spark, f"{tmp_path}/t", ("nothing",))
     rep = spark.createDataFrame([("a.tif", "completed", "o.tif", 0.5, float("nan"), None)], "path string, status string, out string, residual_before double, residual_after double, message string")
     got = reports.batch_rows(rep, "LOG_RATIO_FIT")
+    long = reports.batch_long_rows(rep, selection_mode="MANUAL", fit_rotation=False)
+    assert tuple(long.columns) == reports.BATCH_LONG and len(reports.BATCH_LONG) == 26 and (long.first().selection_mode, long.first().error) == ("MANUAL", "")
+    with pytest.raises(ValueError):
+        reports.batch_long_rows(rep, other=1)
     assert tuple(got.columns) == reports.BATCH and got.first()[:6] == ("a.tif", "o.tif", "completed", "0.000000", "0.5", "")
 
 
