@@ -1,4 +1,4 @@
-"""TIFF stacks: a reader (plain, Deflate and PackBits; ImageJ and OME axes) and a writer, and a folder scan that isolates
+"""TIFF stacks: a reader (plain, Deflate, LZW and PackBits; ImageJ and OME axes) and a writer, and a folder scan that isolates
 files which can't be read."""
 
 from __future__ import annotations
@@ -30,7 +30,35 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-_UNPACK = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+def _lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, the first bit first; a width ends one code before it is full."""
+    out, held, n, width, last = bytearray(), 0, 0, 9, b""
+    words = [bytes([i]) for i in range(256)] + [b"", b""]
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & (1 << n) - 1
+        if code == 257:
+            break
+        if code == 256:
+            del words[258:]
+            width, last = 9, b""
+            continue
+        if code > len(words) or code == len(words) and not last:
+            raise ValueError("the packed strip is damaged")
+        word = words[code] if code < len(words) else last + last[:1]
+        if last:
+            words.append(last + word[:1])
+        out += word
+        last = word
+        if len(words) + 1 >= 1 << width and width < 12:
+            width += 1
+    return bytes(out)
+
+
+_UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
 
 
 def read(data: bytes) -> tuple[list[np.ndarray], str]:

@@ -12,9 +12,31 @@ from driftlake.sources import raw, reports, tiff
 from tests.test_registration import analytic
 
 
+def lzw(data):
+    """Packs by the published rules: a clear code first, widths that grow early, a clear code when the table is full."""
+    bits, words, free, width, w = "", {}, 258, 9, b""
+    bits += f"{256:0{width}b}"
+    code = lambda x: x[0] if len(x) == 1 else words[x]
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if w and w + c not in words:
+            bits += f"{code(w):0{width}b}"
+            words[w + c], free, w = free, free + 1, b""
+            if free == 4094:
+                bits += f"{256:0{width}b}"
+                words, free, width = {}, 258, 9
+            elif free > (1 << width) - 1:
+                width += 1
+        w += c
+    bits += f"{code(w):0{width}b}"
+    width += free + 1 > (1 << width) - 1
+    bits += f"{257:0{width}b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
 def packed(page, how, said=b""):
     """A one-page TIFF whose strip is compressed."""
-    body = {8: zlib.compress, 32773: lambda b: b"".join(bytes([min(len(b) - i, 128) - 1]) + b[i : i + 128] for i in range(0, len(b), 128))}[how](page.tobytes())
+    body = {5: lzw, 8: zlib.compress, 32773: lambda b: b"".join(bytes([min(len(b) - i, 128) - 1]) + b[i : i + 128] for i in range(0, len(b), 128))}[how](page.tobytes())
     tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, page.itemsize * 8), (259, 3, how), (273, 4, 8), (277, 3, 1), (279, 4, len(body)), (339, 3, 1)]
     at = 8 + len(body) + len(body) % 2
     tail = at + 2 + 12 * (len(tags) + bool(said)) + 4
@@ -25,10 +47,12 @@ def packed(page, how, said=b""):
     return out + struct.pack("<H", len(rows)) + b"".join(sorted(rows, key=lambda r: struct.unpack("<H", r[:2]))) + b"\0\0\0\0" + said
 
 
-@pytest.mark.parametrize("how", [8, 32773])
-def test_compressed_pages(how):
-    page = (analytic(w=32) / 10).astype(np.uint16)
+@pytest.mark.parametrize("how", [5, 8, 32773])
+@pytest.mark.parametrize("w", [4, 32, 120])
+def test_compressed_pages(how, w):
+    page = (analytic(w=w) / 10).astype(np.uint16)
     assert np.array_equal(tiff.decode(packed(page, how))[0], page)
+    assert not tiff.decode(packed(page * 0, how))[0].any()
 
 
 def test_axes():
