@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import benchmark, evidence, pixels, planning
+from driftlake.operators.repair import so_far
 from driftlake.plans.catalog import query, r6
 from driftlake.plans.tables import frames, planes, poses, read, results
 
@@ -172,7 +173,9 @@ def evidence_validity(spark, sf):
 
 
 def _features(spark, sf):
-    return poses(spark, sf).groupBy("recording_id").agg(F.avg("x").alias("fx"), F.avg("y").alias("fy"), F.max("x").alias("top"))
+    # means that add up by frame: a mean that meets a threshold or another gain must not hang on how rows are dealt to tasks
+    means = poses(spark, sf).select("recording_id", "frame", "x", F.avg("x").over(so_far()).alias("fx"), F.avg("y").over(so_far()).alias("fy"))
+    return means.groupBy("recording_id").agg(F.max_by("fx", "frame").alias("fx"), F.max_by("fy", "frame").alias("fy"), F.max("x").alias("top"))
 
 
 GAIN_MODEL = [("area", "", 0.5), ("area", "fx", 0.002), ("area", "fy", -0.1), ("log", "", 0.2), ("log", "top", 0.0007), ("newton", "", 0.4), ("newton", "fx", 0.003)]
