@@ -12,7 +12,8 @@
 
 Before a pair is verified, it is held against a lower bound of what differs: each set has the parities of its
 `PARITY` buckets, and every parity in which two sets differ takes a shingle that only one of them has. A pair that may
-not differ as much is dropped; no pair of 0.8 similarity is.
+not differ as much is dropped; no pair of 0.8 similarity is. Sets of more than `PARITY` shingles have as many buckets as
+shingles or more besides, since few buckets bound nothing there, and their pairs are held against those too.
 
 Texts that are equal are one vertex throughout. Where more than `TILE` texts share a shingle, their pairs are dealt out
 in tiles; texts that are in the component of the one with most shared shingles are not paired with one another.
@@ -37,14 +38,16 @@ from driftlake.llm.simhash import hamming_links
 
 SHINGLE, SIMILAR = 5, 0.8
 TABLES, BUDGET = 2, 3
-#: Buckets of a set whose parities are kept.
-PARITY = 512
+#: Buckets of a set whose parities are kept; of a larger set there are up to MOST_PARITY besides.
+PARITY, MOST_PARITY = 512, 1 << 22
 #: One text in SAMPLE is counted to find frequent shingles; at most HOT of them go to the end of the order.
 SAMPLE, HOT = 16, 50_000
 #: Texts of a tile, where many texts share a shingle.
 TILE = 1024
 #: Texts that are worth a file of an intermediate table.
 FILE = 5000
+#: Keys of rows that are sent to all executors, at most: of more the texts are shuffled.
+KEYS = 1_000_000
 #: Bytes of texts hashed at once, and what a longer text is cut in.
 SEGMENT = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -156,6 +159,19 @@ def parities(shingles: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(shingles), PARITY // 64)
 
 
+def fine_parities(shingles: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set of more than PARITY shingles the parities of at least as many buckets, a power of two; else nothing.
+
+    A bucket is the low bits of a number, so the halves of an array, one XOR the other, are those of half as many buckets.
+    """
+    out = []
+    for s in shingles:
+        many = min(MOST_PARITY, 1 << (len(s) - 1).bit_length()) if len(s) > PARITY else 0
+        odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % many, minlength=many) & 1 if many else np.zeros(0, np.int64)
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    return out
+
+
 def frequent(rows: DataFrame) -> np.ndarray:
     """Frequent shingles of a sample of texts, rarest first. They set an order and decide nothing else."""
 
@@ -183,7 +199,7 @@ def prefix(shingles: np.ndarray, hot: tuple[np.ndarray, np.ndarray], similar: fl
 
 
 def features(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """`rows` (with a column text, the last) with f, x, p and n in its place: fingerprints, parities, prefix and number of shingles."""
+    """`rows` (with a column text, the last) with f, x, y, p and n in its place: fingerprints, parities, those of more buckets, prefix and number of shingles."""
     common = frequent(rows)
     by_hash = np.argsort(common)
     sent = rows.sparkSession.sparkContext.broadcast((common[by_hash], by_hash.astype(np.uint64) + np.uint64(1 << 63)))  # HOT at most
@@ -195,14 +211,14 @@ def features(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 words, shingles = zip(*sets(part.column(part.num_columns - 1)), strict=True)
                 first = [prefix(s, sent.value, similar).view(np.int64) for s in shingles]
                 lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], np.int32), m.ravel())
-                ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                made = [lists(fingerprints(words)), lists(parities(shingles)), pa.ListArray.from_arrays(ends, np.concatenate(first)), pa.array([len(s) for s in shingles], pa.int32())]
-                yield pa.record_batch([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "f", "x", "p", "n"])
+                ragged = lambda v: pa.ListArray.from_arrays(np.cumsum([0, *map(len, v)]).astype(np.int32), np.concatenate(v))
+                made = [lists(fingerprints(words)), lists(parities(shingles)), ragged(fine_parities(shingles)), ragged(first), pa.array([len(s) for s in shingles], pa.int32())]
+                yield pa.record_batch([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "f", "x", "y", "p", "n"])
 
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
     longs = ArrayType(LongType())
-    own = [StructField("f", longs), StructField("x", longs), StructField("p", longs), StructField("n", IntegerType())]
+    own = [StructField("f", longs), StructField("x", longs), StructField("y", longs), StructField("p", longs), StructField("n", IntegerType())]
     return rows.mapInArrow(trimming(run), StructType([*rows.drop("text").schema.fields, *own]))
 
 
@@ -230,7 +246,9 @@ def _shared(reps: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     rows = reps.select("t1", "n", F.posexplode("p").alias("at", "sh")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sh")))
     rows = materialise(rows.where("m > 1"), "near-shared", files)
     score = rows.groupBy("t1").agg((F.sum("m") / F.first("n")).cast("float").alias("score"))
-    return rows, rows.join(score, "t1").select("sh", "m", F.struct("score", "t1", "n", "at").alias("r"))
+    scored = materialise(rows.join(score, "t1"), "near-scored", files)  # its shuffles go before the pairs are made
+    drop(rows)
+    return scored, scored.select("sh", "m", F.struct("score", "t1", "n", "at").alias("r"))
 
 
 def _stars(shared: DataFrame, similar: float) -> DataFrame:
@@ -254,15 +272,32 @@ def _others(shared: DataFrame, root: DataFrame, similar: float) -> DataFrame:
     return both.select(F.col("a.t1").alias("u"), F.col("b.t1").alias("v"))
 
 
-def _plausible(links: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+def _differing(a: Column, b: Column) -> Column:
+    """In how many parities two sets differ, which have the same number of buckets or one has twice as many."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), xor)
+    a, b = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    return F.aggregate(F.zip_with(a, b, xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
+def _plausible(links: DataFrame, reps: DataFrame, similar: float, files: int) -> DataFrame:
     """Distinct links (u < v) of texts whose sizes and parities allow the similarity."""
     pairs = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialise(pairs, "near-pairs", files)  # the shuffles that made them go before the parities are joined
     left, right = (reps.select(F.col("t1").alias(e), F.col("n").alias(f"n{e}"), *[F.col("x")[i].alias(f"x{e}{i}") for i in range(PARITY // 64)]) for e in "uv")
     both = pairs.join(left, "u").join(right, "v")
     differ = sum((F.bit_count(F.col(f"xu{i}").bitwiseXOR(F.col(f"xv{i}"))) for i in range(1, PARITY // 64)), F.bit_count(F.col("xu0").bitwiseXOR(F.col("xv0"))))
     most = F.lit((1 - similar) / (1 + similar)) * (F.col("nu") + F.col("nv")) + F.lit(1e-6)
     sizes = F.least("nu", "nv") >= F.lit(similar) * F.greatest("nu", "nv") - F.lit(1e-6)
-    return both.where(sizes & (differ <= most)).select("u", "v")
+    rough = materialise(both.where(sizes & (differ <= most)).select("u", "v", "nu", "nv"), "near-rough", files)
+    drop(pairs)
+    # two sets that are not twice as large as each other: their numbers of buckets are the same, or one is the other's double
+    fine = reps.where(F.size("y") > 0)
+    large = rough.where((F.least("nu", "nv") > PARITY) & (2 * F.least("nu", "nv") >= F.greatest("nu", "nv")))
+    near = large.join(fine.select(F.col("t1").alias("u"), F.col("y").alias("yu")), "u").join(fine.select(F.col("t1").alias("v"), F.col("y").alias("yv")), "v")
+    small = rough.where((F.least("nu", "nv") <= PARITY) | (2 * F.least("nu", "nv") < F.greatest("nu", "nv")))
+    return small.select("u", "v").unionByName(near.where(_differing(F.col("yu"), F.col("yv")) <= most).select("u", "v"))
 
 
 def _verified(links: DataFrame, texts: DataFrame, similar: float, files: int) -> DataFrame:
@@ -277,9 +312,10 @@ def _verified(links: DataFrame, texts: DataFrame, similar: float, files: int) ->
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(h))], names=["vertex", "h"])
 
     ends = links.select(F.col("u").alias("vertex")).unionByName(links.select(F.col("v").alias("vertex"))).distinct()
-    wanted = texts.join(bounded(ends), "vertex", "left_semi")
+    wanted = texts.join(bounded(ends, KEYS), "vertex", "left_semi")
     shingles = materialise(wanted.mapInArrow(trimming(run), "vertex long, h array<long>").dropDuplicates(["vertex"]), "near-shingles", files)
-    left, right = shingles.select(F.col("vertex").alias("u"), F.col("h").alias("hu")), shingles.select(F.col("vertex").alias("v"), F.col("h").alias("hv"))
+    own = lambda e: shingles.join(bounded(links.select(F.col(e).alias("vertex")).distinct(), KEYS), "vertex", "left_semi").select(F.col("vertex").alias(e), F.col("h").alias(f"h{e}"))
+    left, right = own("u"), own("v")
     both = F.size(F.array_intersect("hu", "hv"))
     exact = links.join(left, "u").join(right, "v").where(both >= F.lit(similar) * (F.size("hu") + F.size("hv") - both) - F.lit(1e-9)).select("u", "v")
     exact = materialise(exact, "near-exact", files)
@@ -296,15 +332,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     keyed = docs.withColumns({a: F.xxhash64(*whole), b: F.xxhash64(F.lit(7), *whole)})
     rows = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(a).alias("k1"), F.col(b).alias("k2"), F.xxhash64(plain).alias("t1"), F.xxhash64(F.lit(7), plain).alias("t2"), plain.alias("text"))
     head = F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2")
-    made = features(rows, similar).groupBy("t1", "t2").agg(F.min(F.struct(head.alias("head"), "f", "x", "p", "n")).alias("r"))
+    made = features(rows, similar).groupBy("t1", "t2").agg(F.min(F.struct(head.alias("head"), "f", "x", "y", "p", "n")).alias("r"))
     files = 1 + docs.count() // FILE
     reps = materialise(made.select("t1", "t2", "r.*"), "near-features", files)
     texts = docs.select(F.xxhash64(plain).alias("vertex"), plain.alias("text"))
 
     table_, shared = _shared(reps, files)
-    first = materialise(_plausible(_tries(reps, files).unionByName(_stars(shared, similar)), reps, similar), "near-links", files)
+    first = materialise(_plausible(_tries(reps, files).unionByName(_stars(shared, similar)), reps, similar, files), "near-links", files)
     exact = _verified(first, texts, similar, files)
-    others = _plausible(_others(shared, components(exact), similar), reps, similar).join(first, ["u", "v"], "left_anti")
+    others = _plausible(_others(shared, components(exact), similar), reps, similar, files).join(first, ["u", "v"], "left_anti")
     others = materialise(others, "near-others", files)
     drop(table_)
     root = components(exact.unionByName(_verified(others, texts, similar, files)))
@@ -313,6 +349,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     stay = named.groupBy("root").agg(F.min("head").alias("head")).select("head.k1", "head.k2", F.lit(True).alias("stays"))
     keys = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).join(stay, ["k1", "k2"], "left").where("stays IS NULL OR m > 1")
     keys = materialise(keys.select(F.col("k1").alias(a), F.col("k2").alias(b), "stays"), "near-gone", files)
-    alone = keyed.join(bounded(keys.select(a, b)), [a, b], "left_anti")
-    equal = keyed.join(bounded(keys.where("stays").select(a, b)), [a, b], "left_semi").dropDuplicates([a, b])
+    alone = keyed.join(bounded(keys.select(a, b), KEYS), [a, b], "left_anti")
+    equal = keyed.join(bounded(keys.where("stays").select(a, b), KEYS), [a, b], "left_semi").dropDuplicates([a, b])
     return alone.unionByName(equal).select(*whole)
